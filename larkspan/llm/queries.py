@@ -5,7 +5,9 @@ from __future__ import annotations
 from .bpe_trie import op7_trie_bpe
 from .fingerprints import op6_exact_fingerprints
 from .media import op3_png_media
+from .mixing import OP8_SQL, op8_golden_mixing
 from .sharding import op4_rendezvous_sharding
+from .toxicity import op10_nb_ngram_toxicity
 
 
 def queries():
@@ -14,8 +16,10 @@ def queries():
         "op4_rendezvous_sharding": op4_rendezvous_sharding,
         "op6_exact_fingerprints": op6_exact_fingerprints,
         "op7_trie_bpe": op7_trie_bpe,
+        "op8_golden_mixing": op8_golden_mixing,
+        "op10_nb_ngram_toxicity": op10_nb_ngram_toxicity,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op8_golden_mixing": OP8_SQL}
