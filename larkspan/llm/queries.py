@@ -6,12 +6,14 @@ from .bpe_trie import op7_trie_bpe
 from .fingerprints import op6_exact_fingerprints
 from .media import op3_png_media
 from .mixing import OP8_SQL, op8_golden_mixing
+from .pii import op1_weak_supervision_pii
 from .sharding import op4_rendezvous_sharding
 from .toxicity import op10_nb_ngram_toxicity
 
 
 def queries():
     return {
+        "op1_weak_supervision_pii": op1_weak_supervision_pii,
         "op3_png_media": op3_png_media,
         "op4_rendezvous_sharding": op4_rendezvous_sharding,
         "op6_exact_fingerprints": op6_exact_fingerprints,
