@@ -250,5 +250,6 @@ def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = find_spans(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["base"])
     listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS[:BASE]]
+    of_kind = lambda kind: F.filter("spans", lambda s: s["base"] & (s["kind"] == F.lit(kind)))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS[:BASE]]
     return spans.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
