@@ -6,6 +6,7 @@ from .bpe_trie import op7_trie_bpe
 from .fingerprints import op6_exact_fingerprints
 from .media import op3_png_media
 from .mixing import OP8_SQL, op8_golden_mixing
+from .ngram_join import op5_ngram_jaccard_join
 from .pii import op1_weak_supervision_pii
 from .sharding import op4_rendezvous_sharding
 from .toxicity import op10_nb_ngram_toxicity
@@ -16,6 +17,7 @@ def queries():
         "op1_weak_supervision_pii": op1_weak_supervision_pii,
         "op3_png_media": op3_png_media,
         "op4_rendezvous_sharding": op4_rendezvous_sharding,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_exact_fingerprints": op6_exact_fingerprints,
         "op7_trie_bpe": op7_trie_bpe,
         "op8_golden_mixing": op8_golden_mixing,
