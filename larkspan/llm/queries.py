@@ -9,12 +9,15 @@ from .mixing import OP8_SQL, op8_golden_mixing
 from .ngram_join import op5_ngram_jaccard_join
 from .pii import op1_weak_supervision_pii
 from .sharding import op4_rendezvous_sharding
+from .substring_dedup import op2_automaton_substring_dedup
 from .toxicity import op10_nb_ngram_toxicity
 
 
+
 def queries():
     return {
         "op1_weak_supervision_pii": op1_weak_supervision_pii,
+        "op2_automaton_substring_dedup": op2_automaton_substring_dedup,
         "op3_png_media": op3_png_media,
         "op4_rendezvous_sharding": op4_rendezvous_sharding,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,

@@ -25,7 +25,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_FACTOR, -1, 1 << 64)
 
     def table(f: int) -> np.ndarray:
@@ -74,7 +74,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         n = len(data)
-        power, inverse = _powers(max(1 << 22, 1 << max(0, n - 1).bit_length()))
+        power, inverse = powers(max(1 << 22, 1 << max(0, n - 1).bit_length()))
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTES[data] * power[:n], out=sums[1:])
         self.hash = mix64((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
