@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,64 +11,227 @@ from .common import documents, stored
 
 #: Words in a token of a line, and the similarity, in percent, from which a later line is a match of an earlier one.
 TOKEN, PERCENT = 5, 75
-#: Counters of the token frequencies; the table of their classes is 64 KB, however large the input.
-COUNTERS = 1 << 16
-#: Tokens in more lines than this, beyond what a counter holds of others on average, are dealt over SALTS tasks.
-HOT_LINES, SALTS = 4096, 64
+#: Counters of the token frequencies: the table of their classes is 256 KB, however large the input.
+COUNTERS = 1 << 18
+#: Places in the table of marks by which rows are passed over before a join: 4 MB, however large the input.
+MARKS = 1 << 22
+#: Entries that one token leads together are dealt over so many tasks.
+SALTS = 64
+
+
+def line_words(line: Column) -> Column:
+    """The words of a line in lower case: what ASCII white space parts."""
+    for c in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(F.lower(line), " "), "")
+
+
+def _paired(parts: list, join: Callable):
+    """Join hashes of equal length two by two, then what is left over: the same tree for columns and for arrays."""
+    while len(parts) > 1:
+        parts = [join(parts[i], parts[i + 1]) for i in range(0, len(parts) - 1, 2)] + (parts[-1:] if len(parts) % 2 else [])
+    return parts[0]
+
+
+def token_rows(lines: DataFrame, size: int) -> DataFrame:
+    """A row for each token of `lines` (words): a 64-bit hash of `size` words on end, or of all words of a shorter line."""
+    at = lines.select("words", F.posexplode("words").alias("i", "word"))
+    at = at.filter((F.col("i") + size <= F.size("words")) | ((F.size("words") < size) & (F.col("i") == 0)))
+    long = _paired([F.xxhash64(F.get("words", F.col("i") + k)) for k in range(size)], lambda a, b: F.xxhash64(a, b))
+    return at.select(F.when(F.size("words") < size, F.xxhash64("words")).otherwise(long).alias("token"))
+
+
+def with_tokens(lines: DataFrame, size: int) -> DataFrame:
+    """Add tokens: the distinct tokens of each line, as `token_rows` makes them, as an array."""
+    n = F.size("words")
+    hashes = lines.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
+    shifted = [F.col("_h"), *[F.slice("_h", F.lit(k + 1), F.greatest(n - k, F.lit(0))) for k in range(1, size)]]
+    long = F.slice(_paired(shifted, lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))), F.lit(1), F.greatest(n - size + 1, F.lit(0)))
+    return hashes.withColumn("tokens", F.when(n == 0, F.array().cast("array<bigint>")).when(n < size, F.array(F.xxhash64("words"))).otherwise(F.array_distinct(long))).drop("_h")
+
+
+def _lines(df: DataFrame) -> DataFrame:
+    """Every line of every text with its place: doc_id, row (a hash of the row's id and text) and line_no from 0."""
+    return df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
 
+def _table(values: DataFrame, size: int, block: int = 4096) -> bytes:
+    """`size` bytes from rows (at, value), one for a place, 0 where there is none. The driver gets one string for each block."""
+    digits = F.array_join(F.collect_list(F.lpad(F.hex(F.col("at") % block * 256 + F.col("value")), 6, "0")), "")
+    table = bytearray(size)
+    for r in values.groupBy(F.floor(F.col("at") / block).alias("b")).agg(digits.alias("digits")).collect():
+        packed = bytes.fromhex(r["digits"])
+        for k in range(0, len(packed), 3):
+            table[r["b"] * block + (packed[k] << 8 | packed[k + 1])] = packed[k + 2]
+    return bytes(table)
+
+
+def _looked_up(table: bytes, at: Column) -> Column:
+    return F.ascii(F.substring(F.lit(bytearray(table)), at.cast("int") + 1, 1).cast("string"))
+
+
+def _place(h: Column, size: int) -> Column:
+    return F.pmod(h, F.lit(size))
+
+
+def _marked(df: DataFrame, marks: bytes, *columns: str) -> Column:
+    return _looked_up(marks, _place(F.xxhash64(*[df[c] for c in columns]), MARKS)) > 0
+
+
+def _marks(rows: DataFrame, *columns: str) -> bytes:
+    """A mark at the place of each row; what has none there is surely not among them."""
+    return _table(rows.select(_place(F.xxhash64(*columns), MARKS).alias("at"), F.lit(1).alias("value")).distinct(), MARKS)
+
+
+def _line_sets(df: DataFrame, size: int, percent: int) -> DataFrame:
+    """Every line with words: its place, n (tokens), entry (hash of its token set) and rare: its prefix, rarest tokens first."""
+    words = _lines(df).withColumn("words", line_words(F.col("line"))).filter(F.size("words") > 0)
+    counts = token_rows(words.select("words"), size).groupBy(_place(F.col("token"), COUNTERS).alias("at")).count()
+    classes = _table(counts.select("at", F.floor(2 * F.log2(F.col("count") + 1)).cast("int").alias("value")), COUNTERS)
+    rarity = lambda t: F.shiftleft(_looked_up(classes, _place(t, COUNTERS)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
+    sets = with_tokens(words.select("doc_id", "row", "line_no", "words"), size)
+    n = F.size("tokens")
+    ordered = sets.withColumn("_ordered", F.sort_array(F.transform("tokens", rarity)))
+    return ordered.select(
+        "doc_id", "row", "line_no", n.alias("n"), F.xxhash64("_ordered").alias("entry"),
+        F.slice("_ordered", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("rare"),
+    )
 
-def line_tokens(line: Column, size: int = TOKEN) -> Column:
-    """The distinct tokens of a line as 64-bit hashes: runs of `size` words, of a shorter line all its words as one.
 
-    Words are what white space (space, tab, line feed to carriage return) parts, A-Z in lower case. A line without words has none.
+def _may_match(p: str, q: str, percent: int) -> Column:
+    """Length and positional filter: with the shared token at pos in both orders, are enough tokens left for the overlap?"""
+    n, m = F.col(f"{p}.n"), F.col(f"{q}.n")
+    in_reach = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    most = F.least(F.col(f"{p}.pos"), F.col(f"{q}.pos")) + F.least(n - F.col(f"{p}.pos"), m - F.col(f"{q}.pos"))
+    return in_reach & (most * (100 + percent) >= (n + m) * percent)
+
+
+def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The entries y of pairs (x, y) whose token sets have a Jaccard similarity of `percent` at least."""
+    a = tokens.select(F.col("entry").alias("x"), F.col("tokens").alias("_a"))
+    b = tokens.select(F.col("entry").alias("y"), F.col("tokens").alias("_b"))
+    shared = F.size(F.array_intersect("_a", "_b"))
+    both = pairs.join(a, "x").join(b, "y")
+    return both.filter(shared * (100 + percent) >= (F.size("_a") + F.size("_b")) * percent).select("y").distinct()
+
+
+def _matched_entries(df: DataFrame, lines: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(entry, first: the place where it first stands) of all token sets, and the entries that match an earlier one."""
+    first = F.min(F.struct("doc_id", "row", "line_no", "n", "rare")).alias("f")
+    entries = lines.groupBy("entry").agg(first, F.count(F.lit(1)).alias("copies"))
+    entries = stored(entries.select("entry", F.struct("f.doc_id", "f.row", "f.line_no").alias("first"), "copies", "f.n", "f.rare"), "line-entries")
+    postings = entries.select("entry", "n", F.posexplode("rare").alias("pos", "token")).repartition("token")
+    several = postings.groupBy("token").agg(F.min("entry").alias("lo"), F.max("entry").alias("hi")).filter("lo <> hi").select("token")
+    shared = stored(postings.join(several, "token"), "line-postings")
+
+    wanted = entries.join(shared.select("entry").distinct(), "entry", "left_semi").select("entry", "first", "copies")
+    wanted = stored(wanted, "line-wanted")
+    places = wanted.select("entry", "first.*")
+    marks = _marks(places, "row", "line_no")
+    lines_of = _lines(df)
+    lines_of = lines_of.filter(_marked(lines_of, marks, "row", "line_no")).join(places.select("entry", "row", "line_no"), ["row", "line_no"])
+    tokens = with_tokens(lines_of.dropDuplicates(["entry"]).select("entry", line_words(F.col("line")).alias("words")), size)
+    tokens = stored(tokens.select("entry", "tokens"), "line-tokens")
+
+    placed = stored(shared.join(wanted, "entry"), "line-placed")
+    leaders = placed.groupBy("token").agg(
+        F.min(F.struct("first", "entry", "n", "pos")).alias("early"), F.max_by(F.struct("first", "entry", "n", "pos"), F.struct("copies", "entry")).alias("hub"), F.count(F.lit(1)).alias("m")
+    )
+    led = leaders.select("token", F.explode(F.array("early", "hub")).alias("l")).select("token", "l.*").distinct().alias("p")
+    tried = placed.alias("q").join(led, "token").filter((F.col("p.first") < F.col("q.first")) & _may_match("p", "q", percent))
+    tried = tried.select(F.col("p.entry").alias("x"), F.col("q.entry").alias("y")).distinct()
+    matched = stored(_verified(tried, tokens, percent), "line-matched")
+
+    # What no leader matches is held against every earlier entry under its tokens.
+    open_ = placed.join(matched.withColumnRenamed("y", "entry"), "entry", "left_anti").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = placed.withColumn("salt", F.pmod("entry", F.lit(SALTS)).cast("int"))
+    large = leaders.filter(F.col("m") > SALTS).select("token", F.lit(True).alias("large"))
+    others = _open_pairs(placed, matched, large, open_, salted, percent)
+    others = stored(others, "line-open")
+    return entries.select("entry", "first"), matched.unionByName(_verified(others, tokens, percent)).distinct()
+
+
+def _open_pairs(placed: DataFrame, matched: DataFrame, large: DataFrame, open_: DataFrame, salted: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of an unmatched entry y and an earlier x; tokens with many entries are dealt over SALTS tasks."""
+    left = placed.join(matched.withColumnRenamed("y", "entry"), "entry", "left_anti")
+    small = placed.join(large, "token", "left_anti").alias("p").join(left.join(large, "token", "left_anti").alias("q"), "token")
+    many = salted.join(large, "token").alias("p").join(open_.join(large, "token").alias("q"), ["token", "salt"])
+    keep = (F.col("p.first") < F.col("q.first")) & _may_match("p", "q", percent)
+    pairs = [d.filter(keep).select(F.col("p.entry").alias("x"), F.col("q.entry").alias("y")) for d in (small, many)]
+    return pairs[0].unionByName(pairs[1]).distinct()
+
+
+def removed_lines(df: DataFrame, size: int = TOKEN, percent: int = PERCENT) -> DataFrame:
+    """row and lines (array of line numbers): the lines of each row that match an earlier line.
+
+    Two lines match if the Jaccard similarity of their token sets is at least `percent`; earlier is by doc_id (null
+    first), the row's hash and the line number, and whether the earlier line is itself removed does not matter. Equal sets are one
+    entry with its first place, so a line that stands everywhere costs no pairs. Entries meet under their rarest tokens
+    (prefix filter), by classes of frequency over all lines and then by hash; what the length and positional filters
+    leave is verified on the whole sets: first against two leaders of each token, the earliest entry and the one with
+    the most copies, then, if no leader matches, against every earlier entry.
     """
-    words = F.filter(F.split(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(
-        F.array(words),
-        lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>"))
-        .when(F.size(w) < size, F.array(F.xxhash64(w)))
-        .otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size))))),
-    )[0]
-
-
-def _lines(df: DataFrame, *columns: str) -> DataFrame:
-    """Every line of every text with its number from 0; a null text has no lines."""
-    return df.select(*columns, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-
-
-def _classes(tokens: DataFrame) -> tuple[DataFrame, int]:
-    """One row with an array: a class for each counter, twice the binary logarithm of how many lines hold its tokens; and the
-    first class of hot tokens."""
-    counts = stored(tokens.groupBy(F.pmod("token", F.lit(COUNTERS)).cast("int").alias("counter")).count(), "token-counts")
-    kind = F.floor(2 * F.log2(F.col("count") + 1)).cast("int")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    table = counts.agg(F.map_from_entries(F.collect_list(F.struct("counter", kind.alias("kind")))).alias("m"))
-    dense = table.select(F.transform(F.sequence(F.lit(0), F.lit(COUNTERS - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("classes"))
-    return dense, int(2 * (HOT_LINES + 4 * total / COUNTERS).bit_length())
-
-
-def line_matches(df: DataFrame, size: int = TOKEN, percent: int = PERCENT) -> DataFrame:
-    """doc_id and line_no of every line with an earlier match, earlier in doc_id and then in line number.
-
-    Two lines match if the Jaccard similarity of their token sets is at least `percent`. Equal sets are one entry with its
-    first line, so a line that stands everywhere costs no pairs. Entries are joined on their rarest tokens (prefix filter)
-    if their sizes (length filter) and what is left behind the common token (positional filter) allow the similarity; the
-    sets of the pairs that remain are compared. Tokens are ordered by the class of their frequency, then by hash. A line is
-    later than a match if it comes after that match's first line; whether that one stays does not matter. Null ids come first.
+    lines = stored(_line_sets(df, size, percent), "line-sets")
+    entries, matched = _matched_entries(df, lines, size, percent)
+    near = matched.select(F.col("y").alias("entry"), F.lit(True).alias("near"))
+    judged = entries.join(near, "entry", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    place = F.struct("doc_id", "row", "line_no")
+    # An entry that stands once and matches nothing removes no line; the others are far fewer than the lines.
+    again = lines.groupBy("entry").agg(F.count(F.lit(1)).alias("c")).join(judged, "entry").filter((F.col("c") > 1) | F.col("near")).select("entry", "first", "near")
+    gone = lines.select("doc_id", "row", "line_no", "entry").join(again, "entry").filter(F.col("near") | (place != F.col("first")))
+    return gone.groupBy("row").agg(F.collect_set("line_no").alias("lines"))
+
+
+def dedup_lines(df: DataFrame, size: int = TOKEN, percent: int = PERCENT) -> DataFrame:
+    """`df` with kept (the text without its removed lines), n_lines and n_removed in place of text.
+
+    Lines without words always stay. A null text has no lines and stays null; an empty text is one line without words.
+    Rows that repeat in doc_id and text are one row to the comparison and lose the same lines. An empty table gives
+    none; other columns are carried, their names do not matter. Texts without removed lines are not shuffled.
     """
-    spark = df.sparkSession
-    tokens = _lines(df).select(F.explode(line_tokens(F.col("line"), size)).alias("token"))
-    classes, hot = _classes(tokens)
-    table = F.lit(classes.first()["classes"] if spark else None)
-    key = lambda t: F.shiftleft(F.element_at(table, F.pmod(t, F.lit(COUNTERS)).cast("int") + 1).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
-    lines = _lines(df, "doc_id").withColumn("tokens", line_tokens(F.col("line"), size)).filter(F.size("tokens") > 0)
-    lines = lines.select(
-        F.struct("doc_id", "line_no").alias("place"), F.size("tokens").alias("n"),
-        F.slice(F.sort_array(F.transform("tokens", key)), F.lit(1), F.size("tokens") - F.ceil(F.size("tokens") * percent / 100).cast("int") + 1).alias("rare"),
-        F.xxhash64(F.sort_array("tokens")).alias("entry"),
+    gone = stored(removed_lines(df, size, percent).select("row", "lines"), "line-removed")
+    marks = _marks(gone.select("row"), "row")
+    cols = [c for c in df.columns if c != "text"]
+    held = df.select(F.struct(*[df[c] for c in cols]).alias("_held"), F.col("text").alias("_text"), F.xxhash64("doc_id", "text").alias("row"))
+    marked = _marked(held, marks, "row")
+    none = F.array().cast("array<int>")
+    parts = [held.filter(marked).join(gone, "row", "left"), held.filter(~marked).withColumn("lines", F.lit(None).cast("array<int>"))]
+    both = parts[0].unionByName(parts[1]).withColumn("lines", F.coalesce("lines", none))
+    split = F.split("_text", "\n")
+    kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("lines", i)), "\n")
+    return both.select(
+        *[F.col("_held")[c].alias(c) for c in cols], F.when(F.size("lines") == 0, F.col("_text")).otherwise(kept).alias("kept"),
+        F.when(F.col("_text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.size("lines").cast("long").alias("n_removed"),
     )
-    return lines, hot
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir)
+    """All documents without the lines that match an earlier line, as counts and digests."""
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM d),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM l),
+t AS (
+  SELECT doc_id, line_no,
+         CASE WHEN len(words) < 5 THEN [words] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: words[i:i + 4])) END AS tokens
+  FROM w WHERE len(words) > 0),
+e AS (SELECT list_sort(tokens) AS tokens, min(struct_pack(d := doc_id, n := line_no)) AS first FROM t GROUP BY 1),
+n AS (SELECT row_number() OVER (ORDER BY first) AS e, tokens, first, len(tokens) AS n FROM e),
+p AS (SELECT e, n, unnest(tokens) AS token FROM n),
+m AS (
+  SELECT y.e FROM p x JOIN p y ON x.token = y.token AND x.e < y.e AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 75
+  GROUP BY x.e, x.n, y.e, y.n HAVING count(*) * 175 >= (x.n + y.n) * 75),
+g AS (
+  SELECT t.doc_id, t.line_no FROM t JOIN n ON list_sort(t.tokens) = n.tokens
+  WHERE n.e IN (SELECT e FROM m) OR struct_pack(d := t.doc_id, n := t.line_no) <> n.first),
+k AS (
+  SELECT l.doc_id, count(*) FILTER (WHERE g.line_no IS NOT NULL) AS n_removed,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE g.line_no IS NULL), '') AS kept
+  FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(len(d.lines), 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""

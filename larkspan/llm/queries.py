@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe_trie import op7_trie_bpe
 from .fingerprints import op6_exact_fingerprints
+from .line_dedup import OP9_SQL, op9_line_dedup
 from .media import op3_png_media
 from .mixing import OP8_SQL, op8_golden_mixing
 from .ngram_join import op5_ngram_jaccard_join
@@ -13,7 +14,6 @@ from .substring_dedup import op2_automaton_substring_dedup
 from .toxicity import op10_nb_ngram_toxicity
 
 
-
 def queries():
     return {
         "op1_weak_supervision_pii": op1_weak_supervision_pii,
@@ -24,9 +24,10 @@ def queries():
         "op6_exact_fingerprints": op6_exact_fingerprints,
         "op7_trie_bpe": op7_trie_bpe,
         "op8_golden_mixing": op8_golden_mixing,
+        "op9_line_dedup": op9_line_dedup,
         "op10_nb_ngram_toxicity": op10_nb_ngram_toxicity,
     }
 
 
 def oracle_sql():
-    return {"op8_golden_mixing": OP8_SQL}
+    return {"op8_golden_mixing": OP8_SQL, "op9_line_dedup": OP9_SQL}
