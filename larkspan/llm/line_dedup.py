@@ -11,9 +11,9 @@ from .common import documents, stored
 
 #: Words in a token of a line, and the similarity, in percent, from which a later line is a match of an earlier one.
 TOKEN, PERCENT = 5, 75
-#: Counters of the token frequencies: the table of their classes is 256 KB, however large the input.
-COUNTERS = 1 << 18
-#: Places in the table of marks by which rows are passed over before a join: 4 MB, however large the input.
+#: Counters of the token frequencies: the table of their classes is 128 KB, however large the input.
+COUNTERS = 1 << 17
+#: Bits in the table of marks by which rows are passed over before a join: 1 MB of hexadecimal digits, however large the input.
 MARKS = 1 << 22
 #: Entries that one token leads together are dealt over so many tasks.
 SALTS = 64
@@ -74,13 +74,21 @@ def _place(h: Column, size: int) -> Column:
     return F.pmod(h, F.lit(size))
 
 
-def _marked(df: DataFrame, marks: bytes, *columns: str) -> Column:
-    return _looked_up(marks, _place(F.xxhash64(*[df[c] for c in columns]), MARKS)) > 0
+def _marks(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row, marks: a bit at the place of each of `rows`, as hexadecimal digits; what has no bit there is surely not among them."""
+    at = rows.select(_place(F.xxhash64(*columns), MARKS).alias("at"))
+    words = at.groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    dense = words.unionByName(rows.sparkSession.range(0, MARKS // 64, 1, 1).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("bits")))
+    dense = dense.groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    digits = F.transform(F.array_sort(F.collect_list(F.struct("w", "bits"))), lambda x: F.lpad(F.hex(x["bits"]), 16, "0"))
+    return stored(dense.agg(F.array_join(digits, "").cast("binary").alias("marks")), "line-marks")
 
 
-def _marks(rows: DataFrame, *columns: str) -> bytes:
-    """A mark at the place of each row; what has none there is surely not among them."""
-    return _table(rows.select(_place(F.xxhash64(*columns), MARKS).alias("at"), F.lit(1).alias("value")).distinct(), MARKS)
+def _marked(df: DataFrame, marks: DataFrame, *columns: str) -> Column:
+    at = _place(F.xxhash64(*[df[c] for c in columns]), MARKS)
+    c = F.ascii(F.substring(marks.scalar(), (F.floor(at / 64) * 16 + 16 - F.floor(at % 64 / 4)).cast("int"), 1).cast("string"))
+    digit = c - F.when(c >= 65, 55).otherwise(48)
+    return digit.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(4)]), (at % 4 + 1).cast("int"))) > 0
 
 
 def _line_sets(df: DataFrame, size: int, percent: int) -> DataFrame:
