@@ -214,11 +214,16 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends.append(ends[-1] + n)
         shas = [hashlib.sha256(flat[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([b - a for a, b in zip(ends, ends[1:], strict=False)], pa.int64()), pa.array(shas), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded])],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            [batch.column("doc_id"), ids, pa.array([b - a for a, b in zip(ends, ends[1:], strict=False)], pa.int64()), pa.array(shas, pa.string()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded], pa.string())],
+            names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
 
+def encoded(df: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, n_tokens, and SHA-256 digests of the ids and of the text decoded from them, of every text."""
+    return encode_column(df, path).mapInArrow(_digests, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -227,5 +232,4 @@ def default_path() -> str:
 
 def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded, as counts and digests."""
-    coded = encode_column(documents(spark, sf_dir), default_path())
-    return coded.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded(documents(spark, sf_dir), default_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

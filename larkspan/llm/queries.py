@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe_trie import op7_trie_bpe
 from .fingerprints import op6_exact_fingerprints
 from .line_dedup import OP9_SQL, op9_line_dedup
@@ -26,6 +28,7 @@ def queries():
         "op8_golden_mixing": op8_golden_mixing,
         "op9_line_dedup": op9_line_dedup,
         "op10_nb_ngram_toxicity": op10_nb_ngram_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
