@@ -11,8 +11,8 @@ from .common import documents, stored
 
 #: Words in a token of a line, and the similarity, in percent, from which a later line is a match of an earlier one.
 TOKEN, PERCENT = 5, 75
-#: Counters of the token frequencies: the table of their classes is 128 KB, however large the input.
-COUNTERS = 1 << 17
+#: Counters of the token frequencies, as many as an aggregate's fast map holds; the table of their classes has one number each.
+COUNTERS = 1 << 16
 #: Bits in the table of marks by which rows are passed over before a join: 1 MB of hexadecimal digits, however large the input.
 MARKS = 1 << 22
 #: Entries that one token leads together are dealt over so many tasks.
@@ -26,28 +26,37 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), " "), "")
 
 
-def _paired(parts: list, join: Callable):
-    """Join hashes of equal length two by two, then what is left over: the same tree for columns and for arrays."""
-    while len(parts) > 1:
-        parts = [join(parts[i], parts[i + 1]) for i in range(0, len(parts) - 1, 2)] + (parts[-1:] if len(parts) % 2 else [])
-    return parts[0]
+def _tree(start: int, size: int, run: Callable, join: Callable):
+    """The hash of `size` words from `start` on: runs of powers of two words, the longest first, joined from the right."""
+    longest = 1 << (size.bit_length() - 1)
+    if longest == size:
+        return run(start, size)
+    return join(run(start, longest), _tree(start + longest, size - longest, run, join))
 
 
 def token_rows(lines: DataFrame, size: int) -> DataFrame:
     """A row for each token of `lines` (words): a 64-bit hash of `size` words on end, or of all words of a shorter line."""
     at = lines.select("words", F.posexplode("words").alias("i", "word"))
     at = at.filter((F.col("i") + size <= F.size("words")) | ((F.size("words") < size) & (F.col("i") == 0)))
-    long = _paired([F.xxhash64(F.get("words", F.col("i") + k)) for k in range(size)], lambda a, b: F.xxhash64(a, b))
+
+    def run(start: int, n: int) -> Column:
+        return F.xxhash64(F.get("words", F.col("i") + start)) if n == 1 else F.xxhash64(run(start, n // 2), run(start + n // 2, n // 2))
+
+    long = _tree(0, size, run, lambda a, b: F.xxhash64(a, b))
     return at.select(F.when(F.size("words") < size, F.xxhash64("words")).otherwise(long).alias("token"))
 
 
 def with_tokens(lines: DataFrame, size: int) -> DataFrame:
     """Add tokens: the distinct tokens of each line, as `token_rows` makes them, as an array."""
     n = F.size("words")
-    hashes = lines.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
-    shifted = [F.col("_h"), *[F.slice("_h", F.lit(k + 1), F.greatest(n - k, F.lit(0))) for k in range(1, size)]]
-    long = F.slice(_paired(shifted, lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))), F.lit(1), F.greatest(n - size + 1, F.lit(0)))
-    return hashes.withColumn("tokens", F.when(n == 0, F.array().cast("array<bigint>")).when(n < size, F.array(F.xxhash64("words"))).otherwise(F.array_distinct(long))).drop("_h")
+    shifted = lambda c, k: F.slice(c, F.lit(k + 1), F.greatest(n - k, F.lit(0))) if k else F.col(c)
+    join = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+    hashes, span = lines.withColumn("_1", F.transform("words", lambda w: F.xxhash64(w))), 1
+    while span * 2 <= size:
+        hashes, span = hashes.withColumn(f"_{span * 2}", join(F.col(f"_{span}"), shifted(f"_{span}", span))), span * 2
+    long = F.slice(_tree(0, size, lambda start, k: shifted(f"_{k}", start), join), F.lit(1), F.greatest(n - size + 1, F.lit(0)))
+    tokens = F.when(n == 0, F.array().cast("array<bigint>")).when(n < size, F.array(F.xxhash64("words"))).otherwise(F.array_distinct(long))
+    return hashes.select(*lines.columns, tokens.alias("tokens"))
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -55,23 +64,19 @@ def _lines(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _table(values: DataFrame, size: int, block: int = 4096) -> bytes:
-    """`size` bytes from rows (at, value), one for a place, 0 where there is none. The driver gets one string for each block."""
-    digits = F.array_join(F.collect_list(F.lpad(F.hex(F.col("at") % block * 256 + F.col("value")), 6, "0")), "")
-    table = bytearray(size)
-    for r in values.groupBy(F.floor(F.col("at") / block).alias("b")).agg(digits.alias("digits")).collect():
-        packed = bytes.fromhex(r["digits"])
-        for k in range(0, len(packed), 3):
-            table[r["b"] * block + (packed[k] << 8 | packed[k + 1])] = packed[k + 2]
-    return bytes(table)
-
-
-def _looked_up(table: bytes, at: Column) -> Column:
-    return F.ascii(F.substring(F.lit(bytearray(table)), at.cast("int") + 1, 1).cast("string"))
+def _classes(tokens: DataFrame) -> Column:
+    """An array with a class for each counter: twice the binary logarithm of how often its tokens occur in all lines."""
+    counts = tokens.groupBy(_place(F.col("token"), COUNTERS).alias("at")).count()
+    found = counts.select("at", F.floor(2 * F.log2(F.col("count") + 1)).cast("string").alias("value")).groupBy((F.col("at") % 64).alias("b"))
+    table = ["0"] * COUNTERS
+    for r in found.agg(F.array_join(F.collect_list(F.concat_ws(":", "at", "value")), ",").alias("values")).collect():
+        for at, value in (x.split(":") for x in r["values"].split(",")):
+            table[int(at)] = value
+    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
 
 
 def _place(h: Column, size: int) -> Column:
-    return F.pmod(h, F.lit(size))
+    return h.bitwiseAND(F.lit(size - 1))
 
 
 def _marks(rows: DataFrame, *columns: str) -> DataFrame:
@@ -94,9 +99,8 @@ def _marked(df: DataFrame, marks: DataFrame, *columns: str) -> Column:
 def _line_sets(df: DataFrame, size: int, percent: int) -> DataFrame:
     """Every line with words: its place, n (tokens), entry (hash of its token set) and rare: its prefix, rarest tokens first."""
     words = _lines(df).withColumn("words", line_words(F.col("line"))).filter(F.size("words") > 0)
-    counts = token_rows(words.select("words"), size).groupBy(_place(F.col("token"), COUNTERS).alias("at")).count()
-    classes = _table(counts.select("at", F.floor(2 * F.log2(F.col("count") + 1)).cast("int").alias("value")), COUNTERS)
-    rarity = lambda t: F.shiftleft(_looked_up(classes, _place(t, COUNTERS)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
+    classes = _classes(token_rows(words.select("words"), size))
+    rarity = lambda t: F.shiftleft(F.get(classes, t.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
     sets = with_tokens(words.select("doc_id", "row", "line_no", "words"), size)
     n = F.size("tokens")
     ordered = sets.withColumn("_ordered", F.sort_array(F.transform("tokens", rarity)))
@@ -124,24 +128,25 @@ def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def _matched_entries(df: DataFrame, lines: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(entry, first: the place where it first stands) of all token sets, and the entries that match an earlier one."""
-    first = F.min(F.struct("doc_id", "row", "line_no", "n", "rare")).alias("f")
-    entries = lines.groupBy("entry").agg(first, F.count(F.lit(1)).alias("copies"))
-    entries = stored(entries.select("entry", F.struct("f.doc_id", "f.row", "f.line_no").alias("first"), "copies", "f.n", "f.rare"), "line-entries")
-    postings = entries.select("entry", "n", F.posexplode("rare").alias("pos", "token")).repartition("token")
+    """(entry, first: the place where it first stands, copies) of all token sets, and the entries that match an earlier one."""
+    first = F.min(F.struct("doc_id", "row", "line_no")).alias("first")
+    entries = stored(lines.groupBy("entry").agg(first, F.count(F.lit(1)).alias("copies")), "line-entries")
+    place = ["entry", "row", "line_no"]
+    firsts = lines.select(*place, "rare").join(entries.select("entry", "first.row", "first.line_no"), place).dropDuplicates(place)
+    postings = firsts.select("entry", F.explode("rare").alias("token")).repartition("token")
     several = postings.groupBy("token").agg(F.min("entry").alias("lo"), F.max("entry").alias("hi")).filter("lo <> hi").select("token")
     shared = stored(postings.join(several, "token"), "line-postings")
 
-    wanted = entries.join(shared.select("entry").distinct(), "entry", "left_semi").select("entry", "first", "copies")
-    wanted = stored(wanted, "line-wanted")
-    places = wanted.select("entry", "first.*")
+    wanted = stored(entries.join(shared.select("entry").distinct(), "entry", "left_semi"), "line-wanted")
+    places = wanted.select("entry", "first.row", "first.line_no")
     marks = _marks(places, "row", "line_no")
-    lines_of = _lines(df)
-    lines_of = lines_of.filter(_marked(lines_of, marks, "row", "line_no")).join(places.select("entry", "row", "line_no"), ["row", "line_no"])
-    tokens = with_tokens(lines_of.dropDuplicates(["entry"]).select("entry", line_words(F.col("line")).alias("words")), size)
-    tokens = stored(tokens.select("entry", "tokens"), "line-tokens")
+    sets = lines.filter(_marked(lines, marks, "row", "line_no")).select(*place, "n", "rare").join(places, place).dropDuplicates(place)
+    placed = shared.join(wanted, "entry").join(sets.select("entry", "n", "rare"), "entry")
+    placed = stored(placed.select("token", "entry", "first", "copies", "n", (F.array_position("rare", F.col("token")) - 1).cast("int").alias("pos")), "line-placed")
+    texts = _lines(df)
+    texts = texts.filter(_marked(texts, marks, "row", "line_no")).select("row", "line_no", "line").join(places, ["row", "line_no"]).dropDuplicates(place)
+    tokens = stored(with_tokens(texts.select("entry", line_words(F.col("line")).alias("words")), size).select("entry", "tokens"), "line-tokens")
 
-    placed = stored(shared.join(wanted, "entry"), "line-placed")
     leaders = placed.groupBy("token").agg(
         F.min(F.struct("first", "entry", "n", "pos")).alias("early"), F.max_by(F.struct("first", "entry", "n", "pos"), F.struct("copies", "entry")).alias("hub"), F.count(F.lit(1)).alias("m")
     )
@@ -156,7 +161,7 @@ def _matched_entries(df: DataFrame, lines: DataFrame, size: int, percent: int) -
     large = leaders.filter(F.col("m") > SALTS).select("token", F.lit(True).alias("large"))
     others = _open_pairs(placed, matched, large, open_, salted, percent)
     others = stored(others, "line-open")
-    return entries.select("entry", "first"), matched.unionByName(_verified(others, tokens, percent)).distinct()
+    return entries, matched.unionByName(_verified(others, tokens, percent)).distinct()
 
 
 def _open_pairs(placed: DataFrame, matched: DataFrame, large: DataFrame, open_: DataFrame, salted: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +190,7 @@ def removed_lines(df: DataFrame, size: int = TOKEN, percent: int = PERCENT) -> D
     judged = entries.join(near, "entry", "left").withColumn("near", F.coalesce("near", F.lit(False)))
     place = F.struct("doc_id", "row", "line_no")
     # An entry that stands once and matches nothing removes no line; the others are far fewer than the lines.
-    again = lines.groupBy("entry").agg(F.count(F.lit(1)).alias("c")).join(judged, "entry").filter((F.col("c") > 1) | F.col("near")).select("entry", "first", "near")
+    again = judged.filter((F.col("copies") > 1) | F.col("near")).select("entry", "first", "near")
     gone = lines.select("doc_id", "row", "line_no", "entry").join(again, "entry").filter(F.col("near") | (place != F.col("first")))
     return gone.groupBy("row").agg(F.collect_set("line_no").alias("lines"))
 
