@@ -156,22 +156,21 @@ def _matched_entries(df: DataFrame, lines: DataFrame, size: int, percent: int) -
     matched = stored(_verified(tried, tokens, percent), "line-matched")
 
     # What no leader matches is held against every earlier entry under its tokens.
-    open_ = placed.join(matched.withColumnRenamed("y", "entry"), "entry", "left_anti").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = placed.withColumn("salt", F.pmod("entry", F.lit(SALTS)).cast("int"))
     large = leaders.filter(F.col("m") > SALTS).select("token", F.lit(True).alias("large"))
-    others = _open_pairs(placed, matched, large, open_, salted, percent)
-    others = stored(others, "line-open")
+    left = placed.join(matched.withColumnRenamed("y", "entry"), "entry", "left_anti")
+    others = stored(_open_pairs(placed, left, large, percent), "line-open")
     return entries, matched.unionByName(_verified(others, tokens, percent)).distinct()
 
 
-def _open_pairs(placed: DataFrame, matched: DataFrame, large: DataFrame, open_: DataFrame, salted: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(placed: DataFrame, left: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of an unmatched entry y and an earlier x; tokens with many entries are dealt over SALTS tasks."""
-    left = placed.join(matched.withColumnRenamed("y", "entry"), "entry", "left_anti")
-    small = placed.join(large, "token", "left_anti").alias("p").join(left.join(large, "token", "left_anti").alias("q"), "token")
-    many = salted.join(large, "token").alias("p").join(open_.join(large, "token").alias("q"), ["token", "salt"])
+    p, q = (d.join(large, "token", "left").withColumn("large", F.coalesce("large", F.lit(False))) for d in (placed, left))
+    salt = F.when(F.col("large"), F.pmod("entry", F.lit(SALTS)).cast("int")).otherwise(0)
+    p, q = stored(p.withColumn("salt", salt), "line-earlier"), stored(q, "line-left")
+    q = q.withColumn("salt", F.explode(F.when(F.col("large"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     keep = (F.col("p.first") < F.col("q.first")) & _may_match("p", "q", percent)
-    pairs = [d.filter(keep).select(F.col("p.entry").alias("x"), F.col("q.entry").alias("y")) for d in (small, many)]
-    return pairs[0].unionByName(pairs[1]).distinct()
+    pairs = p.alias("p").join(q.drop("large").alias("q"), ["token", "salt"]).filter(keep)
+    return pairs.select(F.col("p.entry").alias("x"), F.col("q.entry").alias("y")).distinct()
 
 
 def removed_lines(df: DataFrame, size: int = TOKEN, percent: int = PERCENT) -> DataFrame:
