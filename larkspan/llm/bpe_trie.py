@@ -19,6 +19,8 @@ from .common import documents, slices
 #: Fixed values of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Bytes of text whose new words are put into one trie.
+STEP = 1 << 21
 #: Distinct words, and their bytes, that a worker keeps encoded; beyond, it starts anew.
 KEPT_WORDS, KEPT_BYTES = 600_000, 90_000_000
 #: Distinct pairs of tokens whose fit a worker remembers.
@@ -192,7 +194,7 @@ def encode_column(df: DataFrame, path: str, decode: bool = True) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(sent.value)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP):
             ids = coder.encode([t or "" for t in batch.column("text").to_pylist()])
             flat = pa.array(memoryview(b"".join(ids)).cast("i"), pa.int32()) if any(ids) else pa.array([], pa.int32())
             ends = [0]

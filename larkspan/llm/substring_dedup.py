@@ -127,7 +127,9 @@ class Runs:
 
 def _seed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        seeds, counts = np.unique(Runs(batch.column("text")).seed, return_counts=True)
+        every = np.sort(Runs(batch.column("text")).seed)
+        begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), every[1:] != every[:-1]]))
+        seeds, counts = every[begins], np.diff(np.append(begins, len(every)))
         yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(counts)], names=["seed", "n"])
 
 
@@ -169,9 +171,11 @@ def _segments(sent):
             rows = _repeated(runs, sent.value)
             if not len(rows):
                 continue
-            pair = np.stack([runs.seed[rows], runs.content[rows]])
-            _, index, counts = np.unique(pair, axis=1, return_index=True, return_counts=True)
-            rows = rows[index]
+            rows = rows[np.lexsort((runs.content[rows], runs.seed[rows]))]
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (runs.seed[rows[1:]] != runs.seed[rows[:-1]]) | (runs.content[rows[1:]] != runs.content[rows[:-1]])
+            counts = np.diff(np.append(np.flatnonzero(fresh), len(rows)))
+            rows = rows[fresh]
             sizes = runs.windows[rows] + runs.window - 1
             ends = np.concatenate([[0], np.cumsum(sizes)])
             take = np.repeat(runs.at[rows] - ends[:-1], sizes) + np.arange(ends[-1])

@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, slices, stored
+from .words import distinct
 
 #: Lengths of the n-grams, and the buckets they are hashed into.
 LENGTHS, BITS = (4, 5, 6), 20
 #: At most so many labelled rows are learned from (by a hash of doc_id, so that reruns agree); the driver and a broadcast
 #: hold no more than follows from it.
 TRAIN_ROWS = 20_000
+#: Bytes of text worked on at a time: small arrays stay in the processor's cache.
+STEP = 1 << 17
 #: Buckets with a weight: those that tell the two classes apart best.
 FEATURES = 4096
 #: Tasks that count n-grams of the training rows; each sends the driver two counts a bucket.
@@ -57,8 +60,8 @@ def ngram_hits(texts: list[str | None], wanted: np.ndarray | None) -> tuple[np.n
         at = np.flatnonzero(wanted[bucket]) if wanted is not None else np.arange(len(bucket))
         text = np.searchsorted(ends, at, side="right")
         inside = at + n <= ends[text]
-        found.append(np.unique(text[inside].astype(np.int64) << BITS | bucket[at[inside]]))
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        found.append(text[inside].astype(np.int64) << BITS | bucket[at[inside]])
+    pairs = distinct(np.concatenate(found)) if found else np.empty(0, np.int64)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
@@ -84,7 +87,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per class, in how many texts of this task each bucket occurs, and how many texts there are."""
     counts, rows = np.zeros((2, 1 << BITS), np.uint16), [0, 0]
-    for batch in slices(batches):
+    for batch in slices(batches, limit=STEP):
         toxic = np.array(batch.column("toxic").to_pylist(), bool)
         text, bucket = ngram_hits(batch.column("text").to_pylist(), None)
         for k in (0, 1):
@@ -147,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Toxici
     sent = sample.sparkSession.sparkContext.broadcast(place)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP):
             text, bucket = ngram_hits(batch.column("text").to_pylist(), sent.value >= 0)
             cols = sent.value[bucket].astype(np.uint16)
             edges = np.searchsorted(text, np.arange(batch.num_rows + 1))
@@ -173,7 +176,7 @@ def score(df: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id"
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
         wanted = weights != 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP):
             text, bucket = ngram_hits(batch.column("text").to_pylist(), wanted)
             z = np.bincount(text, weights[bucket].astype(np.float64), batch.num_rows) + bias
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*keep, "score"])

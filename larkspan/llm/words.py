@@ -24,6 +24,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order. Sorting is several times faster here than the hash table behind numpy's unique."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])]
+
+
 @lru_cache(maxsize=1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_FACTOR, -1, 1 << 64)
