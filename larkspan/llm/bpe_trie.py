@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +21,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Bytes of text whose new words are put into one trie.
 STEP = 1 << 21
 #: Distinct words, and their bytes, that a worker keeps encoded; beyond, it starts anew.
-KEPT_WORDS, KEPT_BYTES = 600_000, 90_000_000
+KEPT_WORDS, KEPT_BYTES = 250_000, 40_000_000
 #: Distinct pairs of tokens whose fit a worker remembers.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -69,7 +68,7 @@ class TrieEncoder:
         self.longest = max(self.sizes)
         # Only tokens that BPE makes of their own bytes can end a prefix.
         self.number = {data: n for data, n in self.number.items() if n < 256 or self.fit(*self.parts[n], n)}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -95,8 +94,6 @@ class TrieEncoder:
         """The ids of each word. Words are walked in sorted order, so the trie's path to the current node is a stack."""
         order = sorted(range(len(words)), key=words.__getitem__)
         out: list[list[int]] = [[]] * len(words)
-        if len(self.fits) > KEPT_PAIRS:
-            self.fits.clear()
         number, fits, longest = self.number, self.fits, self.longest
         path: list[int] = []  # the last token of the prefix that ends after each byte of the current word
         earlier = b""
@@ -115,10 +112,12 @@ class TrieEncoder:
                     if token is not None:
                         if not start:
                             break
-                        pair = path[start - 1], token
+                        pair = path[start - 1] << 20 | token
                         fitting = fits.get(pair)
                         if fitting is None:
-                            fitting = fits[pair] = self.fit(*pair)
+                            if len(fits) >= KEPT_PAIRS:
+                                fits.clear()
+                            fitting = fits[pair] = self.fit(path[start - 1], token)
                         if fitting:
                             break
                 else:
@@ -181,8 +180,13 @@ def _read(spark: SparkSession, path: str) -> str:
     return text
 
 
-def encode_column(df: DataFrame, path: str, decode: bool = True) -> DataFrame:
-    """Every text's token ids: doc_id, ids (array of int) and, with `decode`, the text decoded from them.
+def _sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def encode_column(df: DataFrame, path: str, decode: bool = True, digests: bool = False) -> DataFrame:
+    """Every text's token ids: doc_id, ids (array of int) and, with `decode`, the text decoded from them; with `digests`
+    instead of that text n_tokens and SHA-256 digests of the ids and of the decoded text.
 
     As the tokenizers library encodes with add_special_tokens=False: strings of special tokens become those tokens. Null
     texts count as empty: no ids. `path` is the vocabulary's file; its content (checked: under 64 MB) is broadcast, so workers need
@@ -200,30 +204,22 @@ def encode_column(df: DataFrame, path: str, decode: bool = True) -> DataFrame:
             ends = [0]
             for x in ids:
                 ends.append(ends[-1] + len(x) // 4)
-            cols = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
-            if decode:
-                cols.append(pa.array([coder.decode(x) for x in ids], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", *["decoded"] * decode])
-
-    return df.select("doc_id", "text").mapInArrow(work, "doc_id long, ids array<int>" + ", decoded string" * decode)
-
+            cols = {"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)}
+            if digests:
+                cols["n_tokens"] = pa.array([len(x) // 4 for x in ids], pa.int64())
+                cols["ids_sha256"] = pa.array([_sha(x) for x in ids], pa.string())
+                cols["decoded_sha256"] = pa.array([_sha(coder.decode(x).encode("utf-8", "surrogatepass")) for x in ids], pa.string())
+            elif decode:
+                cols["decoded"] = pa.array([coder.decode(x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "ids"):
-        ids, decoded = batch.column("ids"), batch.column("decoded").to_pylist()
-        flat, ends = ids.flatten().to_numpy(), [0]
-        for n in pc.list_value_length(ids).to_pylist():
-            ends.append(ends[-1] + n)
-        shas = [hashlib.sha256(flat[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), ids, pa.array([b - a for a, b in zip(ends, ends[1:], strict=False)], pa.int64()), pa.array(shas, pa.string()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded], pa.string())],
-            names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+    more = ", n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else ", decoded string" * decode
+    return df.select("doc_id", "text").mapInArrow(work, "doc_id long, ids array<int>" + more)
 
 
 def encoded(df: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, n_tokens, and SHA-256 digests of the ids and of the text decoded from them, of every text."""
-    return encode_column(df, path).mapInArrow(_digests, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode_column(df, path, digests=True)
 
 
 def default_path() -> str:

@@ -24,6 +24,8 @@ STEP = 1 << 17
 FEATURES = 4096
 #: Tasks that count n-grams of the training rows; each sends the driver two counts a bucket.
 TRAIN_TASKS = 12
+#: Training rows that one step of the fit works on at a time.
+CHUNK = 2048
 #: A text whose score reaches this is predicted toxic.
 THRESHOLD = 0.3
 
@@ -99,20 +101,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fit(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, penalty: float = 0.01, steps: int = 600) -> tuple[np.ndarray, float]:
     """Logistic regression with a squared penalty by accelerated full-batch gradient steps; the last weight is the constant."""
     n, m = len(rows), len(ratios)
-    lengths = np.array([len(r) for r in rows])
-    cols = np.concatenate([*rows, np.empty(0, np.uint16)]).astype(np.int64)
-    row_of = np.repeat(np.arange(n), lengths)
-    values = ratios[cols]
-    # Largest curvature, bounded by the norms of the rows' and columns' absolute sums.
-    row_sum, col_sum = np.bincount(row_of, np.abs(values), n) + 1, np.bincount(cols, np.abs(values), m)
-    step = 1 / (0.25 * row_sum.max() * max(col_sum.max(initial=0), n) / n + penalty / n)
+    chunks = [rows[a : a + CHUNK] for a in range(0, n, CHUNK)]
+    cols = [np.concatenate([*c, np.empty(0, np.uint16)]) for c in chunks]
+    row_of = [np.repeat(np.arange(len(c), dtype=np.uint16), [len(r) for r in c]) for c in chunks]
+    # Largest curvature, bounded by the greatest sum of absolute values of a row and of a column.
+    row_sum = max(np.bincount(r, np.abs(ratios[c]), 1).max() for r, c in zip(row_of, cols, strict=True)) + 1
+    col_sum = sum(np.bincount(c, np.abs(ratios[c]), m) for c in cols)
+    step = 1 / (0.25 * row_sum * max(col_sum.max(initial=0), n) / n + penalty / n)
     w, b = np.zeros(m), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     look_w, look_b, t = w, b, 1.0
     for _ in range(steps):
-        z = np.bincount(row_of, values * look_w[cols], n) + look_b
-        g = 1 / (1 + np.exp(-z)) - y
-        new_w = look_w - step * (np.bincount(cols, values * g[row_of], m) / n + penalty / n * look_w)
-        new_b = look_b - step * g.mean()
+        back, total, look = np.zeros(m), 0.0, ratios * look_w
+        for k, (r, c) in enumerate(zip(row_of, cols, strict=True)):
+            part = y[k * CHUNK : (k + 1) * CHUNK]
+            g = 1 / (1 + np.exp(-(np.bincount(r, look[c], len(part)) + look_b))) - part
+            back += np.bincount(c, g[r], m)
+            total += g.sum()
+        back *= ratios
+        new_w = look_w - step * (back / n + penalty / n * look_w)
+        new_b = look_b - step * total / n
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look_w, look_b = new_w + (t - 1) / t_next * (new_w - w), new_b + (t - 1) / t_next * (new_b - b)
         w, b, t = new_w, new_b, t_next
