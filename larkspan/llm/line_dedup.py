@@ -11,8 +11,8 @@ from .common import documents, stored
 
 #: Words in a token of a line, and the similarity, in percent, from which a later line is a match of an earlier one.
 TOKEN, PERCENT = 5, 75
-#: Counters of the token frequencies, as many as an aggregate's fast map holds; the table of their classes has one number each.
-COUNTERS = 1 << 16
+#: Counters of the token frequencies: the table of their classes is 512 KB, however large the input.
+COUNTERS = 1 << 19
 #: Bits in the table of marks by which rows are passed over before a join: 1 MB of hexadecimal digits, however large the input.
 MARKS = 1 << 22
 #: Entries that one token leads together are dealt over so many tasks.
@@ -65,14 +65,16 @@ def _lines(df: DataFrame) -> DataFrame:
 
 
 def _classes(tokens: DataFrame) -> Column:
-    """An array with a class for each counter: twice the binary logarithm of how often its tokens occur in all lines."""
-    counts = tokens.groupBy(_place(F.col("token"), COUNTERS).alias("at")).count()
-    found = counts.select("at", F.floor(2 * F.log2(F.col("count") + 1)).cast("string").alias("value")).groupBy((F.col("at") % 64).alias("b"))
-    table = ["0"] * COUNTERS
-    for r in found.agg(F.array_join(F.collect_list(F.concat_ws(":", "at", "value")), ",").alias("values")).collect():
-        for at, value in (x.split(":") for x in r["values"].split(",")):
-            table[int(at)] = value
-    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
+    """A byte for each counter: twice the binary logarithm of how often its tokens occur in all lines."""
+    counts = tokens.groupBy(_place(F.col("token"), COUNTERS).cast("int").alias("at")).count()
+    value = F.floor(2 * F.log2(F.col("count") + 1)).cast("int")
+    packed = F.array_join(F.collect_list(F.concat(F.lpad(F.hex(F.floor(F.col("at") / 1024)), 4, "0"), F.lpad(F.hex(value), 2, "0"))), "")
+    table = bytearray(COUNTERS)
+    for r in counts.groupBy((F.col("at") % 1024).alias("b")).agg(packed.alias("values")).collect():
+        found = bytes.fromhex(r["values"])
+        for k in range(0, len(found), 3):
+            table[(found[k] << 8 | found[k + 1]) * 1024 + r["b"]] = found[k + 2]
+    return F.lit(table)
 
 
 def _place(h: Column, size: int) -> Column:
@@ -100,7 +102,7 @@ def _line_sets(df: DataFrame, size: int, percent: int) -> DataFrame:
     """Every line with words: its place, n (tokens), entry (hash of its token set) and rare: its prefix, rarest tokens first."""
     words = _lines(df).withColumn("words", line_words(F.col("line"))).filter(F.size("words") > 0)
     classes = _classes(token_rows(words.select("words"), size))
-    rarity = lambda t: F.shiftleft(F.get(classes, t.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
+    rarity = lambda t: F.shiftleft(F.ascii(F.substring(classes, t.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, 1).cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
     sets = with_tokens(words.select("doc_id", "row", "line_no", "words"), size)
     n = F.size("tokens")
     ordered = sets.withColumn("_ordered", F.sort_array(F.transform("tokens", rarity)))
