@@ -11,8 +11,8 @@ from .common import documents, stored
 
 #: Words in a token of a line, and the similarity, in percent, from which a later line is a match of an earlier one.
 TOKEN, PERCENT = 5, 75
-#: Counters of the token frequencies: the table of their classes is 512 KB, however large the input.
-COUNTERS = 1 << 19
+#: Counters of the token frequencies: the table of their classes is 128 KB, however large the input.
+COUNTERS = 1 << 17
 #: Bits in the table of marks by which rows are passed over before a join: 1 MB of hexadecimal digits, however large the input.
 MARKS = 1 << 22
 #: Entries that one token leads together are dealt over so many tasks.
@@ -129,12 +129,20 @@ def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return both.filter(shared * (100 + percent) >= (F.size("_a") + F.size("_b")) * percent).select("y").distinct()
 
 
+def _once(lines: DataFrame, entries: DataFrame, place: list[str]) -> DataFrame:
+    """One line for each entry among `lines`: that at its first place. Rows that repeat as a whole share a place."""
+    return lines.join(entries.select("entry", "first.row", "first.line_no"), place).dropDuplicates(place)
+
+
 def _matched_entries(df: DataFrame, lines: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(entry, first: the place where it first stands, copies) of all token sets, and the entries that match an earlier one."""
     first = F.min(F.struct("doc_id", "row", "line_no")).alias("first")
     entries = stored(lines.groupBy("entry").agg(first, F.count(F.lit(1)).alias("copies")), "line-entries")
     place = ["entry", "row", "line_no"]
-    firsts = lines.select(*place, "rare").join(entries.select("entry", "first.row", "first.line_no"), place).dropDuplicates(place)
+    # Of the sets that stand more than once only the first place gives postings; the others need no join.
+    again = entries.filter("copies > 1").select("entry", "first.row", "first.line_no")
+    repeated = _marked(lines, _marks(again, "entry"), "entry")
+    firsts = lines.filter(~repeated).select("entry", "rare").unionByName(_once(lines.filter(repeated), entries, place).select("entry", "rare"))
     postings = firsts.select("entry", F.explode("rare").alias("token")).repartition("token")
     several = postings.groupBy("token").agg(F.min("entry").alias("lo"), F.max("entry").alias("hi")).filter("lo <> hi").select("token")
     shared = stored(postings.join(several, "token"), "line-postings")
