@@ -122,6 +122,8 @@ def _may_match(p: str, q: str, percent: int) -> Column:
 
 def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The entries y of pairs (x, y) whose token sets have a Jaccard similarity of `percent` at least."""
+    asked = _marks(pairs.select(F.explode(F.array("x", "y")).alias("entry")).distinct(), "entry")
+    tokens = tokens.filter(_marked(tokens, asked, "entry"))
     a = tokens.select(F.col("entry").alias("x"), F.col("tokens").alias("_a"))
     b = tokens.select(F.col("entry").alias("y"), F.col("tokens").alias("_b"))
     shared = F.size(F.array_intersect("_a", "_b"))
@@ -152,7 +154,8 @@ def _matched_entries(df: DataFrame, lines: DataFrame, size: int, percent: int) -
     marks = _marks(places, "row", "line_no")
     sets = lines.filter(_marked(lines, marks, "row", "line_no")).select(*place, "n", "rare").join(places, place).dropDuplicates(place)
     placed = shared.join(wanted, "entry").join(sets.select("entry", "n", "rare"), "entry")
-    placed = stored(placed.select("token", "entry", "first", "copies", "n", (F.array_position("rare", F.col("token")) - 1).cast("int").alias("pos")), "line-placed")
+    pos = (F.array_position("rare", F.col("token")) - 1).cast("int").alias("pos")
+    placed = stored(placed.select("token", "entry", "first", "copies", "n", pos, F.size("rare").alias("k"), F.element_at("rare", -1).alias("last")), "line-placed")
     texts = _lines(df)
     texts = texts.filter(_marked(texts, marks, "row", "line_no")).select("row", "line_no", "line").join(places, ["row", "line_no"]).dropDuplicates(place)
     tokens = stored(with_tokens(texts.select("entry", line_words(F.col("line")).alias("words")), size).select("entry", "tokens"), "line-tokens")
@@ -162,7 +165,7 @@ def _matched_entries(df: DataFrame, lines: DataFrame, size: int, percent: int) -
     )
     led = leaders.select("token", F.explode(F.array("early", "hub")).alias("l")).select("token", "l.*").distinct().alias("p")
     tried = placed.alias("q").join(led, "token").filter((F.col("p.first") < F.col("q.first")) & _may_match("p", "q", percent))
-    tried = tried.select(F.col("p.entry").alias("x"), F.col("q.entry").alias("y")).distinct()
+    tried = stored(tried.select(F.col("p.entry").alias("x"), F.col("q.entry").alias("y")).distinct(), "line-tried")
     matched = stored(_verified(tried, tokens, percent), "line-matched")
 
     # What no leader matches is held against every earlier entry under its tokens.
@@ -178,9 +181,13 @@ def _open_pairs(placed: DataFrame, left: DataFrame, large: DataFrame, percent: i
     salt = F.when(F.col("large"), F.pmod("entry", F.lit(SALTS)).cast("int")).otherwise(0)
     p, q = stored(p.withColumn("salt", salt), "line-earlier"), stored(q, "line-left")
     q = q.withColumn("salt", F.explode(F.when(F.col("large"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    keep = (F.col("p.first") < F.col("q.first")) & _may_match("p", "q", percent)
+    n, m = F.col("p.n"), F.col("q.n")
+    keep = (F.col("p.first") < F.col("q.first")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
     pairs = p.alias("p").join(q.drop("large").alias("q"), ["token", "salt"]).filter(keep)
-    return pairs.select(F.col("p.entry").alias("x"), F.col("q.entry").alias("y")).distinct()
+    pairs = pairs.groupBy(F.col("p.entry").alias("x"), F.col("q.entry").alias("y"), n.alias("n"), m.alias("m"), F.col("p.last").alias("u"), F.col("q.last").alias("v"), F.col("p.k").alias("k"), F.col("q.k").alias("l")).agg(F.count(F.lit(1)).alias("c"))
+    # Up to where the earlier prefix ends, all shared tokens are counted; behind it at most that set's other tokens are shared.
+    most = F.col("c") + F.when(F.col("u") < F.col("v"), F.col("n") - F.col("k")).when(F.col("u") > F.col("v"), F.col("m") - F.col("l")).otherwise(F.least(F.col("n") - F.col("k"), F.col("m") - F.col("l")))
+    return pairs.filter(most * (100 + percent) >= (F.col("n") + F.col("m")) * percent).select("x", "y")
 
 
 def removed_lines(df: DataFrame, size: int = TOKEN, percent: int = PERCENT) -> DataFrame:
