@@ -21,7 +21,7 @@ def merge_snapshot(old: DataFrame, new: DataFrame, decided: DataFrame) -> DataFr
     state: kept (decided, never altered), same (only seen is touched), changed, added, vanished (unseen and undecided: to be
     left out), from one full outer join. An empty `new` vanishes nothing: deletion needs a complete read.
     """
-    any_read = ~new.isEmpty()
+    any_read = not new.isEmpty()
     old = old.join(decided.select("key").distinct().withColumn("decided", F.lit(True)), "key", "left")
     both = old.alias("o").join(new.alias("n"), "key", "full_outer")
     was, is_ = F.col("o.seen").isNotNull(), F.col("n.seen").isNotNull()
