@@ -17,8 +17,8 @@ BLOCK = 128
 GOLDEN = 0.6180339887498949
 #: Slots of the schedule that are numbered in one task, and cells by which points find their source.
 CHUNK, CELLS = 16384, 4096
-#: More slots than the targets need, so that the low-discrepancy schedule's few blocks of shortfall are filled; what goes
-#: beyond a target is cut.
+#: More slots than the targets need, so that the low-discrepancy schedule leaves few blocks to append; what goes beyond a
+#: target is cut.
 SPARE = 0.02
 
 
@@ -51,7 +51,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
 
 
 def _schedule(spark: SparkSession, targets: DataFrame, words: float, block: int) -> DataFrame:
-    """_nr (source), slot and its number in the source: golden-ratio points mapped through the cumulative targets."""
+    """_nr (source) and _turn, the number in the source of each of its slots.
+
+    Slots are golden-ratio points mapped through the cumulative targets. The last block of a pass is short, and a small
+    source may get no point: the turns that a source then lacks to fill its target come after the last slot.
+    """
     slots = math.ceil(words * (1 + SPARE) / block)
     cumulative = Window.orderBy("_nr")
     ranges = targets.select(
@@ -62,7 +66,13 @@ def _schedule(spark: SparkSession, targets: DataFrame, words: float, block: int)
     point = F.col("id") * F.lit(GOLDEN)
     points = spark.range(slots).withColumn("_p", point - F.floor(point)).withColumn("_cell", F.floor(F.col("_p") * CELLS).cast("long"))
     placed = points.join(cells, "_cell").filter("_p >= _lo and _p < _hi").select("_nr", F.col("id").alias("slot"))
-    return numbered(placed, ["_nr"], ["slot"], F.floor(F.col("slot") / CHUNK), "_turn")
+    turns = numbered(placed, ["_nr"], ["slot"], F.floor(F.col("slot") / CHUNK), "_turn").select("_nr", "_turn")
+    passes = F.floor(F.floor("target") / F.col("source_size"))
+    rest = F.floor("target") - passes * F.col("source_size")
+    due = targets.filter("target >= 1").select("_nr", (passes * F.ceil(F.col("source_size") / block) + F.ceil(rest / block)).alias("_due"))
+    due = due.join(placed.groupBy("_nr").agg(F.count(F.lit(1)).alias("_dealt")), "_nr", "left").withColumn("_dealt", F.coalesce("_dealt", F.lit(0)))
+    late = due.filter("_dealt < _due").select("_nr", F.explode(F.sequence("_dealt", F.col("_due") - 1)).alias("_turn"))
+    return turns.unionByName(late)
 
 
 def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
@@ -70,8 +80,8 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
 
     Each source's documents, shuffled by MD5 of their id, form a stream of words cut into blocks of `block`. The
     schedule's slots are dealt to sources by golden-ratio points and numbered in each; the n-th slot of a source takes
-    its n-th block, from the first again after the last, until the target is filled (the last block in part). A document gets
-    the words that its blocks share with it. Null texts have size 0 and are taken 0 words; null sources are one source;
+    its n-th block, from the first again after the last, until the target is filled (the last block in part), so that each
+    source is taken its target's whole words. A document gets the words that its blocks share with it. Null texts have size 0 and are taken 0 words; null sources are one source;
     repeated rows count each. A source's schedule and stream are numbered over many tasks, however large the source is.
     """
     spark = df.sparkSession

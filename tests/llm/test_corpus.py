@@ -181,6 +181,21 @@ def test_mixing(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_small_sources_fill_their_targets(spark):
+    sizes = {"s000": [4000] * 10} | {f"s{i:03}": [1 + i * 7 % 299] for i in range(1, 60)} | {"s900": [129], "s901": [10], "s902": [1], "s903": [100, 0, 200]}
+    docs = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate((s, n) for s, each in sizes.items() for n in each)]
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(docs)
+    for source in sizes:
+        rows = sorted((r for r in got if r["source"] == source), key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest())
+        filled = int(rows[0]["target"])
+        assert sum(r["taken"] for r in rows) == filled
+        passes, rest = divmod(filled, sum(sizes[source]))
+        for r in rows:
+            assert r["taken"] == passes * r["size"] + min(r["size"], rest)
+            rest -= min(r["size"], rest)
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
