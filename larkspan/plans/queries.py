@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import distance, in_circle
 from ..functions.text import allowed_by, dice, host, name_tokens, normalise_name
-from ..operators import diff, link, review, rollup, store
+from ..operators import diff, evidence, link, review, rollup, store
 from ..sources import pages, registry
 from ..streaming import attempts
 from . import rules
@@ -253,19 +253,10 @@ def html_text(spark, sf_dir):
 
 
 def quote_evidence(spark, sf_dir):
-    """Passages that stand word for word in documents: which, where, and 20 characters around them.
-
-    Passages and documents meet under a passage's words two to six, whole words wherever it stands; shorter passages are left out.
-    """
-    words = lambda c: F.split(c, r"\s+")
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).filter(F.size(words(F.col("quote"))) >= 7)
-    quotes = quotes.withColumn("block", F.xxhash64(F.slice(words(F.col("quote")), F.lit(2), F.lit(5))))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("w", words(F.col("text")))
-    at = docs.select("doc_id", F.posexplode("w").alias("i", "x"), "w").filter(F.col("i") + 5 <= F.size("w"))
-    blocks = at.select("doc_id", F.xxhash64(F.array(*[F.get("w", F.col("i") + k) for k in range(5)])).alias("block"))
-    pairs = blocks.join(quotes.select("item_id", "block"), "block").select("doc_id", "item_id").distinct()
-    both = pairs.join(docs.select("doc_id", "text"), "doc_id").join(quotes.select("item_id", "quote"), "item_id").withColumn("at", F.position(F.col("quote"), F.col("text")))
-    return both.filter("at > 0").select("doc_id", "item_id", F.col("at").cast("long").alias("at"), F.substring(F.col("text"), F.greatest(F.lit(1), F.col("at") - 20), F.least(F.lit(20), F.col("at") - 1)).alias("before"))
+    """Passages that stand in documents: which, where, and up to 20 characters before them (`evidence.quote_hits` gives both sides)."""
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    hits = evidence.quote_hits(table(spark, sf_dir, "documents"), quotes)
+    return hits.select("doc_id", "item_id", "at", F.substring(F.col("text"), F.greatest(F.lit(1), F.col("at") - 20).cast("int"), F.least(F.lit(20), F.col("at") - 1).cast("int")).alias("before"))
 
 
 def stale_flags(spark, sf_dir):

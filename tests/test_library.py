@@ -1,10 +1,12 @@
 """Every query of the library against its SQL, and the pieces that no query shows."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from larkspan.operators import store
+from larkspan.operators import evidence, store
 from larkspan.plans import queries as library
 from larkspan.plans.rules import EXAMPLE
 from larkspan.sources import registry
@@ -48,3 +50,34 @@ def test_reading_a_register(spark, tmp_path):
 
 def test_a_mapping_is_checked(spark):
     assert EXAMPLE.check(spark.createDataFrame([(1,)], "l_orderkey long"))
+
+
+QUOTES = ["six words stand right here now", "LUNCH from Noon", "bread", "rea", "ö", "ead ro", "fresh bread roll", "ro", "c++ (a.b) \\E [x]", "open every day\n from seven in the morning", "  ", "never stands anywhere in it", "day from seven in the morning until late at night"]
+TEXTS = [
+    "Say 😀 that six words stand right here now, then.", "xix words stand right here now", "lunch  from\tnoon, Bread roll", "Fresh bread rolls: c++ (a.b) \\E [x]", "We öpen; open every\u00a0day from\nseven  in the MORNING until late at night",
+    "six words stand  right here now; six words stand right here now " + "x " * 100, "", None, "y " * 100 + "fresh bread roll" + " z" * 100,
+]
+
+
+def test_passages_of_any_length(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(2)
+    got = evidence.quote_hits(docs, spark.createDataFrame(list(enumerate(QUOTES)), "item_id long, quote string")).collect()
+    want = {}
+    for d, text in enumerate(TEXTS):
+        for i, quote in enumerate(QUOTES):
+            words = quote.split()
+            tries = [re.escape(quote), r"\s+".join(map(re.escape, words)), "(?i)" + r"\s+".join(map(re.escape, words))]
+            m = next((m for t in tries if words and (m := re.search(t, text or ""))), None)
+            if m:
+                flat = lambda x: re.sub(r"\s+", " ", x)
+                want[d, i] = (m.start() + 1, flat(text[: m.start()]).lstrip()[-60:], flat(m[0]), flat(text[m.end() :]).rstrip()[:60])
+    assert len(want) > 15
+    assert {(r["doc_id"], r["item_id"]): (r["at"], r["before"], r["found"], r["after"]) for r in got} == want
+    assert len(got) == len(want)
+
+
+def test_short_passages_are_evidence(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(QUOTES)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r["doc_id"], r["item_id"]): (r["at"], r["before"]) for r in library.quote_evidence(spark, str(tmp_path)).collect()}
+    assert got[0, 0] == (12, "Say 😀 that ") and got[2, 1] == (1, "")
