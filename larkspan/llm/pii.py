@@ -96,8 +96,7 @@ def wider_spans(text: str) -> list[tuple[int, int, int]]:
     """Candidates beyond the base patterns: spelled-out addresses, national phone numbers, card-like numbers, social
     security numbers and titled names. Only what the trained classifier takes becomes a span."""
     found: list[tuple[int, int, int]] = []
-    lower_at = "at)" in text or "[at]" in text or " dot " in text
-    if lower_at:
+    if "(dot)" in text or "[dot]" in text or " dot " in text:
         found += [(0, m.start(), m.end()) for m in _SPELLED.finditer(text)]
     if any(c in text for c in "0123456789"):
         found += [(2, m.start(), m.end()) for m in _DIGITS.finditer(text) if 14 <= sum(map(str.isdigit, m.group())) <= 19]

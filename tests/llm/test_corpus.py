@@ -223,6 +223,13 @@ def test_pii(docs, nothing):
     assert pii.find_spans(nothing).count() == 0
 
 
+def test_spelled_out_addresses():
+    for at in ("(at)", "[at]", " at ", " (at) ", " [at] "):
+        for dot in ("(dot)", "[dot]", " dot ", " (dot) ", " [dot] "):
+            address = f"john{at}example{dot}com"
+            assert (0, 6, 6 + len(address)) in pii.wider_spans(f"write {address} now"), address
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["plain", "calm", "walk", "tree", "stone"] + (["vile", "scum"] if i % 5 == 0 else [])) for _ in range(20)), "en", "a", 0) for i in range(600)]
