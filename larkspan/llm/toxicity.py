@@ -75,15 +75,17 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """text and toxic (0 or 1) of at most `limit` labelled documents that are not held out.
 
-    An id with several labels is toxic if one says so; null labels and ids are left out. The sample of labels is what is broadcast, and
-    its bound is `limit`, so the documents are read once and not shuffled.
+    An id with several labels is toxic if one says so, one with several rows is learned from once, by its least text; null labels and
+    ids are left out. The sample of labels is what is broadcast, and its bound is `limit`, so the documents are read once and only the
+    sample's texts are shuffled.
     """
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("text"), F.col("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -240,3 +240,11 @@ def test_toxicity(spark, nothing):
     assert sum((scores[i] >= toxicity.THRESHOLD) == (i % 5 == 0) for i in held) / len(held) > 0.97
     assert scores[9000] == scores[9001] < toxicity.THRESHOLD
     assert toxicity.score(nothing, toxicity.train(nothing, labels)).count() == 0
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:12]
+    df = spark.createDataFrame([(i, f"text {i} {k}") for i in ids for k in range(50)] + [(ids[0], None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    assert sorted(tuple(r) for r in toxicity.training_rows(df, labels).collect()) == sorted((f"text {i} 0", i % 2) for i in ids)
+    assert toxicity.training_rows(df, labels, 5).count() == 5
