@@ -1,4 +1,4 @@
-"""Sign-in attempts: counts that start anew after a pause, in batch and as a stream."""
+"""Sign-in attempts: counts that start anew after a pause, in batch; a merge run on each batch of a stream."""
 
 from __future__ import annotations
 
@@ -24,5 +24,5 @@ def attempt_islands(attempts: DataFrame) -> DataFrame:
 
 
 def merge_stream(landed: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Run `write` (a merge into the snapshot, idempotent by batch number) on each batch of a stream of landed rows, until all are read."""
+    """Run `write` (a merge into the snapshot, idempotent by batch number) on each batch of a stream of landed rows; the query is started and ends when all are read."""
     return landed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
