@@ -11,18 +11,17 @@ from ..functions.text import host
 
 #: Entities that are decoded (fixed values); the ampersand comes last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-PAGE_TEXT = 12_000
 
 
-def html_text(html: Column, most: int = PAGE_TEXT) -> Column:
-    """The visible text: no scripts, styles or comments, block tags as line ends, entities decoded, at most `most` characters."""
+def html_text(html: Column, most: int | None = None) -> Column:
+    """The visible text: no scripts, styles or comments, block tags as line ends, entities decoded; with `most`, only so many characters."""
     out = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article|header|footer))\b[^>]*>", "\n")
     out = F.regexp_replace(out, r"<[^>]*>", " ")
     for entity, sign in ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(sign))
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
-    return F.substring(F.trim(out), 1, most)
+    return F.trim(out) if most is None else F.substring(F.trim(out), 1, most)
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larkspan.operators import evidence, store
 from larkspan.plans import queries as library
 from larkspan.plans.rules import EXAMPLE
-from larkspan.sources import registry
+from larkspan.sources import pages, registry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark")
@@ -81,3 +81,9 @@ def test_short_passages_are_evidence(spark, tmp_path):
     spark.createDataFrame(list(enumerate(QUOTES)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {(r["doc_id"], r["item_id"]): (r["at"], r["before"]) for r in library.quote_evidence(spark, str(tmp_path)).collect()}
     assert got[0, 0] == (12, "Say 😀 that ") and got[2, 1] == (1, "")
+
+
+def test_page_text_is_whole(spark):
+    df = spark.createDataFrame([("<p>" + "word " * 5000 + "end</p>",)], "html string")
+    got = df.select(pages.html_text(F.col("html")).alias("whole"), pages.html_text(F.col("html"), 9).alias("cut")).first()
+    assert got["whole"].split() == ["word"] * 5000 + ["end"] and len(got["cut"]) == 9
