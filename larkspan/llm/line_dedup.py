@@ -2,83 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import documents, stored
+from .common import documents, dropped, stored
 
 #: Words in a token of a line, and the similarity, in percent, from which a later line is a match of an earlier one.
 TOKEN, PERCENT = 5, 75
-#: Counters of the token frequencies: the table of their classes is 128 KB, however large the input.
-COUNTERS = 1 << 17
+#: Counters of the token frequencies, and classes to a doubling of a count: the table is 1 MB, however large the input.
+COUNTERS, PER_OCTAVE = 1 << 18, 8
 #: Bits in the table of marks by which rows are passed over before a join: 1 MB of hexadecimal digits, however large the input.
 MARKS = 1 << 22
-#: Entries that one token leads together are dealt over so many tasks.
-SALTS = 64
-
-
-def line_words(line: Column) -> Column:
-    """The words of a line in lower case: what ASCII white space parts."""
-    for c in "\t\x0b\x0c\r":
-        line = F.replace(line, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(F.lower(line), " "), "")
-
+#: A token that so many entries share, beyond what its counter holds of others, is dealt over SALTS tasks.
+HOT_ROWS, SALTS = 4096, 64
+#: Bits of a token's hash behind its class in the order of tokens.
+CLASS_SHIFT = 55
 
-def _tree(start: int, size: int, run: Callable, join: Callable):
-    """The hash of `size` words from `start` on: runs of powers of two words, the longest first, joined from the right."""
-    longest = 1 << (size.bit_length() - 1)
-    if longest == size:
-        return run(start, size)
-    return join(run(start, longest), _tree(start + longest, size - longest, run, join))
 
+def _lines(df: DataFrame) -> DataFrame:
+    """Every line of every text in lower case with its place: doc_id, row (a hash of the row's id and text), line_no from 0.
 
-def token_rows(lines: DataFrame, size: int) -> DataFrame:
-    """A row for each token of `lines` (words): a 64-bit hash of `size` words on end, or of all words of a shorter line."""
-    at = lines.select("words", F.posexplode("words").alias("i", "word"))
-    at = at.filter((F.col("i") + size <= F.size("words")) | ((F.size("words") < size) & (F.col("i") == 0)))
+    White space within a line is made spaces. A null text has no lines but one row without a line; explode_outer, since
+    explode would have Spark infer a filter for which all lines are made twice.
+    """
+    low = F.lower("text")
+    flat = F.when(F.col("text").rlike("[\t\x0b\x0c\r]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
+    return df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode_outer(F.split(flat, "\n")).alias("line_no", "line"))
 
-    def run(start: int, n: int) -> Column:
-        return F.xxhash64(F.get("words", F.col("i") + start)) if n == 1 else F.xxhash64(run(start, n // 2), run(start + n // 2, n // 2))
 
-    long = _tree(0, size, run, lambda a, b: F.xxhash64(a, b))
-    return at.select(F.when(F.size("words") < size, F.xxhash64("words")).otherwise(long).alias("token"))
+def line_words(line: Column) -> Column:
+    """The words of a line from _lines: what spaces part."""
+    parts = F.split(line, " ")
+    uneven = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(uneven | (line == ""), F.array_remove(parts, "")).otherwise(parts)
 
 
-def with_tokens(lines: DataFrame, size: int) -> DataFrame:
-    """Add tokens: the distinct tokens of each line, as `token_rows` makes them, as an array."""
-    n = F.size("words")
-    shifted = lambda c, k: F.slice(c, F.lit(k + 1), F.greatest(n - k, F.lit(0))) if k else F.col(c)
-    join = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
-    hashes, span = lines.withColumn("_1", F.transform("words", lambda w: F.xxhash64(w))), 1
-    while span * 2 <= size:
-        hashes, span = hashes.withColumn(f"_{span * 2}", join(F.col(f"_{span}"), shifted(f"_{span}", span))), span * 2
-    long = F.slice(_tree(0, size, lambda start, k: shifted(f"_{k}", start), join), F.lit(1), F.greatest(n - size + 1, F.lit(0)))
-    tokens = F.when(n == 0, F.array().cast("array<bigint>")).when(n < size, F.array(F.xxhash64("words"))).otherwise(F.array_distinct(long))
-    return hashes.select(*lines.columns, tokens.alias("tokens"))
+def _hashed(lines: DataFrame) -> DataFrame:
+    """Add _h, the hash of each word of `line`; null without a line."""
+    return lines.withColumn("_h", F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)))
 
 
-def _lines(df: DataFrame) -> DataFrame:
-    """Every line of every text with its place: doc_id, row (a hash of the row's id and text) and line_no from 0."""
-    return df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def token_rows(hashed: DataFrame, size: int) -> DataFrame:
+    """A row for each token: a 64-bit hash of `size` words on end, or of all words of a shorter line (null if it has none)."""
+    at = hashed.select("_h", F.posexplode_outer("_h").alias("i", "w"))
+    n = F.size("_h")
+    at = at.filter((F.col("i") + size <= n) | ((n < size) & (F.col("i") == 0)))
+    return at.select(F.when(n < size, F.xxhash64("_h")).otherwise(F.xxhash64(*[F.get("_h", F.col("i") + k) for k in range(size)])).alias("token"))
 
 
-def _classes(tokens: DataFrame) -> Column:
-    """A byte for each counter: twice the binary logarithm of how often its tokens occur in all lines."""
-    counts = tokens.groupBy(_place(F.col("token"), COUNTERS).cast("int").alias("at")).count()
-    value = F.floor(2 * F.log2(F.col("count") + 1)).cast("int")
-    packed = F.array_join(F.collect_list(F.concat(F.lpad(F.hex(F.floor(F.col("at") / 1024)), 4, "0"), F.lpad(F.hex(value), 2, "0"))), "")
-    table = bytearray(COUNTERS)
-    for r in counts.groupBy((F.col("at") % 1024).alias("b")).agg(packed.alias("values")).collect():
-        found = bytes.fromhex(r["values"])
-        for k in range(0, len(found), 3):
-            table[(found[k] << 8 | found[k + 1]) * 1024 + r["b"]] = found[k + 2]
-    return F.lit(table)
+def with_tokens(hashed: DataFrame, size: int) -> DataFrame:
+    """Add tokens: the distinct tokens of each line, as `token_rows` makes them, as an array."""
+    n = F.size("_h")
+    whole = F.slice("_h", F.lit(1), F.greatest(n - size + 1, F.lit(0)))
+    long = F.transform(whole, lambda w, i: F.xxhash64(w, *[F.get("_h", i + k) for k in range(1, size)]))
+    tokens = F.when(F.coalesce(n, F.lit(0)) < 1, F.array().cast("array<bigint>")).when(n < size, F.array(F.xxhash64("_h"))).otherwise(F.array_distinct(long))
+    return hashed.withColumn("tokens", tokens).drop("_h")
+
+
+def _classes(tokens: DataFrame) -> tuple[Column, int]:
+    """For each counter how often its tokens occur in all lines, on a logarithmic scale, as an array; and the first class of
+    tokens that are dealt over several tasks. Subqueries are not allowed in higher-order functions, so the table is a literal."""
+    counts = tokens.groupBy(_place(F.col("token"), COUNTERS).alias("at")).count()
+    dense = counts.unionByName(tokens.sparkSession.range(0, COUNTERS, 1, 1).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("count")))
+    value = lambda c: F.floor(PER_OCTAVE * F.log2(c + 1)).cast("string")
+    dense = dense.groupBy("at").agg(F.sum("count").alias("n"))
+    table = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", value(F.col("n")).alias("c")))), lambda x: x["c"]), ",")
+    found = stored(dense.agg(table.alias("classes"), value(F.lit(HOT_ROWS) + 4 * F.avg("n")).alias("hot")), "line-classes")
+    row = found.first()
+    dropped(found)
+    return F.split(F.lit(row["classes"]), ",").cast("array<smallint>"), int(row["hot"]) + 1
 
 
 def _place(h: Column, size: int) -> Column:
-    return h.bitwiseAND(F.lit(size - 1))
+    return h.bitwiseAND(F.lit(size - 1).cast("long"))
 
 
 def _marks(rows: DataFrame, *columns: str) -> DataFrame:
@@ -98,18 +95,22 @@ def _marked(df: DataFrame, marks: DataFrame, *columns: str) -> Column:
     return digit.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(4)]), (at % 4 + 1).cast("int"))) > 0
 
 
-def _line_sets(df: DataFrame, size: int, percent: int) -> DataFrame:
-    """Every line with words: its place, n (tokens), entry (hash of its token set) and rare: its prefix, rarest tokens first."""
-    words = _lines(df).withColumn("words", line_words(F.col("line"))).filter(F.size("words") > 0)
-    classes = _classes(token_rows(words.select("words"), size))
-    rarity = lambda t: F.shiftleft(F.ascii(F.substring(classes, t.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, 1).cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
-    sets = with_tokens(words.select("doc_id", "row", "line_no", "words"), size)
+def _prefix(n: Column, percent: int) -> Column:
+    """How many of a set's n tokens, the rarest first, hold one at least that any matching set shares."""
+    return n - F.ceil(n * percent / 100).cast("int") + 1
+
+
+def _line_sets(df: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
+    """Every line with its place, n (tokens), entry (hash of its token set) and rare: its prefix, rarest tokens first; and the first hot class."""
+    hashed = _hashed(_lines(df))
+    table, hot = _classes(token_rows(hashed, size))
+    rarity = lambda t: F.shiftleft(F.get(table, t.bitwiseAND(F.lit(COUNTERS - 1).cast("long")).cast("int")).cast("long"), CLASS_SHIFT).bitwiseOR(F.shiftrightunsigned(t, 64 - CLASS_SHIFT))
+    sets = with_tokens(hashed, size).withColumn("_ordered", F.sort_array(F.transform("tokens", rarity)))
     n = F.size("tokens")
-    ordered = sets.withColumn("_ordered", F.sort_array(F.transform("tokens", rarity)))
-    return ordered.select(
-        "doc_id", "row", "line_no", n.alias("n"), F.xxhash64("_ordered").alias("entry"),
-        F.slice("_ordered", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("rare"),
+    out = sets.select(
+        "doc_id", "row", "line_no", n.alias("n"), F.xxhash64("_ordered", F.array_min("tokens")).alias("entry"), F.slice("_ordered", F.lit(1), _prefix(n, percent)).alias("rare"),
     )
+    return stored(out, "line-sets").filter("n > 0"), hot
 
 
 def _may_match(p: str, q: str, percent: int) -> Column:
@@ -122,72 +123,88 @@ def _may_match(p: str, q: str, percent: int) -> Column:
 
 def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The entries y of pairs (x, y) whose token sets have a Jaccard similarity of `percent` at least."""
-    asked = _marks(pairs.select(F.explode(F.array("x", "y")).alias("entry")).distinct(), "entry")
-    tokens = tokens.filter(_marked(tokens, asked, "entry"))
-    a = tokens.select(F.col("entry").alias("x"), F.col("tokens").alias("_a"))
-    b = tokens.select(F.col("entry").alias("y"), F.col("tokens").alias("_b"))
+    marks = _marks(pairs.select(F.explode(F.array("x", "y")).alias("entry")).distinct(), "entry")
+    asked = tokens.filter(_marked(tokens, marks, "entry"))
+    a = asked.select(F.col("entry").alias("x"), F.col("tokens").alias("_a"))
+    b = asked.select(F.col("entry").alias("y"), F.col("tokens").alias("_b"))
     shared = F.size(F.array_intersect("_a", "_b"))
     both = pairs.join(a, "x").join(b, "y")
-    return both.filter(shared * (100 + percent) >= (F.size("_a") + F.size("_b")) * percent).select("y").distinct()
+    return stored(both.filter(shared * (100 + percent) >= (F.size("_a") + F.size("_b")) * percent).select("y").distinct(), "line-matched")
+
 
+def _shared_postings(lines: DataFrame, entries: DataFrame, hot: int) -> DataFrame:
+    """(token, entry, n, pos, first, copies) of the prefixes, under tokens that several entries have.
+
+    Of the entries that stand more than once only the first place gives postings; the others need no join. Tokens of hot
+    classes are dealt by entry too, and all of them count as shared.
+    """
+    repeated = _marked(lines, _marks(entries.filter("copies > 1").select("entry"), "entry"), "entry")
+    places = entries.select("entry", "first.row", "first.line_no")
+    once = lines.filter(repeated).join(places, ["entry", "row", "line_no"]).dropDuplicates(["entry"])
+    cols = ["entry", "n", "rare"]
+    firsts = lines.filter(~repeated).select(*cols).unionByName(once.select(*cols))
+    # n and pos in one number, since rows are many and shuffled.
+    postings = firsts.select("entry", "n", F.posexplode_outer("rare").alias("pos", "token")).select("token", "entry", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("np"))
+    dealt = F.shiftrightunsigned("token", CLASS_SHIFT) >= hot
+    postings = postings.withColumn("part", F.when(dealt, F.pmod("entry", F.lit(SALTS)).cast("int")).otherwise(F.lit(-1)))
+    several = Window.partitionBy("token", "part")
+    shared = postings.withColumn("m", F.count(F.lit(1)).over(several)).filter("m > 1 or part >= 0")
+    split = shared.select("token", "entry", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+    return stored(split.join(entries, "entry"), "line-placed")
+
+
+def _dealt(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings with salt, and per token and salt the leaders: the earliest entry and that with the most copies.
+
+    Tokens with many entries are dealt over SALTS tasks, and their leaders are there in each.
+    """
+    l = F.struct("first", "entry", "n", "pos")  # noqa: E741
+    leaders = placed.groupBy("token").agg(F.min(l).alias("early"), F.max_by(l, F.struct("copies", "entry")).alias("hub"), F.count(F.lit(1)).alias("m"))
+    large = F.col("m") > HOT_ROWS
+    leaders = stored(leaders.select("token", "early", "hub", large.alias("large")), "line-leaders")
+    hot = leaders.filter("large").select("token", "large")
+    salted = placed.join(hot, "token", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    salted = stored(salted.withColumn("salt", F.when(F.col("large"), F.pmod("entry", F.lit(SALTS)).cast("int")).otherwise(F.lit(0))), "line-salted")
+    return salted, leaders
 
-def _once(lines: DataFrame, entries: DataFrame, place: list[str]) -> DataFrame:
-    """One line for each entry among `lines`: that at its first place. Rows that repeat as a whole share a place."""
-    return lines.join(entries.select("entry", "first.row", "first.line_no"), place).dropDuplicates(place)
 
+def _salts(large: str) -> Column:
+    return F.explode(F.when(F.col(large), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
 
-def _matched_entries(df: DataFrame, lines: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+
+def _open_pairs(placed: DataFrame, matched: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of an unmatched entry y and an earlier x that can still match by the number of rare tokens they share."""
+    left = placed.join(matched.withColumnRenamed("y", "entry"), "entry", "left_anti").withColumn("salt", _salts("large"))
+    earlier = F.col("p.first") < F.col("q.first")
+    met = placed.alias("p").join(left.alias("q"), ["token", "salt"]).filter(earlier & _may_match("p", "q", percent))
+    pairs = met.groupBy(F.col("p.entry").alias("x"), F.col("q.entry").alias("y"), F.col("p.n").alias("n"), F.col("q.n").alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    # Shared tokens up to where the shorter prefix ends (in the order of tokens) are all counted; behind it only that set's others can be shared.
+    n, m = F.col("n"), F.col("m")
+    most = F.col("c") + F.greatest(n - _prefix(n, percent), m - _prefix(m, percent))
+    return stored(pairs.filter(most * (100 + percent) >= (n + m) * percent).select("x", "y"), "line-open")
+
+
+def _matched_entries(df: DataFrame, lines: DataFrame, hot: int, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(entry, first: the place where it first stands, copies) of all token sets, and the entries that match an earlier one."""
     first = F.min(F.struct("doc_id", "row", "line_no")).alias("first")
     entries = stored(lines.groupBy("entry").agg(first, F.count(F.lit(1)).alias("copies")), "line-entries")
-    place = ["entry", "row", "line_no"]
-    # Of the sets that stand more than once only the first place gives postings; the others need no join.
-    again = entries.filter("copies > 1").select("entry", "first.row", "first.line_no")
-    repeated = _marked(lines, _marks(again, "entry"), "entry")
-    firsts = lines.filter(~repeated).select("entry", "rare").unionByName(_once(lines.filter(repeated), entries, place).select("entry", "rare"))
-    postings = firsts.select("entry", F.explode("rare").alias("token")).repartition("token")
-    several = postings.groupBy("token").agg(F.min("entry").alias("lo"), F.max("entry").alias("hi")).filter("lo <> hi").select("token")
-    shared = stored(postings.join(several, "token"), "line-postings")
-
-    wanted = stored(entries.join(shared.select("entry").distinct(), "entry", "left_semi"), "line-wanted")
-    places = wanted.select("entry", "first.row", "first.line_no")
-    marks = _marks(places, "row", "line_no")
-    sets = lines.filter(_marked(lines, marks, "row", "line_no")).select(*place, "n", "rare").join(places, place).dropDuplicates(place)
-    placed = shared.join(wanted, "entry").join(sets.select("entry", "n", "rare"), "entry")
-    pos = (F.array_position("rare", F.col("token")) - 1).cast("int").alias("pos")
-    placed = stored(placed.select("token", "entry", "first", "copies", "n", pos, F.size("rare").alias("k"), F.element_at("rare", -1).alias("last")), "line-placed")
+    shared = _shared_postings(lines, entries, hot)
+    places = shared.select("entry", "first.row", "first.line_no").distinct()
     texts = _lines(df)
-    texts = texts.filter(_marked(texts, marks, "row", "line_no")).select("row", "line_no", "line").join(places, ["row", "line_no"]).dropDuplicates(place)
-    tokens = stored(with_tokens(texts.select("entry", line_words(F.col("line")).alias("words")), size).select("entry", "tokens"), "line-tokens")
-
-    leaders = placed.groupBy("token").agg(
-        F.min(F.struct("first", "entry", "n", "pos")).alias("early"), F.max_by(F.struct("first", "entry", "n", "pos"), F.struct("copies", "entry")).alias("hub"), F.count(F.lit(1)).alias("m")
-    )
-    led = leaders.select("token", F.explode(F.array("early", "hub")).alias("l")).select("token", "l.*").distinct().alias("p")
-    tried = placed.alias("q").join(led, "token").filter((F.col("p.first") < F.col("q.first")) & _may_match("p", "q", percent))
-    tried = stored(tried.select(F.col("p.entry").alias("x"), F.col("q.entry").alias("y")).distinct(), "line-tried")
-    matched = stored(_verified(tried, tokens, percent), "line-matched")
+    texts = texts.filter(_marked(texts, _marks(places, "row", "line_no"), "row", "line_no")).join(places, ["row", "line_no"]).dropDuplicates(["entry"])
+    tokens = stored(with_tokens(_hashed(texts.select("entry", "line")), size).select("entry", "tokens"), "line-tokens")
 
+    placed, leaders = _dealt(shared)
+    dropped(shared)
+    led = leaders.select("token", "large", F.explode(F.array("early", "hub")).alias("l")).select("token", "large", "l.*").distinct().withColumn("salt", _salts("large")).alias("p")
+    tried = placed.alias("q").join(led, ["token", "salt"]).filter((F.col("p.first") < F.col("q.first")) & _may_match("p", "q", percent))
+    tried = stored(tried.select(F.col("p.entry").alias("x"), F.col("q.entry").alias("y")).distinct(), "line-tried")
+    matched = _verified(tried, tokens, percent)
     # What no leader matches is held against every earlier entry under its tokens.
-    large = leaders.filter(F.col("m") > SALTS).select("token", F.lit(True).alias("large"))
-    left = placed.join(matched.withColumnRenamed("y", "entry"), "entry", "left_anti")
-    others = stored(_open_pairs(placed, left, large, percent), "line-open")
-    return entries, matched.unionByName(_verified(others, tokens, percent)).distinct()
-
-
-def _open_pairs(placed: DataFrame, left: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of an unmatched entry y and an earlier x; tokens with many entries are dealt over SALTS tasks."""
-    p, q = (d.join(large, "token", "left").withColumn("large", F.coalesce("large", F.lit(False))) for d in (placed, left))
-    salt = F.when(F.col("large"), F.pmod("entry", F.lit(SALTS)).cast("int")).otherwise(0)
-    p, q = stored(p.withColumn("salt", salt), "line-earlier"), stored(q, "line-left")
-    q = q.withColumn("salt", F.explode(F.when(F.col("large"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    n, m = F.col("p.n"), F.col("q.n")
-    keep = (F.col("p.first") < F.col("q.first")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-    pairs = p.alias("p").join(q.drop("large").alias("q"), ["token", "salt"]).filter(keep)
-    pairs = pairs.groupBy(F.col("p.entry").alias("x"), F.col("q.entry").alias("y"), n.alias("n"), m.alias("m"), F.col("p.last").alias("u"), F.col("q.last").alias("v"), F.col("p.k").alias("k"), F.col("q.k").alias("l")).agg(F.count(F.lit(1)).alias("c"))
-    # Up to where the earlier prefix ends, all shared tokens are counted; behind it at most that set's other tokens are shared.
-    most = F.col("c") + F.when(F.col("u") < F.col("v"), F.col("n") - F.col("k")).when(F.col("u") > F.col("v"), F.col("m") - F.col("l")).otherwise(F.least(F.col("n") - F.col("k"), F.col("m") - F.col("l")))
-    return pairs.filter(most * (100 + percent) >= (F.col("n") + F.col("m")) * percent).select("x", "y")
+    others = _open_pairs(placed, matched, percent)
+    found = stored(matched.unionByName(_verified(others, tokens, percent)).distinct(), "line-near")
+    dropped(tokens, placed, leaders, tried, others, matched)
+    return entries, found
 
 
 def removed_lines(df: DataFrame, size: int = TOKEN, percent: int = PERCENT) -> DataFrame:
@@ -200,38 +217,42 @@ def removed_lines(df: DataFrame, size: int = TOKEN, percent: int = PERCENT) -> D
     leave is verified on the whole sets: first against two leaders of each token, the earliest entry and the one with
     the most copies, then, if no leader matches, against every earlier entry.
     """
-    lines = stored(_line_sets(df, size, percent), "line-sets")
-    entries, matched = _matched_entries(df, lines, size, percent)
-    near = matched.select(F.col("y").alias("entry"), F.lit(True).alias("near"))
-    judged = entries.join(near, "entry", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    lines, hot = _line_sets(df, size, percent)
+    entries, near = _matched_entries(df, lines, hot, size, percent)
+    judged = entries.join(near.select(F.col("y").alias("entry"), F.lit(True).alias("near")), "entry", "left").withColumn("near", F.coalesce("near", F.lit(False)))
     place = F.struct("doc_id", "row", "line_no")
-    # An entry that stands once and matches nothing removes no line; the others are far fewer than the lines.
+    # An entry that stands once and matches nothing removes no line; the others are far fewer than the lines. A join that
+    # Spark can split where a line stands everywhere: nothing is grouped by entry.
     again = judged.filter((F.col("copies") > 1) | F.col("near")).select("entry", "first", "near")
     gone = lines.select("doc_id", "row", "line_no", "entry").join(again, "entry").filter(F.col("near") | (place != F.col("first")))
-    return gone.groupBy("row").agg(F.collect_set("line_no").alias("lines"))
+    out = stored(gone.groupBy("row").agg(F.collect_set("line_no").alias("lines")), "line-removed")
+    dropped(lines, entries, near)
+    return out
 
 
-def dedup_lines(df: DataFrame, size: int = TOKEN, percent: int = PERCENT) -> DataFrame:
-    """`df` with kept (the text without its removed lines), n_lines and n_removed in place of text.
+def dedup_lines(df: DataFrame, size: int = TOKEN, percent: int = PERCENT, names: tuple[str, str | None, str | None] = ("kept", "n_lines", "n_removed")) -> DataFrame:
+    """`df` with the text without its removed lines, the number of lines and of removed lines under `names`, in place of text.
 
     Lines without words always stay. A null text has no lines and stays null; an empty text is one line without words.
     Rows that repeat in doc_id and text are one row to the comparison and lose the same lines. An empty table gives
-    none; other columns are carried, their names do not matter. Texts without removed lines are not shuffled.
+    none. Other columns are carried, but for those named like one of `names`, which are replaced; a name of None leaves
+    that column out. A text is split in one task, which holds its lines. Texts without removed lines are not shuffled.
     """
-    gone = stored(removed_lines(df, size, percent).select("row", "lines"), "line-removed")
+    gone = removed_lines(df, size, percent)
     marks = _marks(gone.select("row"), "row")
-    cols = [c for c in df.columns if c != "text"]
-    held = df.select(F.struct(*[df[c] for c in cols]).alias("_held"), F.col("text").alias("_text"), F.xxhash64("doc_id", "text").alias("row"))
+    cols = [c for c in df.columns if c != "text" and c not in names]
+    held = df.select(F.struct(F.lit(0).alias("_"), *[df[c] for c in cols]).alias("_held"), F.col("text").alias("_text"), F.xxhash64("doc_id", "text").alias("row"))
     marked = _marked(held, marks, "row")
     none = F.array().cast("array<int>")
     parts = [held.filter(marked).join(gone, "row", "left"), held.filter(~marked).withColumn("lines", F.lit(None).cast("array<int>"))]
     both = parts[0].unionByName(parts[1]).withColumn("lines", F.coalesce("lines", none))
-    split = F.split("_text", "\n")
-    kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("lines", i)), "\n")
-    return both.select(
-        *[F.col("_held")[c].alias(c) for c in cols], F.when(F.size("lines") == 0, F.col("_text")).otherwise(kept).alias("kept"),
-        F.when(F.col("_text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.size("lines").cast("long").alias("n_removed"),
+    both, split = both.withColumn("_split", F.split("_text", "\n")), F.col("_split")
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("lines"))
+    kept = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
+    values = (
+        F.when(F.size("lines") == 0, F.col("_text")).otherwise(kept), F.when(F.col("_text").isNull(), 0).otherwise(F.size(split)).cast("long"), F.size("lines").cast("long"),
     )
+    return both.select(*[F.col("_held")[c].alias(c) for c in cols], *[v.alias(n) for v, n in zip(values, names, strict=True) if n])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
