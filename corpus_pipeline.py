@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that match an earlier line. One that loses every line stays with an empty text."""
-    kept = line_dedup.dedup_lines(docs).withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long"))
+    kept = line_dedup.dedup_lines(docs, names=("text", None, None)).withColumn("n_chars", F.length("text").cast("long"))
     return kept.select(*docs.columns)
 
 
