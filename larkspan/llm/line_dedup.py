@@ -20,15 +20,20 @@ HOT_ROWS, SALTS = 4096, 64
 CLASS_SHIFT = 55
 
 
-def _lines(df: DataFrame) -> DataFrame:
-    """Every line of every text in lower case with its place: doc_id, row (a hash of the row's id and text), line_no from 0.
+def _flat(text: Column) -> Column:
+    """A text or line in lower case, all white space but line ends made spaces."""
+    low = F.lower(text)
+    return F.when(text.rlike("[\t\x0b\x0c\r]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
 
-    White space within a line is made spaces. A null text has no lines but one row without a line; explode_outer, since
-    explode would have Spark infer a filter for which all lines are made twice.
+
+def _lines(df: DataFrame, flat: bool = True) -> DataFrame:
+    """Every line of every text with its place: doc_id, row (a hash of the row's id and text), line_no from 0.
+
+    A null text has no lines but one row without a line; explode_outer, since explode would have Spark infer a filter for
+    which all lines are made twice.
     """
-    low = F.lower("text")
-    flat = F.when(F.col("text").rlike("[\t\x0b\x0c\r]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
-    return df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode_outer(F.split(flat, "\n")).alias("line_no", "line"))
+    text = _flat(F.col("text")) if flat else F.col("text")
+    return df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode_outer(F.split(text, "\n")).alias("line_no", "line"))
 
 
 def line_words(line: Column) -> Column:
@@ -114,10 +119,14 @@ def _line_sets(df: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
 
 
 def _may_match(p: str, q: str, percent: int) -> Column:
-    """Length and positional filter: with the shared token at pos in both orders, are enough tokens left for the overlap?"""
+    """Length and positional filter: with the shared token at pos in both orders, can enough tokens be shared for the overlap?
+
+    Before it at most the lesser number of tokens is shared that other prefixes hold too (`before`): a set that had another
+    of these tokens would have it before the shared one, thus in its prefix.
+    """
     n, m = F.col(f"{p}.n"), F.col(f"{q}.n")
     in_reach = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    most = F.least(F.col(f"{p}.pos"), F.col(f"{q}.pos")) + F.least(n - F.col(f"{p}.pos"), m - F.col(f"{q}.pos"))
+    most = F.least(F.col(f"{p}.before"), F.col(f"{q}.before")) + F.least(n - F.col(f"{p}.pos"), m - F.col(f"{q}.pos"))
     return in_reach & (most * (100 + percent) >= (n + m) * percent)
 
 
@@ -133,7 +142,7 @@ def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared_postings(lines: DataFrame, entries: DataFrame, hot: int) -> DataFrame:
-    """(token, entry, n, pos, first, copies) of the prefixes, under tokens that several entries have.
+    """(token, entry, n, pos, before, first, copies) of the prefixes, under tokens that several entries have.
 
     Of the entries that stand more than once only the first place gives postings; the others need no join. Tokens of hot
     classes are dealt by entry too, and all of them count as shared.
@@ -150,7 +159,8 @@ def _shared_postings(lines: DataFrame, entries: DataFrame, hot: int) -> DataFram
     several = Window.partitionBy("token", "part")
     shared = postings.withColumn("m", F.count(F.lit(1)).over(several)).filter("m > 1 or part >= 0")
     split = shared.select("token", "entry", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
-    return stored(split.join(entries, "entry"), "line-placed")
+    before = F.row_number().over(Window.partitionBy("entry").orderBy("pos")) - 1
+    return stored(split.join(entries, "entry").withColumn("before", before), "line-placed")
 
 
 def _dealt(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +168,7 @@ def _dealt(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Tokens with many entries are dealt over SALTS tasks, and their leaders are there in each.
     """
-    l = F.struct("first", "entry", "n", "pos")  # noqa: E741
+    l = F.struct("first", "entry", "n", "pos", "before")  # noqa: E741
     leaders = placed.groupBy("token").agg(F.min(l).alias("early"), F.max_by(l, F.struct("copies", "entry")).alias("hub"), F.count(F.lit(1)).alias("m"))
     large = F.col("m") > HOT_ROWS
     leaders = stored(leaders.select("token", "early", "hub", large.alias("large")), "line-leaders")
@@ -190,9 +200,9 @@ def _matched_entries(df: DataFrame, lines: DataFrame, hot: int, size: int, perce
     entries = stored(lines.groupBy("entry").agg(first, F.count(F.lit(1)).alias("copies")), "line-entries")
     shared = _shared_postings(lines, entries, hot)
     places = shared.select("entry", "first.row", "first.line_no").distinct()
-    texts = _lines(df)
+    texts = _lines(df, flat=False)
     texts = texts.filter(_marked(texts, _marks(places, "row", "line_no"), "row", "line_no")).join(places, ["row", "line_no"]).dropDuplicates(["entry"])
-    tokens = stored(with_tokens(_hashed(texts.select("entry", "line")), size).select("entry", "tokens"), "line-tokens")
+    tokens = stored(with_tokens(_hashed(texts.select("entry", _flat(F.col("line")).alias("line"))), size).select("entry", "tokens"), "line-tokens")
 
     placed, leaders = _dealt(shared)
     dropped(shared)
