@@ -62,6 +62,14 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def fresh(name: str, columns: Sequence[str]) -> str:
+    """`name`, with as many underscores behind as make it none of `columns` (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that `column` holds at most `limit` bytes in each, one row at least."""
     for batch in batches:

@@ -76,7 +76,7 @@ def _schedule(spark: SparkSession, targets: DataFrame, words: float, block: int)
 
 
 def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
-    """How many words of each document a mix of the sources takes: doc_id, source, size, source_size, target, taken.
+    """How many words of each document a mix of the sources takes: doc_id, source, size, source_size, target, taken, text_hash.
 
     Each source's documents, shuffled by MD5 of their id, form a stream of words cut into blocks of `block`. The
     schedule's slots are dealt to sources by golden-ratio points and numbered in each; the n-th slot of a source takes
@@ -88,7 +88,7 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
     base = stored(
         df.select(
             "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_o"), F.coalesce(F.crc32("text"), F.lit(0)).alias("_crc"),
+            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_o"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_text"),
         ), "mix-sizes",
     )
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -96,8 +96,8 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
     words = targets.agg(F.sum("target")).first()[0] or 0.0
     joined = base.join(targets, base["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     if not words:
-        return joined.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    stream = numbered(joined.filter("size > 0"), ["_nr"], ["_o", "doc_id", "size", "_crc"], F.substring("_o", 1, 3), "_at", "size")
+        return joined.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.col("_text").alias("text_hash"))
+    stream = numbered(joined.filter("size > 0"), ["_nr"], ["_o", "doc_id", "size", "_text"], F.substring("_o", 1, 3), "_at", "size")
     blocks = F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("size") - 1) / block))
     pieces = stream.withColumn("_block", F.explode(blocks))
     turns = _schedule(spark, targets, words, block).join(targets.select("_nr", "source_size", "target"), "_nr")
@@ -110,11 +110,32 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
     common = F.least(F.col("_at") + F.col("size"), start + F.coalesce(F.col("_take"), F.lit(0))) - F.greatest(F.col("_at"), start)
     taken = (
         pieces.join(turns, ["_nr", "_block"], "left")
-        .groupBy("_nr", "_at", "doc_id", "source", "size", "source_size", "target")
+        .groupBy("_nr", "_at", "doc_id", "source", "size", "source_size", "target", "_text")
         .agg(F.sum(F.greatest(common, F.lit(0))).cast("long").alias("taken"))
     )
-    empty = joined.filter("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "taken").unionByName(empty)
+    empty = joined.filter("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "_text")
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "_text").unionByName(empty).withColumnRenamed("_text", "text_hash")
+
+
+def mixed_texts(df: DataFrame) -> DataFrame:
+    """The rows of `df` that the mix takes, one for each time: whole texts, and one in a source cut to its first words.
+
+    Rows that are equal in id, source and text are one row with the sum of what is taken of them; so a row that repeats
+    very often meets no other row of its key. Other columns of such rows are those of one of them.
+    """
+    taken = mix(df).filter("taken > 0").groupBy("doc_id", "source", "size", "text_hash").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
+    taken = stored(taken.select(F.struct("*").alias("_t")), "mix-taken")
+    held = df.select(F.struct("*").alias("_d"), F.xxhash64("text").alias("_h"))
+    same = F.col("_d.doc_id").eqNullSafe(F.col("_t.doc_id")) & F.col("_d.source").eqNullSafe(F.col("_t.source")) & (F.col("_h") == F.col("_t.text_hash"))
+    joined = held.join(taken.filter("_t.rows = 1"), same).select("_d", "_t")
+    again = taken.filter("_t.rows > 1")
+    if not again.isEmpty():
+        joined = joined.unionByName(held.join(again, same).groupBy("_t").agg(F.min_by("_d", F.xxhash64("_d")).alias("_d")))
+    size, total = F.col("_t.size"), F.col("_t.taken")
+    each = joined.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((total - 1) / size)))).withColumn("_w", F.least(size, total - F.col("_pass") * size))
+    part = F.array_join(F.slice(F.regexp_extract_all("_d.text", F.lit(WORD), 0), F.lit(1), F.col("_w").cast("int")), " ")
+    text = F.when(F.col("_w") < size, part).otherwise(F.col("_d.text"))
+    return each.select(*[text.alias("text") if c == "text" else F.col("_d")[c].alias(c) for c in df.columns])
 
 
 def op8_golden_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, stored
+from .common import documents, dropped, slices, stored
 from .words import distinct
 
 #: Lengths of the n-grams, and the buckets they are hashed into.
@@ -22,8 +22,8 @@ TRAIN_ROWS = 20_000
 STEP = 1 << 17
 #: Buckets with a weight: those that tell the two classes apart best.
 FEATURES = 4096
-#: Tasks that count n-grams of the training rows; each sends the driver two counts a bucket.
-TRAIN_TASKS = 12
+#: Tasks that count n-grams of the training rows, and blocks of buckets that are added up and judged apart.
+TRAIN_TASKS, BLOCKS = 12, 16
 #: Training rows that one step of the fit works on at a time.
 CHUNK = 2048
 #: A text whose score reaches this is predicted toxic.
@@ -89,7 +89,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class, in how many texts of this task each bucket occurs, and how many texts there are."""
+    """Per block of buckets and class, in how many texts of this task each bucket occurs, and how many texts there are."""
     counts, rows = np.zeros((2, 1 << BITS), np.uint16), [0, 0]
     for batch in slices(batches, limit=STEP):
         toxic = np.array(batch.column("toxic").to_pylist(), bool)
@@ -97,7 +97,32 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in (0, 1):
             counts[k] += np.bincount(bucket[toxic[text] == k], minlength=1 << BITS).astype(np.uint16)
             rows[k] += int((toxic == k).sum())
-    yield pa.RecordBatch.from_arrays([pa.array([counts[0].tobytes()], pa.binary()), pa.array([counts[1].tobytes()], pa.binary()), pa.array([rows[0]], pa.int64()), pa.array([rows[1]], pa.int64())], names=["clean", "toxic", "n_clean", "n_toxic"])
+    cells = counts.reshape(2, BLOCKS, -1)
+    sent = [pa.array([c.tobytes() for c in cells[k]], pa.binary()) for k in (0, 1)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), *sent, *(pa.array([n] * BLOCKS, pa.int64()) for n in rows)], names=["block", "clean", "toxic", "n_clean", "n_toxic"])
+
+
+def _judged(table: pa.Table) -> pa.Table:
+    """A block's buckets that tell the classes apart best, with chi-square and log-count ratio; and a row with the totals (bucket null)."""
+    counts = np.zeros((2, (1 << BITS) // BLOCKS), np.int64)
+    for k, name in enumerate(("clean", "toxic")):
+        for c in table.column(name):
+            counts[k] += np.frombuffer(c.as_buffer(), np.uint16)
+    totals = [sum(table.column(c).to_pylist()) for c in ("n_clean", "n_toxic")]
+    n, held = sum(totals), counts.sum(0)
+    ratio = np.log((counts[1] + 1) / (totals[1] + 2)) - np.log((counts[0] + 1) / (totals[0] + 2))
+    chi = np.zeros(len(held))
+    if all(totals):
+        expected = held * totals[1] / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            chi = np.where((held >= 3) & (held < n), (counts[1] - expected) ** 2 / (expected * (1 - held / n) * (totals[0] / n)), 0)
+    best = np.argsort(-chi, kind="stable")[:FEATURES]
+    best = best[chi[best] > 0]
+    first = table.column("block")[0].as_py() * len(held)
+    return pa.table({
+        "bucket": pa.array([None, *(best + first).tolist()], pa.int32()), "chi": pa.array([0.0, *chi[best]], pa.float64()), "ratio": pa.array([0.0, *ratio[best]], pa.float64()),
+        "n_clean": pa.array([totals[0]] * (len(best) + 1), pa.int64()), "n_toxic": pa.array([totals[1]] * (len(best) + 1), pa.int64()),
+    })
 
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, penalty: float = 0.01, steps: int = 600) -> tuple[np.ndarray, float]:
@@ -132,28 +157,21 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Toxici
     """Learn a model from the labelled documents that are not held out.
 
     The log-count ratio of a bucket is the log of how much likelier a toxic than a clean text is to hold it, from counts
-    over all training rows (plus 1). The FEATURES buckets with the largest chi-square get a weight by logistic
+    over all training rows (plus 1); they are added up and judged by block of buckets, so the driver gets no table of counts. The FEATURES buckets with the largest chi-square get a weight by logistic
     regression on presence times ratio. Without labels of both classes the model is the constant of what there is (0.5
     of two made-up rows mixed in), and every text scores alike.
     """
     sample = stored(training_rows(docs, labels, limit).repartition(TRAIN_TASKS), "toxic-training")
-    got = sample.mapInArrow(_counts, "clean binary, toxic binary, n_clean long, n_toxic long").collect()
-    counts = np.zeros((2, 1 << BITS), np.int64)
-    totals = np.zeros(2, np.int64)
-    for r in got:
-        counts[0] += np.frombuffer(r["clean"], np.uint16)
-        counts[1] += np.frombuffer(r["toxic"], np.uint16)
-        totals += [r["n_clean"], r["n_toxic"]]
-    if not totals.all():
-        share = (totals[1] + 1) / (totals.sum() + 2)
+    counted = sample.mapInArrow(_counts, "block int, clean binary, toxic binary, n_clean long, n_toxic long")
+    judged = stored(counted.groupBy("block").applyInArrow(_judged, "bucket int, chi double, ratio double, n_clean long, n_toxic long"), "toxic-buckets")
+    said = judged.filter("bucket is null").first()
+    clean, toxic = (said["n_clean"], said["n_toxic"]) if said else (0, 0)
+    if not (clean and toxic):
+        dropped(sample, judged)
+        share = (toxic + 1) / (clean + toxic + 2)
         return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    ratio = np.log((counts[1] + 1) / (totals[1] + 2)) - np.log((counts[0] + 1) / (totals[0] + 2))
-    n, held = totals.sum(), counts.sum(0)
-    expected = held * totals[1] / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where((held >= 3) & (held < n), (counts[1] - expected) ** 2 / (expected * (1 - held / n) * (totals[0] / n)), 0)
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    chosen = chosen[chi[chosen] > 0]
+    best = sorted((r["bucket"], r["ratio"]) for r in judged.filter("bucket is not null").orderBy(F.desc("chi"), "bucket").limit(FEATURES).select("bucket", "ratio").collect())
+    chosen, ratio = np.array([b for b, _ in best], np.int64), np.array([x for _, x in best], float)
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     sent = sample.sparkSession.sparkContext.broadcast(place)
@@ -167,17 +185,22 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Toxici
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("toxic")], names=["cols", "toxic"])
 
     got = sorted((r["cols"], r["toxic"]) for r in sample.mapInArrow(present, "cols binary, toxic int").collect())
-    w, b = _fit([np.frombuffer(c, np.uint16) for c, _ in got], np.array([t for _, t in got], float), ratio[chosen])
+    sent.destroy()
+    dropped(sample, judged)
+    w, b = _fit([np.frombuffer(c, np.uint16) for c, _ in got], np.array([t for _, t in got], float), ratio)
     weights = np.zeros(1 << BITS, np.float32)
-    weights[chosen] = w * ratio[chosen]
+    weights[chosen] = w * ratio
     return ToxicityModel(weights, b)
 
 
-def score(df: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of every row of `df` and its score: how likely the text is toxic, from 0 to 1.
+def score(df: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns `keep` of every row of `df` and, as `name`, its score: how likely the text is toxic, from 0 to 1.
 
-    The model (4 MB) is broadcast; row by row, without a shuffle. Empty and null texts score by the constant term alone.
+    The model (4 MB) is broadcast; row by row, without a shuffle, so repeated rows score alike and an empty table gives
+    none. Empty and null texts score by the constant term alone. A column of `keep` called `name` is replaced. A task
+    holds one text's n-grams at a time.
     """
+    keep = tuple(c for c in keep if c != name)
     sent = df.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     cols = list(dict.fromkeys([*keep, "text"]))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -188,9 +211,9 @@ def score(df: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id"
         for batch in slices(batches, limit=STEP):
             text, bucket = ngram_hits(batch.column("text").to_pylist(), wanted)
             z = np.bincount(text, weights[bucket].astype(np.float64), batch.num_rows) + bias
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*keep, name])
 
-    return df.select(*cols).mapInArrow(work, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    return df.select(*cols).mapInArrow(work, ", ".join(f"`{c}` {kinds[c]}" for c in [*keep]) + ("," if keep else "") + f" `{name}` double")
 
 
 def op10_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
