@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm import bpe_trie, line_dedup, mixing, ngram_join, toxicity
-from larkspan.llm.common import WORD, documents, stored
+from larkspan.llm.common import documents, dropped, fresh, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under the threshold. The model is learned from the labels of sf_dir.
 
     Null and empty texts score by the constant term and stay unless nearly all labelled texts are toxic. Without labels
-    of both classes all texts score alike.
+    of both classes all texts score alike. Repeated rows go or stay together, an empty table gives none, and columns may
+    have any names.
     """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, tuple(docs.columns)).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    name = fresh("score", docs.columns)
+    return toxicity.score(docs, model, tuple(docs.columns), name).filter(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,29 +30,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group of near duplicates.
 
-    Documents without words, and null ids, are in no group and stay. Rows with one id count as one document.
+    Documents without words, and null ids, are in no group and stay. Rows with one id count as one document. An empty
+    table gives none, and columns may have any names.
     """
     groups = ngram_join.near_duplicate_groups(docs)
-    copies = stored(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = stored(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("copy")).distinct(), "near-copies")
+    return docs.join(copies, docs["doc_id"] == copies["copy"], "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix of sources takes, a row for each time that it takes one.
 
     A document that is taken in part, one in a source at most, keeps its first words, joined by one space. Documents
-    without words are taken 0 words and go. Null ids mix as one document each, by their text.
+    without words are taken 0 words and go. Null ids mix as one document each, by their text. Rows that are equal in id,
+    source and text share what the mix takes of them. An empty table gives none, and columns may have any names.
     """
-    taken = mixing.mix(docs).filter("taken > 0").select("doc_id", F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    taken = taken.groupBy("doc_id", "_source", "_size").agg(F.max("_taken").alias("_taken"))
-    sized = docs.withColumn("_n", F.regexp_count("text", F.lit(WORD)).cast("long"))
-    passes = F.explode(F.sequence(F.lit(0), F.floor((F.col("_taken") - 1) / F.col("_size")).cast("int")))
-    same = sized["doc_id"].eqNullSafe(F.col("_id")) & sized["source"].eqNullSafe(F.col("_source")) & (sized["_n"] == F.col("_size"))
-    rows = sized.join(taken.withColumnRenamed("doc_id", "_id"), same)
-    rows = rows.withColumn("_pass", passes).withColumn("_words", F.least(F.col("_size"), F.col("_taken") - F.col("_pass") * F.col("_size")))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("_words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("text")))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return mixing.mixed_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +67,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what each keeps is written and read again."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
