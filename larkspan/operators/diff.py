@@ -6,15 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def same_value(key: Column, a: Column, b: Column) -> Column:
-    """Are two values of a key alike? Lists by semicolons agree if one is in the other as a whole or both are one set; case and
-    space do not count in names; numbers compare as numbers."""
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
-    one, other = (F.array_sort(F.array_distinct(F.transform(F.split(v, ";"), lambda x: F.trim(x)))) for v in (x, y))
-    number = (x.try_cast("double") == y.try_cast("double")) & x.try_cast("double").isNotNull()
-    in_other = (F.size(one) == 1) & F.array_contains(other, F.element_at(one, 1)) | (F.size(other) == 1) & F.array_contains(one, F.element_at(other, 1))
-    return F.coalesce((x == y) | (one == other) | in_other | number, F.lit(False))
+from ..functions.values import same_value
 
 
 def update_ops(proposed: DataFrame, current: DataFrame) -> DataFrame:
@@ -38,7 +30,9 @@ def address_ops(proposed: DataFrame, current: DataFrame) -> DataFrame:
 
 def disputed(ops: DataFrame) -> DataFrame:
     """element and k that several records would write different values to, with how many."""
-    return ops.groupBy("element", "k").agg(F.count_distinct("v").alias("n_values"), F.min("v").alias("low"), F.max("v").alias("high")).filter("n_values > 1")
+    found = ops.groupBy("element", "k").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low <> high")
+    several = ops.join(found, ["element", "k"]).groupBy("element", "k", "low", "high").agg(F.count_distinct("v").alias("n_values"))
+    return several.select("element", "k", "n_values", "low", "high")
 
 
 def apply_ops(current: Column, written: Column, deleted: Column) -> Column:
@@ -49,6 +43,8 @@ def apply_ops(current: Column, written: Column, deleted: Column) -> Column:
 
 def record_blocks(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """key, column, value, constant: which columns of a record's rows are one value, and that value (null: varying)."""
-    long = rows.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select(key, "x.*")
-    n = F.count_distinct("value") + F.max(F.col("value").isNull().cast("int"))
-    return long.groupBy(key, "column").agg((n == 1).alias("constant"), F.min("value").alias("low")).select(key, "column", "constant", F.when(F.col("constant"), F.col("low")).alias("value"))
+    values = lambda c: F.col(c).cast("string")
+    one = rows.groupBy(key).agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("low", lambda c: F.min(values(c))), ("high", lambda c: F.max(values(c))), ("nulls", lambda c: F.count_if(values(c).isNull())), ("all", lambda c: F.count(F.lit(1))))])
+    said = lambda i: (F.col(f"low_{i}").eqNullSafe(F.col(f"high_{i}"))) & ((F.col(f"nulls_{i}") == 0) | (F.col(f"nulls_{i}") == F.col(f"all_{i}")))
+    blocks = F.array(*[F.struct(F.lit(c).alias("column"), said(i).alias("constant"), F.when(said(i), F.col(f"low_{i}")).alias("value")) for i, c in enumerate(columns)])
+    return one.select(key, F.explode(blocks).alias("b")).select(key, "b.*")

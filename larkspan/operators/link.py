@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import distance, in_cell, in_cells_around
+from ..functions.geo import DEGREE_M, distance, in_cell, in_cells_around
 from ..functions.text import company_key, company_similarity, dice, id_keys, name_tokens
 
 #: Metres: a match, a match by a strong name, one without any name, neighbours worth naming, twins, twins that look alike.
@@ -16,16 +16,18 @@ NAME_MATCH, STRONG_NAME = 0.5, 0.6
 
 
 def pairs_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """Pairs p, q of (key, lat, lon, ...) rows within `metres` (at most a grid cell), with d: an equi-join on grid cells.
+    """Pairs p, q of (key, lat, lon, ...) rows within `metres`, with d: an equi-join on the cells of a grid as fine as the reach.
 
-    Rows without a position pair with nothing. A crowded cell is split by Spark's skew join.
+    Keys and positions meet in the cells, and what else the rows have is joined to the pairs that are in reach. Rows
+    without a position pair with nothing. A crowded cell is split by Spark's skew join; its pairs are those asked for.
     """
-    if metres > 500:
-        raise ValueError("a grid cell reaches 500 m")
-    p = in_cell(left).select("cell_row", "cell_col", F.struct(*left.columns).alias("p"))
-    q = in_cells_around(right).select("cell_row", "cell_col", F.struct(*right.columns).alias("q"))
-    both = p.join(q, ["cell_row", "cell_col"]).withColumn("d", distance(F.col("p.lat"), F.col("p.lon"), F.col("q.lat"), F.col("q.lon")))
-    return both.filter(F.col("d") <= metres).select("p", "q", "d")
+    slim = lambda rows, end: rows.select("cell_row", "cell_col", F.col("key").alias(f"{end}_key"), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon"))
+    p, q = slim(in_cell(left, metres), "p"), slim(in_cells_around(right, metres), "q")
+    both = p.join(q, ["cell_row", "cell_col"]).filter(F.abs(F.col("p_lat") - F.col("q_lat")) <= metres / DEGREE_M)
+    near = both.withColumn("d", distance(F.col("p_lat"), F.col("p_lon"), F.col("q_lat"), F.col("q_lon"))).filter(F.col("d") <= metres).select("p_key", "q_key", "d")
+    for rows, end in ((left, "p"), (right, "q")):
+        near = near.join(rows.select(F.struct(*rows.columns).alias(end)), F.col(f"{end}_key") == F.col(f"{end}.key"))
+    return near.select("p", "q", "d")
 
 
 def named(df: DataFrame) -> DataFrame:
@@ -89,21 +91,24 @@ def nearby_labels(records: DataFrame, elements: DataFrame, k: int = 3) -> DataFr
 
 
 def twins(records: DataFrame) -> DataFrame:
-    """key, other, reason of records that look like one place, both ways: within 10 m, or within 60 m with like names or operators."""
-    near = pairs_within(named(records), named(records), ALIKE_M).filter(F.col("p.key") != F.col("q.key"))
-    alike = (dice(F.col("p.words"), F.col("q.words")) >= NAME_MATCH) | (_who() >= 1.0)
+    """key, other, reason of records that look like one place, both ways: within 10 m, or within 60 m with like names or
+    operators (as like as for a match). Each pair is compared once."""
+    rows = named(records)
+    near = pairs_within(rows, rows, ALIKE_M).filter(F.col("p.key") < F.col("q.key"))
+    alike = (dice(F.col("p.words"), F.col("q.words")) >= NAME_MATCH) | (_who() >= NAME_MATCH)
     near = near.withColumn("reason", F.when(F.col("d") <= TWIN_M, "place").when(alike, "alike")).filter(F.col("reason").isNotNull())
-    return near.select(F.col("p.key").alias("key"), F.col("q.key").alias("other"), "reason", "d")
+    ends = F.array(*[F.struct(F.col(f"{a}.key").alias("key"), F.col(f"{b}.key").alias("other")) for a, b in ("pq", "qp")])
+    return near.select(F.explode(ends).alias("e"), "reason", "d").select("e.key", "e.other", "reason", "d")
 
 
-def merge_sites(links: DataFrame, rounds: int = 100) -> DataFrame:
+def merge_sites(links: DataFrame) -> DataFrame:
     """key and site (the least key that links lead to) from links (key, id): records with an id in common are one site.
 
-    Labels go from keys to ids and back until nothing changes; minima are summed up before the shuffle, so an id that
+    Labels go from keys to ids and back until nothing changes, however many rounds that takes; minima are summed up before the shuffle, so an id that
     very many records share makes no pairs. Lineage is cut by checkpoint().
     """
     labels = links.select("key", F.col("key").alias("site")).distinct()
-    for _ in range(rounds):
+    while True:
         by_id = links.join(labels, "key").groupBy("id").agg(F.min("site").alias("site"))
         step = links.join(by_id, "id").groupBy("key").agg(F.min("site").alias("site"))
         # The label of a key's label is a shortcut along long chains.
@@ -112,5 +117,4 @@ def merge_sites(links: DataFrame, rounds: int = 100) -> DataFrame:
         same = after.join(labels, ["key", "site"], "left_anti").isEmpty()
         labels = after
         if same:
-            break
-    return labels
+            return labels

@@ -6,6 +6,8 @@ tags line items, runs and sign-in attempts events.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def placed(spark: SparkSession, sf_dir: str, odd: bool) -> DataFrame:
 _PLACED = """part2 AS (SELECT p_partkey AS key, 43.5::DOUBLE + (p_partkey * (CASE WHEN p_partkey % 2 = 1 THEN 7919 ELSE 6151 END) % 2000) / 100000.0::DOUBLE AS lat,
   1.3::DOUBLE + (p_partkey * (CASE WHEN p_partkey % 2 = 1 THEN 104729 ELSE 86243 END) % 2000) / 100000.0::DOUBLE AS lon, p_name AS name, p_brand AS operator, p_type AS type, p_size AS size,
   CASE (p_partkey // 2) % 3 WHEN 0 THEN 'FRABCP' || (p_partkey // 2) WHEN 1 THEN 'FRABCQ' || (p_partkey // 2 // 20) END AS ref,
-  list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('', 'a', 'and', 'at', 'de', 'des', 'du', 'et', 'l', 'la', 'le', 'les', 'of', 'the'))) AS toks,
+  list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('', 'le', 'la', 'les', 'l', 'de', 'du', 'des', 'd', 'et', 'the', 'of', 'au', 'aux'))) AS toks,
   regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') AS comp,
   list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')) AS ctoks FROM part),
 r AS (SELECT * FROM part2 WHERE key % 2 = 1), e AS (SELECT * FROM part2 WHERE key % 2 = 0)"""
@@ -111,11 +113,20 @@ def site_components(spark, sf_dir):
     brand = part.select(F.col("p_partkey").alias("key"), F.concat_ws("|", "p_brand", "p_size").alias("id"))
     kind = part.filter("p_size <= 3").select(F.col("p_partkey").alias("key"), F.concat_ws("|", "p_type", "p_size").alias("id"))
     if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return link.merge_sites(brand.unionByName(kind))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that driver and executors share; only local mode may make one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share.")
+    return tempfile.mkdtemp(prefix="larkspan-")
+
+
 def _tags(rows: DataFrame, key: str) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in ("name", "operator", "type", "size")])
     return rows.select(F.col(key).alias("key"), F.explode(pairs).alias("t")).select("key", "t.*")
@@ -300,16 +311,16 @@ SELECT key, element, by_id, round(d, 1) AS metres FROM a WHERE by_id OR (held =
     "knn_labels": f"""WITH {_PLACED}, n AS (SELECT p.key, q.key AS element, q.name AS label, {_metres('p', 'q')} AS d FROM r p JOIN e q ON abs(p.lat - q.lat) < 0.004)
 SELECT key, row_number() OVER (PARTITION BY key ORDER BY d, element)::INT AS position, element, label, round(d, 1) AS metres FROM n WHERE d <= 300 QUALIFY position <= 3""",
     "twin_pairs": f"""WITH {_PLACED}, n AS (SELECT p.key, q.key AS other, {_metres('p', 'q')} AS d, {_dice('p.toks', 'q.toks')} AS named, {_WHO} AS who FROM r p JOIN r q ON p.key <> q.key AND abs(p.lat - q.lat) < 0.001)
-SELECT key, other, CASE WHEN d <= 10 THEN 'place' ELSE 'alike' END AS reason FROM n WHERE d <= 10 OR (d <= 60 AND (named >= 0.5 OR who >= 1))""",
+SELECT key, other, CASE WHEN d <= 10 THEN 'place' ELSE 'alike' END AS reason FROM n WHERE d <= 10 OR (d <= 60 AND (named >= 0.5 OR who >= 0.5))""",
     "site_components": """WITH RECURSIVE l AS (SELECT p_partkey AS key, p_brand || '|' || p_size AS id FROM part UNION ALL SELECT p_partkey, p_type || '|' || p_size FROM part WHERE p_size <= 3),
 n AS (SELECT DISTINCT a.id AS x, b.id AS y FROM l a JOIN l b ON a.key = b.key),
 walk AS (SELECT id AS x, id AS y FROM l UNION SELECT w.x, n.y FROM walk w JOIN n ON w.y = n.x),
 least_ AS (SELECT w.x AS id, min(l.key) AS site FROM walk w JOIN l ON w.y = l.id GROUP BY w.x)
 SELECT l.key, min(least_.site) AS site FROM l JOIN least_ ON l.id = least_.id GROUP BY l.key""",
     "map_diff_ops": f"""WITH {_PLACED}, {_TAGS}, o AS (SELECT key + 1 AS key, k, v FROM tags WHERE key % 2 = 1), h AS (SELECT * FROM tags WHERE key % 2 = 0 AND (k <> 'type' OR key % 3 <> 0))
-SELECT o.key, o.k, CASE WHEN h.v IS NULL THEN 'add' ELSE 'mod' END AS op, o.v, h.v AS was FROM o LEFT JOIN h ON o.key = h.key AND o.k = h.k WHERE h.v IS NULL OR (o.k <> 'size' AND lower(o.v) <> lower(h.v))""",
+SELECT o.key, o.k, CASE WHEN h.v IS NULL THEN 'add' ELSE 'mod' END AS op, o.v, h.v AS was FROM o LEFT JOIN h ON o.key = h.key AND o.k = h.k WHERE h.v IS NULL OR (o.k <> 'size' AND CASE WHEN o.k IN ('name', 'operator') THEN regexp_replace(lower(o.v), '[^a-z0-9]+', ' ', 'g') <> regexp_replace(lower(h.v), '[^a-z0-9]+', ' ', 'g') ELSE trim(o.v) <> trim(h.v) END)""",
     "address_all_or_nothing": f"""WITH {_PLACED}, {_TAGS}, o AS (SELECT key + 1 AS key, k, v FROM tags WHERE key % 2 = 1 AND k IN ('name', 'type')), h AS (SELECT * FROM tags WHERE key % 2 = 0 AND k = 'name' AND key % 4 = 0),
-j AS (SELECT o.*, h.v AS was, max((h.v IS NOT NULL AND lower(h.v) <> lower(o.v))::INT) OVER (PARTITION BY o.key) AS away FROM o LEFT JOIN h ON o.key = h.key AND o.k = h.k)
+j AS (SELECT o.*, h.v AS was, max((h.v IS NOT NULL AND regexp_replace(lower(h.v), '[^a-z0-9]+', ' ', 'g') <> regexp_replace(lower(o.v), '[^a-z0-9]+', ' ', 'g'))::INT) OVER (PARTITION BY o.key) AS away FROM o LEFT JOIN h ON o.key = h.key AND o.k = h.k)
 SELECT key, k, 'add' AS op, v FROM j WHERE away = 0 AND was IS NULL""",
     "disputed_keys": "SELECT l_partkey AS element, l_returnflag AS k, count(DISTINCT l_linestatus) AS n_values, min(l_linestatus) AS low, max(l_linestatus) AS high FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_linestatus) > 1",
     "record_blocks": """WITH u AS (SELECT l_orderkey, unnest(['l_returnflag', 'l_linestatus', 'l_suppkey']) AS "column", unnest([l_returnflag, l_linestatus, l_suppkey::VARCHAR]) AS v FROM lineitem)
@@ -342,6 +353,8 @@ SELECT l_orderkey, n_a, n_n, most, status, all_reduced, CASE WHEN len(sup) <= 20
     "name_similarity_dice": f"WITH {_PLACED} SELECT p.key AS p_partkey, trim(regexp_replace(lower(p.name), '[^a-z0-9]+', ' ', 'g')) AS name, round({_dice('p.toks', 'q.toks')}, 6) AS likeness FROM part2 p JOIN part2 q ON q.key = p.key + 1",
     "page_hosts": r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)), '^www\.', '') AS host FROM pages",
     "page_links": """SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a\\s[^>]*?href="([^"#]+)', 1))) AS href FROM pages""",
+    "html_text": r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>', ' ', 'gis'), '<style.*?</style>', ' ', 'gis'), '<noscript.*?</noscript>', ' ', 'gis'), '<svg.*?</svg>', ' ', 'gis'), '<template.*?</template>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '</?(?:p|div|br|li|tr|h[1-6]|section|article|footer|header|td)\b[^>]*>', chr(10), 'gi'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\f\x0b\x{a0}]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10) || chr(13)) AS text, regexp_extract_all(html, '<script[^>]+application/ld\+json[^>]*>(.*?)</script>', 1, 'is') AS ld FROM pages)
+SELECT page_id, text || CASE WHEN len(ld) > 0 THEN chr(10) || chr(10) || 'Structured data: ' || array_to_string(list_transform(ld, lambda x: trim(x)), chr(10)) ELSE '' END AS text FROM t""",
     "quote_evidence": r"SELECT doc_id, item_id, strpos(d.text, b.text)::BIGINT AS at, substring(d.text, greatest(1, strpos(d.text, b.text) - 20), least(20, strpos(d.text, b.text) - 1)) AS before FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(regexp_split_to_array(b.text, '\s+')) >= 7",
     "stale_flags": "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') AS days, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') >= 60 AS stale FROM orders",
     "change_xml": f"""WITH {_PLACED}, {_TAGS} SELECT key AS element, '<modify><node id="' || key || '">' || string_agg('<tag k="' || k || '" v="' || replace(replace(replace(v, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '"/>', '' ORDER BY k, v) || '</node></modify>' AS xml FROM tags WHERE key % 2 = 0 GROUP BY key""",

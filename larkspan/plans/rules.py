@@ -6,6 +6,7 @@ and leaves out what no rule needs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -36,7 +37,7 @@ class Program:
         """What is wrong with the mapping for a table: missing columns, and inputs that no expression reads."""
         read = " ".join([self.key, self.skip, *self.values.values(), *(r.value for r in self.rules)])
         missing = [f"no column for input {i}" for i, names in self.inputs.items() if not any(c in df.columns for c in names)]
-        return missing + [f"input {i} is not read" for i in self.inputs if i not in read]
+        return missing + [f"input {i} is not read" for i in self.inputs if not re.search(rf"(?<![A-Za-z0-9_]){re.escape(i)}(?![A-Za-z0-9_])", read)]
 
     def evaluate(self, df: DataFrame) -> DataFrame:
         """key, position, k, v, conf, invalid: a row for each tag that a rule gives, in the order of the rules.

@@ -9,24 +9,54 @@ from pyspark.sql import functions as F
 
 from ..functions.text import host
 
-#: Entities that are decoded (fixed values); the ampersand comes last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: Named entities that are decoded (fixed values); the ampersand comes last.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: Elements without visible text.
+HIDDEN = ("script", "style", "noscript", "svg", "template")
+
+
+def _numeric_entities(text: Column) -> Column:
+    """Characters for &#NN; and &#xHH;; what is no character is a space. The pieces between entities are an array, so a text is read once."""
+    marked = F.regexp_replace(text, r"(?i)&#(x?[0-9a-f]+);", "\u0001$1\u0002")
+
+    def piece(p: Column) -> Column:
+        code, rest = F.lower(F.substring_index(p, "\u0002", 1)), F.substring(p, F.instr(p, "\u0002") + 1, F.length(p))
+        number = F.when(F.startswith(code, F.lit("x")), F.conv(F.substring(code, F.lit(2), F.length(code)), 16, 10)).otherwise(code).try_cast("int")
+        sign = F.when(number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(" ")
+        return F.concat(sign, rest)
+
+    parts = F.split(marked, "\u0001")
+    decoded = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(piece(p))), "")
+    return F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
+
+
+def json_ld(html: Column) -> Column:
+    """The contents of a page's JSON-LD scripts, where sites keep their opening hours."""
+    return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"), 1), lambda s: F.trim(s))
 
 
 def html_text(html: Column, most: int | None = None) -> Column:
-    """The visible text: no scripts, styles or comments, block tags as line ends, entities decoded; with `most`, only so many characters."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article|header|footer))\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
+    """The visible text: no scripts, styles or comments, block tags as line ends, entities decoded; JSON-LD stands behind it.
+
+    With `most`, only so many characters.
+    """
+    out = html
+    for tag in HIDDEN:
+        out = F.regexp_replace(out, rf"(?is)<{tag}.*?</{tag}>", " ")
+    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
+    out = F.regexp_replace(out, r"(?i)</?(?:p|div|br|li|tr|h[1-6]|section|article|footer|header|td)\b[^>]*>", "\n")
+    out = _numeric_entities(F.regexp_replace(out, r"<[^>]+>", " "))
     for entity, sign in ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(sign))
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
-    return F.trim(out) if most is None else F.substring(F.trim(out), 1, most)
+    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t\f\x0b\u00a0]+", " "), r" *\n[ \n]*", "\n"), F.lit(" \n\r"))
+    ld = json_ld(html)
+    out = F.concat(out, F.when(F.size(ld) > 0, F.concat(F.lit("\n\nStructured data: "), F.array_join(ld, "\n"))).otherwise(""))
+    return out if most is None else F.substring(out, 1, most)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """page_id and href of the distinct links of each page."""
-    hrefs = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"#]+)'), 1)
+    hrefs = F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'#]+)"""), 1)
     return pages.select("page_id", F.explode(F.array_distinct(hrefs)).alias("href"))
 
 

@@ -16,14 +16,17 @@ def sniff_delimiter(head: str) -> str:
     return ";" if line.count(";") > line.count(",") else ","
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A register's rows as text columns, with _bad: the line of a row that did not parse. A byte order mark is dropped."""
+def read_csv(spark: SparkSession, path: str, quoted_lines: bool = False) -> DataFrame:
+    """A register's rows as text columns, with _bad: the line of a row that did not parse. A byte order mark is dropped.
+
+    With `quoted_lines` values may have line ends in quotes; then a file is read by one task, as it cannot be split.
+    """
     head = spark.read.text(path).limit(1).collect()
     first = head[0][0].lstrip("﻿") if head else ""
     sep = sniff_delimiter(first)
     names = [n.strip().strip('"') for n in first.split(sep)] if first else []
     schema = ", ".join(f"`{n}` string" for n in [*names, "_bad"])
-    return spark.read.schema(schema).csv(path, header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", escape='"', enforceSchema=True)
+    return spark.read.schema(schema).csv(path, header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", escape='"', enforceSchema=True, multiLine=quoted_lines)
 
 
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from larkspan.operators import evidence, store
+from larkspan.functions import geo, tags, text, values
+from larkspan.operators import evidence, link, store
+from larkspan.plans import desk_queries, tag_queries
 from larkspan.plans import queries as library
 from larkspan.plans.rules import EXAMPLE
 from larkspan.sources import pages, registry
@@ -20,13 +22,18 @@ def plain(rows, columns):
     return sorted(str([round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(library.SQL))
+MODULES = (library, tag_queries, desk_queries)
+QUERIES = {name: f for m in MODULES for name, f in m.queries().items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_agrees_with_sql(spark, name):
-    got = library.queries()[name](spark, DIR)
+    got = QUERIES[name](spark, DIR)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
-    want = con.execute(library.SQL[name])
+    want = con.execute(SQL[name])
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(got.columns)
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), columns)
@@ -87,3 +94,53 @@ def test_page_text_is_whole(spark):
     df = spark.createDataFrame([("<p>" + "word " * 5000 + "end</p>",)], "html string")
     got = df.select(pages.html_text(F.col("html")).alias("whole"), pages.html_text(F.col("html"), 9).alias("cut")).first()
     assert got["whole"].split() == ["word"] * 5000 + ["end"] and len(got["cut"]) == 9
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
+
+
+def test_values_in_other_words(spark):
+    lit = F.lit
+    same = [
+        ("name", "Café de la Gare", "CAFE DE LA GARE", True), ("name", "A & B", "A et B", True), ("operator", "ABC", "abc", True), ("ref", "007", "7", False), ("note", "ABC", "abc", False),
+        ("addr:street", "Rue du Onze Novembre 1918", "Rue du 11 Novembre 1918", True), ("addr:street", "Rue du Dix-Sept Juin", "rue du 17 juin", True), ("addr:street", "Rue d'un Ami", "rue d 1 ami", False),
+        ("phone", "+33 5 61 23 45 67", "05 61 23 45 67", True), ("phone", "+262 262 12 34 56", "0262 12 34 56", True), ("contact:phone", "+33 5 61 23 45 67", "05 61 23 45 68", False),
+        ("website", "https://www.x.fr/", "http://x.fr", True), ("website", "http://x.fr", "https://x.fr/", True), ("website", "https://x.com", "https://x.fr", True), ("website", "https://x.fr/a", "https://x.fr/b", False),
+        ("addr:housenumber", "158 BIS", "158bis", True), ("opening_hours", "Mo-Su 00:00-24:00", "24/7", True), ("socket:type2:output", "22 kW", "22.0", True),
+        ("ref:x", "A1", "b2; a1", True), ("ref:x", "A1;C3", "a1", False), ("cuisine", "a;b", "b; a", True), ("cuisine", "a", "a;b", True), ("cuisine", "a;b", "a", False), ("shop", " deli", "deli ", True),
+    ]
+    got = one(spark, *[values.same_value(lit(k), lit(a), lit(b)) for k, a, b, _ in same])
+    assert [(*x[:3], bool(g)) for x, g in zip(same, got, strict=True)] == same
+    written = [("05.61.23.45.67", "+33 5 61 23 45 67"), ("+33 (0)6 12 34 56 78", "+33 6 12 34 56 78"), ("08 06 14 15 00", "08 06 14 15 00"), ("0262 12 34 56", "+262 262 12 34 56"), ("+508 41 23 45", "+508 41 23 45"), ("+590 0262 1", None), ("123", None), (None, None)]
+    assert list(one(spark, *[values.phone_format(lit(a).cast("string")) for a, _ in written])) == [b for _, b in written]
+    numbers = [("74bis", "74 bis"), ("6a", "6A"), ("07", "7"), ("12 B", "12B"), ("6a-8b", "6A-8B")]
+    assert list(one(spark, *[values.spaced_number(lit(a)) for a, _ in numbers])) == [b for _, b in numbers]
+    assert list(one(spark, values.power_class(lit("7400 W")), values.power_class(lit("7,4 kW")), values.power_class(lit("61")), values.power_class(lit("x")))) == [0, 0, 3, None]
+    assert list(one(spark, values.one_edit(lit("gambetta"), lit("gambeta")), values.one_edit(lit("rue"), lit("roe")))) == [True, False]
+    assert list(one(spark, text.normalise_name(lit("Škoda e\u0301 Œuvre ő")), text.company_key(lit("Power Dot France SAS")))) == ["skoda e oeuvre o", "powerdot"]
+
+
+def test_positions(spark):
+    lit = F.lit
+    got = one(spark, geo.position(lit("0"), lit("0.0")), geo.position(lit("91"), lit("1")), geo.pair_position(lit("48.85, 2.35")), geo.geojson_position(lit('{"type":"Point","coordinates":[2.35,48.85]}')), geo.decimals(lit("48.850")))
+    assert got[0] is None and got[1] is None and tuple(got[2]) == (48.85, 2.35) == tuple(got[3]) and got[4] == 2
+    assert geo.scope_box((0.0, 0.0, 1.0, 1.0)) == (-0.002, -0.003, 1.002, 1.003)
+
+
+def test_selectors():
+    found = tags.parse_matching("shop=bakery|deli website=*; free text")
+    assert found == [tags.Selector("shop", ("bakery", "deli")), tags.Selector("website")]
+    assert tags.merge_selectors(found, [tags.Selector("shop", ("deli", "bakery"))]) == [tags.Selector("shop", ("deli", "bakery")), tags.Selector("website")]
+
+
+def test_long_chains_are_one_site(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    chain = spark.range(300).selectExpr("id AS key", "explode(array(id, id + 1)) AS id2").selectExpr("key", "cast(id2 AS string) AS id")
+    assert {r["site"] for r in link.merge_sites(chain).collect()} == {0}
+
+
+def test_pages_as_text(spark):
+    page = '<p>A&#233;&#x20AC; &lt;b&gt;</p><svg><text>no</text></svg><script type="application/ld+json"> {"a":1} </script><td>x</td>y<!-- z -->'
+    got = one(spark, pages.html_text(F.lit(page)), pages.html_text(F.lit(page), 3))
+    assert got[0] == 'A\u00e9\u20ac <b>\nx\ny\n\nStructured data: {"a":1}' and got[1] == "A\u00e9\u20ac"
