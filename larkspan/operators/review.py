@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import xml_escape
+from .ranks import numbered
 
 #: Candidates on a page of the queue, and objects in a changeset.
 PAGE, BATCH = 50, 50
+#: Positions that are ranked in one task.
+SPAN = 100_000
 
 
 def queue_page(candidates: DataFrame, decided: DataFrame, page: int, order: list[Column], kind: str | None = None, low: float = 0.0, high: float = 1.0, size: int = PAGE) -> DataFrame:
@@ -37,10 +40,13 @@ def tallies(candidates: DataFrame, decisions: DataFrame, group: str, since: Colu
 
 
 def batches(staged: DataFrame, scope: str, size: int = BATCH) -> DataFrame:
-    """Staged rows (scope, element, position) in batches of `size` objects of a scope, objects in the order of their first row."""
+    """Staged rows (scope, element, position) in batches of `size` objects of a scope, objects in the order of their first row.
+
+    Ranks are dealt over spans of positions, so that a scope with very many objects is no single task's work.
+    """
     objects = staged.groupBy(scope, "element").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("n_rows"))
-    nth = F.row_number().over(Window.partitionBy(scope).orderBy("first", "element")) - 1
-    return objects.select(scope, "element", "n_rows", F.floor(nth / size).alias("batch"))
+    placed = numbered(objects, [scope], ["first", "element"], F.floor(F.col("first") / SPAN), "nth")
+    return placed.select(scope, "element", "n_rows", F.floor(F.col("nth") / size).alias("batch"))
 
 
 def run_state(runs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, values
 from ..operators import desk, plan
+from ..sources import crawl
 
 NOW, LIMIT = "1998-08-02", 60
 
@@ -174,10 +175,18 @@ def public_hosts(spark, sf_dir):
     return c.select("id", values.is_public_address(ip).alias("public"))
 
 
+def robots_allowed(spark, sf_dir):
+    """Pages that the sites' robots files let a reader have."""
+    p = _read(spark, sf_dir, "pages").select("page_id", "url", text.host(F.col("url")).alias("host"), F.concat(F.lit("/"), (F.col("page_id") % 4).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"))
+    rules = F.when(F.length("host") % 2 == 0, "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /1/\nAllow: /1/*5.html$ # some\nDisallow: /2").otherwise("User-agent: Reader/2\nUser-agent: x\nDisallow: /3/\n\nUser-agent: *\nDisallow: /")
+    robots = p.select("host").distinct().filter(F.length("host") % 5 != 0).select("host", rules.alias("robots"))
+    return crawl.allowed_pages(p, robots, "Reader/1.0").select("page_id")
+
+
 def queries():
     names = (
         queue_flags, queue_orders, scope_pending, scope_totals, staged_details, staged_page, changeset_list, nested_candidates, due_source, queue_notices, run_messages, upload_labels, mean_confidence, record_rows,
-        conflict_values, page_seeds, pages_to_read, public_hosts,
+        conflict_values, page_seeds, pages_to_read, public_hosts, robots_allowed,
     )
     return {f.__name__: f for f in names}
 
@@ -199,6 +208,8 @@ def _top(sort: str, by: str, up: bool) -> str:
 _ORDERS = {"type": "CASE type WHEN 'new' THEN 0 WHEN 'closure' THEN 1 ELSE 2 END", "name": "lower(name)", "tags": "n_tags", "source": "source", "age": "fetched_at", "flags": "flag", "conf": "conf"}
 
 SQL = {
+    "robots_allowed": r"""WITH p AS (SELECT page_id, page_id % 4 AS part, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)), '^www\.', '') AS host FROM pages)
+SELECT page_id FROM p WHERE length(host) % 5 = 0 OR (length(host) % 2 = 0 AND (part IN (0, 3) OR (part = 1 AND page_id % 10 = 5))) OR (length(host) % 2 = 1 AND part <> 3)""",
     "queue_flags": f"WITH {_F} SELECT key, n_tags, flag FROM f",
     "queue_orders": f"WITH {_F} " + " UNION ALL ".join(_top(s, by, up) for s, by in _ORDERS.items() for up in (True, False)),
     "scope_pending": f"WITH {_A} SELECT *, row_number() OVER (ORDER BY pending DESC, area)::INT AS place FROM a",

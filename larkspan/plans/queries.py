@@ -355,7 +355,7 @@ SELECT l_orderkey, n_a, n_n, most, status, all_reduced, CASE WHEN len(sup) <= 20
     "page_links": """SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a\\s[^>]*?href="([^"#]+)', 1))) AS href FROM pages""",
     "html_text": r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>', ' ', 'gis'), '<style.*?</style>', ' ', 'gis'), '<noscript.*?</noscript>', ' ', 'gis'), '<svg.*?</svg>', ' ', 'gis'), '<template.*?</template>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '</?(?:p|div|br|li|tr|h[1-6]|section|article|footer|header|td)\b[^>]*>', chr(10), 'gi'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\f\x0b\x{a0}]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10) || chr(13)) AS text, regexp_extract_all(html, '<script[^>]+application/ld\+json[^>]*>(.*?)</script>', 1, 'is') AS ld FROM pages)
 SELECT page_id, text || CASE WHEN len(ld) > 0 THEN chr(10) || chr(10) || 'Structured data: ' || array_to_string(list_transform(ld, lambda x: trim(x)), chr(10)) ELSE '' END AS text FROM t""",
-    "quote_evidence": r"SELECT doc_id, item_id, strpos(d.text, b.text)::BIGINT AS at, substring(d.text, greatest(1, strpos(d.text, b.text) - 20), least(20, strpos(d.text, b.text) - 1)) AS before FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(regexp_split_to_array(b.text, '\s+')) >= 7",
+    "quote_evidence": r"SELECT doc_id, item_id, strpos(d.text, b.text)::BIGINT AS at, substring(d.text, greatest(1, strpos(d.text, b.text) - 20), least(20, strpos(d.text, b.text) - 1)) AS before FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "stale_flags": "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') AS days, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') >= 60 AS stale FROM orders",
     "change_xml": f"""WITH {_PLACED}, {_TAGS} SELECT key AS element, '<modify><node id="' || key || '">' || string_agg('<tag k="' || k || '" v="' || replace(replace(replace(v, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '"/>', '' ORDER BY k, v) || '</node></modify>' AS xml FROM tags WHERE key % 2 = 0 GROUP BY key""",
     "rules_eval": rules.EXAMPLE_SQL,

@@ -11,7 +11,7 @@ from larkspan.operators import evidence, link, store
 from larkspan.plans import desk_queries, tag_queries
 from larkspan.plans import queries as library
 from larkspan.plans.rules import EXAMPLE
-from larkspan.sources import pages, registry
+from larkspan.sources import crawl, pages, registry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark")
@@ -144,3 +144,14 @@ def test_pages_as_text(spark):
     page = '<p>A&#233;&#x20AC; &lt;b&gt;</p><svg><text>no</text></svg><script type="application/ld+json"> {"a":1} </script><td>x</td>y<!-- z -->'
     got = one(spark, pages.html_text(F.lit(page)), pages.html_text(F.lit(page), 3))
     assert got[0] == 'A\u00e9\u20ac <b>\nx\ny\n\nStructured data: {"a":1}' and got[1] == "A\u00e9\u20ac"
+
+
+def test_what_a_crawl_may_read():
+    assert crawl.parse_budget("400 pages / run · 1 request / 2.5 s per host") == (400, 2500) and crawl.parse_budget("") == (100, 4000)
+    assert crawl.parse_seeds("https://a.org/x, website=*") == (["https://a.org/x"], [tags.Selector("website")])
+    with pytest.raises(ValueError, match="seed rule"):
+        crawl.parse_seeds("nothing")
+    file = "User-agent: a\nUser-agent: Reader/3\nDisallow: /p # no\nAllow: /p/q$\n\nUser-agent: *\nDisallow: /\nbad line\nUser-agent: reader\nDisallow: /*.pdf"
+    mine, other = crawl.parse_robots(file, "Reader/1.0"), crawl.parse_robots(file, "Else")
+    assert [mine.allows(p) for p in ("/", "/p", "/p/q", "/p/qq", "/x.pdf")] == [True, False, True, False, False]
+    assert not other.allows("/x") and crawl.parse_robots("", "x").allows("/x")
