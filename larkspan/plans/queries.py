@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance, in_circle
-from ..functions.text import allowed_by, dice, host, name_tokens, normalise_name
-from ..operators import diff, evidence, link, review, rollup, store
+from ..functions.text import allowed_by, dice, host, id_keys, name_score, name_tokens, normalise_name
+from ..operators import around, diff, evidence, link, review, rollup, store
 from ..sources import pages, registry
 from ..streaming import attempts
 from . import rules
@@ -286,11 +286,69 @@ def rules_eval(spark, sf_dir):
     return rules.EXAMPLE.evaluate(table(spark, sf_dir, "lineitem"))
 
 
+def _sided(spark, sf_dir, odd):
+    return placed(spark, sf_dir, odd).select("key", "lat", "lon", "name", "operator", (F.col("size") % 5).alias("kind"), id_keys(F.col("refs")).alias("ids"))
+
+
+def likely_duplicates(spark, sf_dir):
+    """The nearest element of a record's kind that may be the same place."""
+    return around.duplicates(_sided(spark, sf_dir, True), _sided(spark, sf_dir, False)).select("key", "element", F.round("d", 1).alias("metres"))
+
+
+def far_namesakes(spark, sf_dir):
+    """The nearest record of the same brand and size farther off, by the name made of both."""
+    rows = _sided(spark, sf_dir, True).withColumn("name", F.concat_ws(" ", "operator", F.col("kind").cast("string")))
+    others = _sided(spark, sf_dir, False).withColumn("name", F.concat_ws("-", F.upper("operator"), F.col("kind").cast("string")))
+    return around.namesakes(rows, others).select("key", "element", F.round("d", 1).alias("metres"))
+
+
+def one_site_parts(spark, sf_dir):
+    """Elements next to each other that are one site mapped as several."""
+    return around.site_parts(_sided(spark, sf_dir, False))
+
+
+def unlisted_kin(spark, sf_dir):
+    """Elements of a record's kind close by whose ids the source does not have."""
+    return around.unlisted(_sided(spark, sf_dir, True).filter("key % 8 < 5"), _sided(spark, sf_dir, False))
+
+
+def sister_places(spark, sf_dir):
+    """The nearest element with other ids that the same company runs."""
+    return around.siblings(_sided(spark, sf_dir, True), _sided(spark, sf_dir, False)).select("key", "element", F.round("d", 1).alias("metres"))
+
+
+def matched_elsewhere(spark, sf_dir):
+    """Elements that several records matched by id, with the first of them."""
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("element"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key")).distinct()
+    return around.matched_by(found).filter("n > 1").select("element", "n", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
+
+
+def nearest_of_rows(spark, sf_dir):
+    """The line items of an order whose quantity is within ten of the least, null where it is odd; a sample of them by flag."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("row"), F.when(F.col("l_quantity").cast("int") % 2 == 0, F.col("l_quantity").cast("double")).alias("gap"))
+    return around.nearest_rows(rows, 10.0).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("least"))
+
+
+def sampled_orders(spark, sf_dir):
+    """Twenty orders of each status, the same in every run."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
+    return around.sample_per_group(rows, "status", "key", 20)
+
+
+def name_scores(spark, sf_dir):
+    """How well the names of parts next to each other fit, status words and brands apart."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", F.when(F.col("p_partkey") % 3 == 0, "public")).alias("name"), "p_brand")
+    both = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_brand")).otherwise(F.col("name")).alias("other")), "p_partkey")
+    status = F.array(*[F.lit(w) for w in ("prive", "privee", "public", "publique")])
+    return both.select("p_partkey", F.round(name_score(name_tokens(F.col("name")), name_tokens(F.col("other")), status, name_tokens(F.col("p_brand"))), 6).alias("score"))
+
+
 def queries():
     names = (
         area_cut_haversine, registry_group_rows, allow_prefix_floor, ref_equi_match, spatial_nearest_match, yield_to_best_fit, knn_labels, twin_pairs, site_components, map_diff_ops,
         address_all_or_nothing, disputed_keys, record_blocks, queue_page, area_tallies, source_yields, staged_batches, runs_hold, lockout_sessions, snapshot_merge, sweep_vanished,
         conflict_refresh, newest_declaration, socket_rollup, name_similarity_dice, page_hosts, page_links, html_text, quote_evidence, stale_flags, change_xml, rules_eval,
+        likely_duplicates, far_namesakes, one_site_parts, unlisted_kin, sister_places, matched_elsewhere, nearest_of_rows, sampled_orders, name_scores,
     )
     return {f.__name__: f for f in names}
 
@@ -359,4 +417,19 @@ SELECT page_id, text || CASE WHEN len(ld) > 0 THEN chr(10) || chr(10) || 'Struct
     "stale_flags": "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') AS days, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') >= 60 AS stale FROM orders",
     "change_xml": f"""WITH {_PLACED}, {_TAGS} SELECT key AS element, '<modify><node id="' || key || '">' || string_agg('<tag k="' || k || '" v="' || replace(replace(replace(v, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '"/>', '' ORDER BY k, v) || '</node></modify>' AS xml FROM tags WHERE key % 2 = 0 GROUP BY key""",
     "rules_eval": rules.EXAMPLE_SQL,
+    "likely_duplicates": f"""WITH {_PLACED}, n AS (SELECT p.key, q.key AS element, {_metres('p', 'q')} AS d, p.comp = q.comp AS same FROM r p JOIN e q ON abs(p.lat - q.lat) < 0.003 AND p.size % 5 = q.size % 5 AND NOT coalesce(p.ref <> q.ref, false))
+SELECT key, element, round(d, 1) AS metres FROM n WHERE d <= 150 OR (d <= 300 AND same) QUALIFY row_number() OVER (PARTITION BY key ORDER BY d, element) = 1""",
+    "far_namesakes": f"""WITH {_PLACED}, n AS (SELECT p.key, q.key AS element, {_metres('p', 'q')} AS d FROM r p JOIN e q ON abs(p.lat - q.lat) < 0.002 AND p.comp = q.comp AND p.size % 5 = q.size % 5)
+SELECT key, element, round(d, 1) AS metres FROM n WHERE d > 25 AND d <= 150 QUALIFY row_number() OVER (PARTITION BY key ORDER BY d, element) = 1""",
+    "one_site_parts": f"""WITH {_PLACED}, n AS (SELECT p.key, q.key AS other, {_metres('p', 'q')} AS d FROM e p JOIN e q ON abs(p.lat - q.lat) < 0.0005 AND p.key <> q.key AND p.size % 5 = q.size % 5 AND (p.comp = q.comp OR {_dice('p.toks', 'q.toks')} >= 0.5)) SELECT key, other FROM n WHERE d <= 25""",
+    "unlisted_kin": f"""WITH {_PLACED}, k AS (SELECT * FROM r WHERE key % 8 < 5), n AS (SELECT p.key, q.key AS element, {_metres('p', 'q')} AS d FROM k p JOIN e q ON abs(p.lat - q.lat) < 0.0006 AND p.size % 5 = q.size % 5 AND q.ref IS NOT NULL AND q.ref NOT IN (SELECT ref FROM k WHERE ref IS NOT NULL)) SELECT key, element FROM n WHERE d <= 50""",
+    "sister_places": f"""WITH {_PLACED}, n AS (SELECT p.key, q.key AS element, {_metres('p', 'q')} AS d FROM r p JOIN e q ON abs(p.lat - q.lat) < 0.003 AND p.comp = q.comp AND p.ref <> q.ref)
+SELECT key, element, round(d, 1) AS metres FROM n WHERE d <= 300 QUALIFY row_number() OVER (PARTITION BY key ORDER BY d, element) = 1""",
+    "matched_elsewhere": """WITH m AS (SELECT DISTINCT l_partkey AS element, l_orderkey * 10 + l_linenumber AS key FROM lineitem), x AS (SELECT element, count(*) AS n, list(key ORDER BY key) AS k FROM m GROUP BY 1 HAVING count(*) > 1) SELECT element, n, array_to_string(k[1:3], ',') AS keys FROM x""",
+    "nearest_of_rows": """WITH x AS (SELECT l_orderkey AS key, CASE WHEN l_quantity::INT % 2 = 0 THEN l_quantity::DOUBLE ELSE 'inf'::DOUBLE END AS gap FROM lineitem), m AS (SELECT *, min(gap) OVER (PARTITION BY key) AS least FROM x)
+SELECT key, count(*) AS n, min(CASE WHEN isfinite(gap) THEN gap END) AS least FROM m WHERE gap <= least + 10 GROUP BY key""",
+    "sampled_orders": "SELECT o_orderkey AS key, o_orderstatus AS status FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) <= 20",
+    "name_scores": f"""WITH {_PLACED}, a AS (SELECT key, list_distinct(list_concat(list_filter(toks, lambda w: w NOT IN ('prive', 'privee', 'public', 'publique')), ctoks)) AS t, ctoks FROM part2),
+b AS (SELECT a.key, a.t, a.ctoks AS brand, CASE WHEN n.key % 4 = 0 THEN n.ctoks ELSE n.t END AS o FROM a JOIN a n ON n.key = a.key + 1)
+SELECT key AS p_partkey, CASE WHEN len(t) > 0 AND len(o) > 0 AND len(list_filter(o, lambda w: NOT list_contains(brand, w))) > 0 THEN round(CASE WHEN len(list_filter(o, lambda w: NOT list_contains(t, w))) = 0 THEN greatest(0.8::DOUBLE, {_dice('t', 'o')}) ELSE {_dice('t', 'o')} END, 6) END AS score FROM b""",
 }
