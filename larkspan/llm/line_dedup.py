@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,10 +12,11 @@ from .common import documents, dropped, stored
 
 #: Words in a token of a line, and the similarity, in percent, from which a later line is a match of an earlier one.
 TOKEN, PERCENT = 5, 75
-#: Counters of the token frequencies, and classes to a doubling of a count: the table is 1 MB, however large the input.
-COUNTERS, PER_OCTAVE = 1 << 18, 8
-#: Bits in the table of marks by which rows are passed over before a join: 1 MB of hexadecimal digits, however large the input.
-MARKS = 1 << 22
+#: Counters of the token frequencies, and classes to a doubling of a count: the table is 200 KB of text, however large the input.
+COUNTERS, PER_OCTAVE = 1 << 16, 8
+#: Bits in the table of marks by which rows are passed over before a join: 256 KB of hexadecimal digits, however large the input.
+#: Tables stay under half a region of a small driver's heap, beyond which the collector keeps them apart.
+MARKS = 1 << 20
 #: A token that so many entries share, beyond what its counter holds of others, is dealt over SALTS tasks.
 HOT_ROWS, SALTS = 4096, 64
 #: Bits of a token's hash behind its class in the order of tokens.
@@ -69,14 +72,21 @@ def _classes(tokens: DataFrame) -> tuple[Column, int]:
     """For each counter how often its tokens occur in all lines, on a logarithmic scale, as an array; and the first class of
     tokens that are dealt over several tasks. Subqueries are not allowed in higher-order functions, so the table is a literal."""
     counts = tokens.groupBy(_place(F.col("token"), COUNTERS).alias("at")).count()
-    dense = counts.unionByName(tokens.sparkSession.range(0, COUNTERS, 1, 1).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("count")))
     value = lambda c: F.floor(PER_OCTAVE * F.log2(c + 1)).cast("string")
-    dense = dense.groupBy("at").agg(F.sum("count").alias("n"))
-    table = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", value(F.col("n")).alias("c")))), lambda x: x["c"]), ",")
-    found = stored(dense.agg(table.alias("classes"), value(F.lit(HOT_ROWS) + 4 * F.avg("n")).alias("hot")), "line-classes")
+    rows = counts.filter("at is not null").agg(F.array_sort(F.collect_list(F.struct("at", value(F.col("count")).alias("c")))).alias("rows"), (F.sum("count") / COUNTERS).alias("mean"))
+    filled = _filled("rows", "at", lambda x: F.concat(x["c"], F.lit(",")), F.lit("0,"), COUNTERS)
+    found = stored(rows.select(filled.alias("classes"), value(F.lit(HOT_ROWS) + 4 * F.coalesce("mean", F.lit(0.0))).alias("hot")), "line-classes")
     row = found.first()
     dropped(found)
-    return F.split(F.lit(row["classes"]), ",").cast("array<smallint>"), int(row["hot"]) + 1
+    return F.split(F.lit(row["classes"].rstrip(",")), ",").cast("array<smallint>"), int(row["hot"]) + 1
+
+
+def _filled(rows: str, at: str, text: Callable[[Column], Column], blank: Column, size: int) -> Column:
+    """The texts of an array's rows, which stand in the order of `at`, with `blank` for each number under `size` that has no row."""
+    gap = lambda x, i: x[at] - F.when(i > 0, F.get(F.col(rows), i - 1)[at]).otherwise(-1) - 1
+    parts = F.array_join(F.transform(rows, lambda x, i: F.concat(F.repeat(blank, gap(x, i).cast("int")), text(x))), "")
+    last = F.coalesce(F.array_max(F.transform(rows, lambda x: x[at])), F.lit(-1))
+    return F.concat(parts, F.repeat(blank, (F.lit(size - 1) - last).cast("int")))
 
 
 def _place(h: Column, size: int) -> Column:
@@ -87,10 +97,9 @@ def _marks(rows: DataFrame, *columns: str) -> DataFrame:
     """One row, marks: a bit at the place of each of `rows`, as hexadecimal digits; what has no bit there is surely not among them."""
     at = rows.select(_place(F.xxhash64(*columns), MARKS).alias("at"))
     words = at.groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    dense = words.unionByName(rows.sparkSession.range(0, MARKS // 64, 1, 1).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("bits")))
-    dense = dense.groupBy("w").agg(F.bit_or("bits").alias("bits"))
-    digits = F.transform(F.array_sort(F.collect_list(F.struct("w", "bits"))), lambda x: F.lpad(F.hex(x["bits"]), 16, "0"))
-    return stored(dense.agg(F.array_join(digits, "").cast("binary").alias("marks")), "line-marks")
+    found = words.agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("rows"))
+    digits = _filled("rows", "w", lambda x: F.lpad(F.hex(x["bits"]), 16, "0"), F.lit("0" * 16), MARKS // 64)
+    return stored(found.select(digits.cast("binary").alias("marks")), "line-marks")
 
 
 def _marked(df: DataFrame, marks: DataFrame, *columns: str) -> Column:
