@@ -163,19 +163,7 @@ t AS (
          CASE WHEN cut THEN cap ELSE (words - sum(CASE WHEN cut THEN cap ELSE 0.0::DOUBLE END) OVER ())
               / sum(CASE WHEN cut THEN 0.0::DOUBLE ELSE w END) OVER () * w END AS target
   FROM c),
-r AS (
-  SELECT *, (SELECT sum(target) FROM t) AS words,
-         coalesce(sum(target) OVER (ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS lo,
-         sum(target) OVER (ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi
-  FROM t),
-p AS (
-  SELECT id * 0.6180339887498949::DOUBLE - floor(id * 0.6180339887498949::DOUBLE) AS p
-  FROM (SELECT unnest(range((SELECT ceil(sum(target) * (1 + 0.02::DOUBLE) / 128)::BIGINT FROM t))) AS id)),
-m AS (SELECT nr, count(*) AS slots FROM r, p WHERE p.p >= r.lo / r.words AND p.p < r.hi / r.words GROUP BY nr),
-u AS (
-  SELECT t.*, coalesce(least(floor(target)::BIGINT,
-      (slots // ceil(source_size / 128)::BIGINT) * source_size + (slots % ceil(source_size / 128)::BIGINT) * 128), 0) AS filled
-  FROM t LEFT JOIN m USING (nr)),
+u AS (SELECT *, floor(target)::BIGINT AS filled FROM t),
 a AS (
   SELECT d.*, u.source_size, u.target, u.filled,
          coalesce(sum(size) OVER (PARTITION BY u.nr ORDER BY d.o, d.doc_id, d.size, d.tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos

@@ -9,10 +9,10 @@ from .fingerprints import op6_exact_fingerprints
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .media import op3_png_media
 from .mixing import OP8_SQL, op8_golden_mixing
-from .ngram_join import op5_ngram_jaccard_join
+from .ngram_join import OP5_SQL, op5_ngram_jaccard_join
 from .pii import op1_weak_supervision_pii
 from .sharding import op4_rendezvous_sharding
-from .substring_dedup import op2_automaton_substring_dedup
+from .substring_dedup import OP2_SQL, op2_automaton_substring_dedup
 from .toxicity import op10_nb_ngram_toxicity
 
 
@@ -33,4 +33,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_golden_mixing": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_automaton_substring_dedup": OP2_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op8_golden_mixing": OP8_SQL, "op9_line_dedup": OP9_SQL}

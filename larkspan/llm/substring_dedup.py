@@ -306,3 +306,16 @@ def remove_repeats(df: DataFrame) -> DataFrame:
 def op2_automaton_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the word sequences that repeat, as counts and digests."""
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+v AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS i, words FROM w WHERE len(words) >= 35),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS run FROM v),
+r AS (SELECT run FROM g GROUP BY run HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM g WHERE run IN (SELECT run FROM r)),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w),
+k AS (SELECT p.doc_id, count(c.j) AS n_removed, string_agg(p.word, ' ' ORDER BY p.j) FILTER (WHERE c.j IS NULL) AS kept FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.j = p.j GROUP BY p.doc_id)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
