@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import geo, tags, text, values
 from larkspan.operators import evidence, link, store
-from larkspan.plans import desk_queries, tag_queries
+from larkspan.plans import desk_queries, register_queries, tag_queries
 from larkspan.plans import queries as library
 from larkspan.plans.rules import EXAMPLE
 from larkspan.sources import crawl, pages, registry
@@ -22,7 +22,7 @@ def plain(rows, columns):
     return sorted(str([round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order]) for r in rows)
 
 
-MODULES = (library, tag_queries, desk_queries)
+MODULES = (library, tag_queries, desk_queries, register_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.queries().items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 
