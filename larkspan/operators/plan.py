@@ -159,3 +159,32 @@ def disputed_with_groups(ops: DataFrame, others: DataFrame) -> DataFrame:
     out = ops.join(keys.withColumn("itself", F.lit(True)), ["record", "k"], "left").join(groups, ["record", "grp"], "left")
     out = out.join(keys.select("record", F.col("k").alias("pair"), F.lit(True).alias("by_pair")), ["record", "pair"], "left")
     return out.filter(F.coalesce((F.col("itself") & (F.col("op") != "del")), F.col("by_group"), F.col("by_pair"), F.lit(False))).select(*ops.columns)
+
+
+def suppressed(ops: DataFrame, facts: DataFrame) -> DataFrame:
+    """Operations (key, k, op, v, grp) with reason: why one is left out of a record's plan; null where it stays. The first reason counts.
+
+    facts, a row for each key: far (the object lies far from the address), placeless (it is mapped as no place), gone (it is
+    no longer the place), shared (other records match it, or it carries others' ids), grounds (it is the ground around the
+    place), main (the record's main key), mapped_on and within (days between the object's mapping and a date that is
+    believed), disputed (keys that another record on it contradicts).
+    """
+    both = ops.join(facts, "key", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    dated = F.col("k") == "start_date"
+    reached = (F.coalesce(F.col("grp"), F.lit("")) == "addr") | F.col("k").rlike("^(addr|contact):") | F.col("k").isin("phone", "website", "email", "fax", "mobile")
+    late = F.col("mapped_on").isNull() | (F.date_diff(F.col("v").try_cast("date"), F.col("mapped_on")) > F.col("within"))
+    reason = (
+        F.when(yes("far") & yes("placeless") & (reached | ~F.startswith("k", F.lit("ref:"))), "far").when(yes("far") & (reached | dated), "far")
+        .when(yes("grounds") & (F.col("k") == "name"), "grounds").when(yes("gone") & ((F.col("k") == F.col("main")) | dated), "no longer the place")
+        .when(yes("shared") & dated, "shared").when(dated & F.col("within").isNotNull() & F.coalesce(late, F.lit(True)), "mapped before")
+        .when(F.coalesce(F.array_contains("disputed", F.col("k")), F.lit(False)), "disputed")
+    )
+    return both.select(*ops.columns, reason.alias("reason"))
+
+
+def mod_warnings(ops: DataFrame, surveys: DataFrame) -> DataFrame:
+    """key, k, warning: a line for each held value that an operation would overwrite; surveys: key, survey (day or null)."""
+    why = F.when(F.col("survey").isNotNull(), F.concat(F.lit(", and a mapper checked this object on "), F.col("survey"))).otherwise("; a mapper may have set it on purpose")
+    both = ops.filter("op = 'mod'").join(surveys, "key", "left")
+    return both.select("key", "k", F.concat(F.lit("OSM has "), F.col("k"), F.lit("="), F.col("was"), F.lit(" where the source says "), F.col("v"), why).alias("warning"))

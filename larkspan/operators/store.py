@@ -34,6 +34,14 @@ def merge_snapshot(old: DataFrame, new: DataFrame, decided: DataFrame) -> DataFr
     return both.select("key", F.when(mine, F.col("o.hash")).otherwise(F.col("n.hash")).alias("hash"), F.when(mine, F.col("o.seen")).otherwise(F.col("n.seen")).alias("seen"), "state")
 
 
+def upsert(old: DataFrame, new: DataFrame, decided: DataFrame) -> DataFrame:
+    """key, hash, seen of a snapshot after rows that have landed since: the latest of each key, but decided ones stay as they are; nothing vanishes."""
+    latest = new.groupBy("key").agg(F.max(F.struct("seen", "hash")).alias("n"))
+    both = old.alias("o").join(latest, "key", "full_outer").join(decided.select("key", F.lit(True).alias("kept")).distinct(), "key", "left")
+    mine = F.col("n").isNull() | (F.col("kept") & F.col("o.seen").isNotNull())
+    return both.select("key", F.when(mine, F.col("o.hash")).otherwise(F.col("n.hash")).alias("hash"), F.when(mine, F.col("o.seen")).otherwise(F.col("n.seen")).alias("seen"))
+
+
 def sweep_vanished(candidates: DataFrame, decided: DataFrame, run_start: Column) -> DataFrame:
     """Candidates without those that a run made (hash), that it has not seen since its start, and that nobody decided."""
     unseen = F.col("hash").isNotNull() & (F.col("seen").isNull() | (F.date_trunc("second", "seen") < F.date_trunc("second", run_start)))

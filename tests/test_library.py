@@ -12,6 +12,7 @@ from larkspan.plans import desk_queries, register_queries, tag_queries
 from larkspan.plans import queries as library
 from larkspan.plans.rules import EXAMPLE
 from larkspan.sources import crawl, pages, registry
+from larkspan.streaming import attempts
 
 DIR = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark")
@@ -155,3 +156,22 @@ def test_what_a_crawl_may_read():
     mine, other = crawl.parse_robots(file, "Reader/1.0"), crawl.parse_robots(file, "Else")
     assert [mine.allows(p) for p in ("/", "/p", "/p/q", "/p/qq", "/x.pdf")] == [True, False, True, False, False]
     assert not other.allows("/x") and crawl.parse_robots("", "x").allows("/x")
+
+
+def test_streams(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:14:59"), (1, "2024-01-01 00:30:00"), (2, "2024-01-01 00:00:00")], "user_id long, at string").selectExpr("user_id", "cast(at AS timestamp) AS ts")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    query = attempts.attempt_sessions(stream).writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r["user_id"], r["n"]) for r in spark.table("sessions").collect()) == [(1, 1), (1, 2), (2, 1)]
+    assert sorted((r["user_id"], r["n"]) for r in attempts.attempt_islands(rows.withColumn("event_id", F.lit(1))).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+    land = lambda data: spark.createDataFrame(data, "key long, hash string, seen long").coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
+    decided = spark.createDataFrame([(2,)], "key long")
+    for n, data in enumerate(([(1, "a", 1), (2, "b", 1)], [(1, "c", 2), (2, "d", 2), (3, "e", 2)])):
+        land(data)
+        landed = spark.readStream.schema("key long, hash string, seen long").parquet(str(tmp_path / "landed"))
+        attempts.snapshot_stream(landed, decided, str(tmp_path / "snapshot"), str(tmp_path / "marks")).awaitTermination()
+        last = spark.read.parquet(str(tmp_path / f"snapshot/version={n}"))
+    assert sorted(tuple(r) for r in last.select("key", "hash", "seen").collect()) == [(1, "c", 2), (2, "b", 1), (3, "e", 2)]
