@@ -142,8 +142,8 @@ def rebase(ops: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def confidence(ops: DataFrame) -> DataFrame:
-    """key and conf of rows key, conf: the mean over a record's operations, to two decimals."""
-    return ops.groupBy("key").agg(F.round(F.avg("conf"), 2).alias("conf"))
+    """key and conf of rows key, conf: the mean over a record's operations, to two decimals (the nearest hundredth of the double, halves up)."""
+    return ops.groupBy("key").agg((F.floor(F.avg("conf") * 100 + 0.5) / 100).alias("conf"))
 
 
 def disputed_with_groups(ops: DataFrame, others: DataFrame) -> DataFrame:

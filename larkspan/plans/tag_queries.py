@@ -280,10 +280,11 @@ SQL = {
 x AS (SELECT *, CASE id % 4 WHEN 0 THEN id || ' bis' WHEN 1 THEN id || 'A' WHEN 2 THEN id || 'B' ELSE id || ' ter' END AS spaced, CASE id % 4 WHEN 0 THEN id / 1000.0 WHEN 1 THEN id % 90 + 0.5 WHEN 2 THEN id % 90 END AS kw FROM k)
 SELECT id, compact, lower(compact) AS folded, spaced, ((kw > 8)::INT + (kw > 22)::INT + (kw > 60)::INT)::INT AS power_class, CASE WHEN id * 0.7::DOUBLE < 1000 THEN floor(id * 0.7::DOUBLE + 0.5)::BIGINT || ' m' ELSE printf('%.1f', id * 0.7::DOUBLE / 1000) || ' km' END AS away, 'node/' || id AS ref,
 CASE WHEN id % 200 > 127 THEN repeat('ab', 127) || '…' ELSE repeat('ab', (id % 200)::INT) END AS clipped, '#a;#b' || id || ';#c' AS hashtags FROM x""",
-    "phone_forms": rf"""WITH {_CUSTOMERS}, d AS (SELECT *, {_DIGITS} AS digits FROM w)
-SELECT id, CASE id % 6 WHEN 0 THEN '+33 5 ' || n[1:2] || ' ' || n[3:4] || ' ' || n[5:6] || ' ' || n[7:8] WHEN 1 THEN '+33 6 ' || n[1:2] || ' ' || n[3:4] || ' ' || n[5:6] || ' ' || n[7:8]
-WHEN 2 THEN '08 ' || n[1:2] || ' ' || n[3:4] || ' ' || n[5:6] || ' ' || n[7:8] WHEN 3 THEN '+262 692 ' || n[1:2] || ' ' || n[3:4] || ' ' || n[5:6] WHEN 4 THEN '+508 ' || n[1:2] || ' ' || n[3:4] || ' ' || n[5:6] END AS written,
-digits, digits[1:2] IN ('06', '07') AS mobile FROM d""",
+    "phone_forms": rf"""WITH {_CUSTOMERS}, d AS (SELECT *, {_DIGITS} AS digits, CASE id % 6 WHEN 0 THEN '05' ELSE '06' END || n[1:2] AS head FROM w),
+o AS (SELECT *, CASE WHEN head IN ('0639', '0692', '0693') THEN '262' WHEN head IN ('0590', '0690', '0691') THEN '590' WHEN head IN ('0594', '0694') THEN '594' WHEN head IN ('0596', '0696', '0697') THEN '596' END AS code, ' ' || n[3:4] || ' ' || n[5:6] || ' ' || n[7:8] AS rest FROM d)
+SELECT id, CASE WHEN id % 6 = 0 AND head = '0508' THEN '+508' || rest WHEN id % 6 IN (0, 1) AND code IS NOT NULL THEN '+' || code || ' ' || head[2:4] || rest WHEN id % 6 IN (0, 1) THEN '+33 ' || head[2:2] || ' ' || n[1:2] || rest
+WHEN id % 6 = 2 THEN '08 ' || n[1:2] || ' ' || n[3:4] || ' ' || n[5:6] || ' ' || n[7:8] WHEN id % 6 = 3 THEN '+262 692 ' || n[1:2] || ' ' || n[3:4] || ' ' || n[5:6] WHEN id % 6 = 4 THEN '+508 ' || n[1:2] || ' ' || n[3:4] || ' ' || n[5:6] END AS written,
+digits, digits[1:2] IN ('06', '07') AS mobile FROM o""",
     "address_forms": f"""WITH {_CUSTOMERS} SELECT id, (id % 90000 + 10000)::VARCHAR AS postcode, 'Ville ' || id AS commune, CASE WHEN id % 2 = 0 THEN '12 rue Haute ' || (id % 90000 + 10000) || ' Ville ' || id ELSE line END AS asked,
 'rue du ' || (id % 31 + 1) || ' novembre et fils' AS street FROM w""",
     "same_values": """WITH c AS (SELECT c_custkey AS id FROM customer), k AS (SELECT unnest(range(16))::INT AS "case", unnest(['operator', 'phone', 'ref:x', 'ref:x', 'cuisine', 'cuisine', 'cuisine', 'socket:type2:output', 'addr:housenumber', 'ref', 'note', 'contact:website', 'website', 'website', 'opening_hours', 'addr:street']) AS k)
