@@ -15,16 +15,21 @@ MATCH_M, STRONG_M, BARE_M, NEARBY_M, TWIN_M, ALIKE_M = 50.0, 150.0, 15.0, 300.0,
 NAME_MATCH, STRONG_NAME = 0.5, 0.6
 
 
-def pairs_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """Pairs p, q of (key, lat, lon, ...) rows within `metres`, with d: an equi-join on the cells of a grid as fine as the reach.
+def keys_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """p_key, q_key and d of the rows (key, lat, lon) within `metres` of each other: an equi-join on the cells of a grid as fine as the reach.
 
-    Keys and positions meet in the cells, and what else the rows have is joined to the pairs that are in reach. Rows
-    without a position pair with nothing. A crowded cell is split by Spark's skew join; its pairs are those asked for.
+    Only keys and positions meet in the cells. Rows without a position pair with nothing. A crowded cell is split by
+    Spark's skew join; its pairs are those asked for.
     """
     slim = lambda rows, end: rows.select("cell_row", "cell_col", F.col("key").alias(f"{end}_key"), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon"))
     p, q = slim(in_cell(left, metres), "p"), slim(in_cells_around(right, metres), "q")
     both = p.join(q, ["cell_row", "cell_col"]).filter(F.abs(F.col("p_lat") - F.col("q_lat")) <= metres / DEGREE_M)
-    near = both.withColumn("d", distance(F.col("p_lat"), F.col("p_lon"), F.col("q_lat"), F.col("q_lon"))).filter(F.col("d") <= metres).select("p_key", "q_key", "d")
+    return both.withColumn("d", distance(F.col("p_lat"), F.col("p_lon"), F.col("q_lat"), F.col("q_lon"))).filter(F.col("d") <= metres).select("p_key", "q_key", "d")
+
+
+def pairs_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """Pairs p, q of whole rows (key, lat, lon, ...) within `metres`, with d: what else rows have is joined to the pairs in reach."""
+    near = keys_within(left, right, metres)
     for rows, end in ((left, "p"), (right, "q")):
         near = near.join(rows.select(F.struct(*rows.columns).alias(end)), F.col(f"{end}_key") == F.col(f"{end}.key"))
     return near.select("p", "q", "d")
@@ -85,9 +90,11 @@ def settle(found: DataFrame) -> DataFrame:
 
 def nearby_labels(records: DataFrame, elements: DataFrame, k: int = 3) -> DataFrame:
     """key, position (from 1), element, label, d: the k nearest named elements within 300 m."""
-    near = pairs_within(records, elements.filter(F.length(F.trim("name")) > 0), NEARBY_M)
-    rank = F.row_number().over(Window.partitionBy("p.key").orderBy("d", "q.key"))
-    return near.withColumn("position", rank).filter(F.col("position") <= k).select(F.col("p.key").alias("key"), "position", F.col("q.key").alias("element"), F.col("q.name").alias("label"), "d")
+    labelled = elements.filter(F.length(F.trim("name")) > 0)
+    rank = F.row_number().over(Window.partitionBy("p_key").orderBy("d", "q_key"))
+    near = keys_within(records, labelled, NEARBY_M).withColumn("position", rank).filter(F.col("position") <= k)
+    names = labelled.select(F.col("key").alias("element"), F.col("name").alias("label"))
+    return near.select(F.col("p_key").alias("key"), "position", F.col("q_key").alias("element"), "d").join(names, "element").select("key", "position", "element", "label", "d")
 
 
 def twins(records: DataFrame) -> DataFrame:
