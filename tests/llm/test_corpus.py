@@ -248,3 +248,12 @@ def test_repeated_ids_are_learned_from_once(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
     assert sorted(tuple(r) for r in toxicity.training_rows(df, labels).collect()) == sorted((f"text {i} 0", i % 2) for i in ids)
     assert toxicity.training_rows(df, labels, 5).count() == 5
+
+
+def test_jaccard_groups_by_leaders_alone(docs, monkeypatch):
+    """No shingle makes its pairs at once: what leaders alone find is the same."""
+    found = lambda: sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicate_groups(docs).collect())
+    plain = found()
+    monkeypatch.setattr(ngram_join, "PAIRS_EACH", -1)
+    monkeypatch.setattr(ngram_join, "SOME", 1)
+    assert found() == plain
