@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hours import same_hours
 from .text import id_keys, normalise_name
 
 #: Day numbers as French streets spell them out (fixed values).
@@ -163,11 +164,6 @@ def same_url(a: Column, b: Column) -> Column:
     return F.when(ha.isNull() | hb.isNull(), F.lower(F.trim(a)) == F.lower(F.trim(b))).otherwise((ha == hb) & (xa == xb))
 
 
-def all_day(hours: Column) -> Column:
-    """Opening hours, with the ways of writing round the clock as 24/7."""
-    return F.when(F.trim(hours).rlike(r"^(Mo-Su )?00:00-(24:00|23:5[0-9]|00:00)$"), "24/7").otherwise(F.trim(hours))
-
-
 def _numbers(value: Column) -> Column:
     return F.nullif(F.regexp_extract(value, r"^\s*([-+]?[0-9]*\.?[0-9]+)", 1), F.lit("")).try_cast("double")
 
@@ -186,13 +182,13 @@ def same_ids(a: Column, b: Column) -> Column:
 def same_value(key: Column, a: Column, b: Column, hooks: dict[str, Callable[[Column, Column], Column]] | None = None) -> Column:
     """Does the proposed value `a` of a key say what the held `b` does?
 
-    By key: names and streets folded, opening hours, outputs as numbers, phones by digits, web addresses by site, house
+    By key: names and streets folded, opening hours as weeks, outputs as numbers, phones by digits, web addresses by site, house
     numbers, ids by inclusion; `hooks` adds comparisons of a kind's own. Other values compare as lists where one has a
     semicolon, and otherwise as they stand but for spaces at the ends.
     """
     k = F.regexp_replace(key, "^contact:", "")
     rules = F.when(k.isin("addr:street", "street"), street_digits(fold(a)) == street_digits(fold(b))).when(k.isin(*NAME_KEYS), fold(a) == fold(b))
-    rules = rules.when(k == "opening_hours", all_day(a) == all_day(b)).when(F.endswith(k, F.lit(":output")), _numbers(a) == _numbers(b))
+    rules = rules.when(k == "opening_hours", same_hours(a, b)).when(F.endswith(k, F.lit(":output")), _numbers(a) == _numbers(b))
     rules = rules.when(k.isin("phone", "fax", "mobile"), phone_digits(a) == phone_digits(b)).when(k == "website", same_site(a, b))
     rules = rules.when(k.isin("addr:housenumber", "housenumber"), house_number(a) == house_number(b))
     for name, same in (hooks or {}).items():

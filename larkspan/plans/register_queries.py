@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hours
 from ..functions import registers as reg
 from ..operators import declare
 
@@ -80,13 +81,39 @@ def vetted(spark, sf_dir):
         tag(0, "name", F.concat(F.lit("bakery number "), t), 1.0, F.concat(F.lit("BAKERY Number "), t)), tag(1, "phone", F.lit("+33 5 61 23 45 67"), 0.8, F.lit("call 05 61 23 45 67")), tag(2, "phone", F.lit("05 00 00 00 00"), 0.8, F.lit("call 05 61 23 45 67")),
         tag(3, "website", F.concat(F.lit("https://www.bread"), t, F.lit(".org/")), 0.7, F.concat(F.lit("www.bread"), t, F.lit(".org"))), tag(4, "website", F.lit("b.org"), 0.7, F.lit("mail a@b.org")), tag(5, "Bad Key", F.lit("x"), 0.9, F.lit("Open")),
         tag(6, "opening", F.lit("yes"), 0.3, F.lit("Open")), tag(7, "opening", F.lit("maybe"), 0.6, F.lit("nowhere")), tag(8, "opening", F.when(F.col("page") % 2 == 0, "").otherwise("no"), 0.6, F.lit("open")), tag(9, "email", F.lit("a@b.org"), 0.6, F.lit("mail a@b.org;")), tag(10, "secret", F.lit("x"), 0.9, F.lit("Open")),
+        tag(11, "opened", F.lit("late"), 0.496, F.lit("Open")), tag(12, "opening_hours", F.lit("at noon"), 0.9, F.lit("Open")), tag(13, "opening_hours", F.concat(F.lit("Mo 08:00-1"), (F.col("page") % 3).cast("string"), F.lit(":00, Tu 08:00-11:00")), 0.555, F.lit("Open")),
     )
     said = o.select("page", text.alias("text"), F.explode(tags).alias("s")).select("page", "text", "s.*")
     return declare.vetted_tags(said, ["name", "phone", "website", "open*", "email"], 0.5)
 
 
+def _week_texts(spark, sf_dir):
+    """Hours of customers by rule: days one by one, the same as a range, a day said twice, nights, what is no week."""
+    n = F.col("c_custkey")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    opens, close = two(6 + n % 5), two(15 + n % 9)
+    span = F.concat(opens, F.lit(":00-"), close, F.lit(":30"))
+    days = F.transform(F.sequence(F.lit(1), F.lit(3) + (n % 5).cast("int")), lambda i: F.concat(F.element_at(F.array(*[F.lit(d) for d in hours.DAYS]), i), F.lit(" "), span))
+    one_by_one = F.array_join(days, ", ")
+    ranged = F.concat(F.lit("Mo-"), F.element_at(F.array(*[F.lit(d) for d in hours.DAYS]), F.lit(3) + (n % 5).cast("int")), F.lit(" "), span)
+    night = F.concat(F.lit("Sa-Mo 22:00-0"), (n % 4).cast("string"), F.lit(":00; Su off"))
+    twice = F.concat(F.lit("Mo-Sa "), opens, F.lit(":00-12:00;Mo-Sa 13:00-"), close, F.lit(":30"))
+    return _read(spark, sf_dir, "customer").select(n.alias("id"), one_by_one.alias("listed"), ranged.alias("ranged"), night.alias("night"), twice.alias("twice"), F.concat(F.lit("Mo "), span, F.lit("; sunset")).alias("other"))
+
+
+def opening_weeks(spark, sf_dir):
+    """Opening hours folded, compared minute by minute, counted, and held against a moment; what is no week is none."""
+    t = _week_texts(spark, sf_dir)
+    c = F.col
+    ranged, night = hours.week_intervals(c("ranged")), hours.week_intervals(c("night"))
+    return t.select(
+        "id", hours.fold_days(c("listed")).alias("folded"), hours.register_hours(c("twice")).alias("merged"), hours.fold_days(c("twice")).alias("kept"), hours.same_hours(c("listed"), c("ranged")).alias("same"), hours.same_hours(c("ranged"), c("night")).alias("alike"),
+        hours.minutes_open(ranged).alias("minutes"), hours.minutes_open(night).alias("night_minutes"), hours.open_at(night, (6 * hours.DAY_MIN + c("id") % 240).cast("int")).alias("at_night"), hours.overlap(ranged, night).alias("meet"), hours.valid_hours(c("other")).alias("other"),
+    )
+
+
 def queries():
-    names = (point_ids, register_sites, private_mailboxes, point_declarations, dataset_files, vetted)
+    names = (point_ids, register_sites, private_mailboxes, point_declarations, dataset_files, vetted, opening_weeks)
     return {f.__name__: f for f in names}
 
 
@@ -103,5 +130,9 @@ SELECT p_partkey AS row, count(*) AS n, max(struct_pack(a := day[1:7], b := CASE
     "dataset_files": """WITH r AS (SELECT s_nationkey AS dataset, 'u' || s_suppkey AS url, s_suppkey AS s FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 3 <> 2 AND s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 2)
 SELECT dataset, url FROM r QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY (s % 5 IN (0, 4))::INT DESC, (s * 37 % 100)::VARCHAR DESC, url) = 1""",
     "vetted": """WITH o AS (SELECT o_orderkey AS page FROM orders) SELECT page, 0 AS position, 'name' AS k, 'bakery number ' || page AS v, 0.9::DOUBLE AS conf FROM o UNION ALL SELECT page, 1, 'phone', '+33 5 61 23 45 67', 0.8 FROM o UNION ALL SELECT page, 3, 'website', 'https://www.bread' || page || '.org/', 0.7 FROM o
-UNION ALL SELECT page, 8, 'opening', 'no', 0.6 FROM o WHERE page % 2 = 1 UNION ALL SELECT page, 9, 'email', 'a@b.org', 0.6 FROM o""",
+UNION ALL SELECT page, 8, 'opening', 'no', 0.6 FROM o WHERE page % 2 = 1 UNION ALL SELECT page, 9, 'email', 'a@b.org', 0.6 FROM o
+UNION ALL SELECT page, 13, 'opening_hours', CASE WHEN page % 3 = 1 THEN 'Mo-Tu 08:00-11:00' ELSE 'Mo 08:00-1' || (page % 3) || ':00; Tu 08:00-11:00' END, 0.56 FROM o""",
+    "opening_weeks": """WITH c AS (SELECT c_custkey AS id, lpad((6 + c_custkey % 5)::VARCHAR, 2, '0') AS o, lpad((15 + c_custkey % 9)::VARCHAR, 2, '0') AS e, 3 + c_custkey % 5 AS n, 60 * (15 + c_custkey % 9) + 30 - 60 * (6 + c_custkey % 5) AS m, 60 * (c_custkey % 4) AS late FROM customer)
+SELECT id, 'Mo-' || ['Mo', 'Tu', 'We', 'Th', 'Fr', 'Sa', 'Su'][n] || ' ' || o || ':00-' || e || ':30' AS folded, 'Mo-Sa ' || o || ':00-12:00,13:00-' || e || ':30' AS merged, 'Mo-Sa ' || o || ':00-12:00;Mo-Sa 13:00-' || e || ':30' AS kept, true AS same, false AS alike,
+  (n * m)::INT AS minutes, (2 * (120 + late))::INT AS night_minutes, (id % 240) < late AS at_night, e >= '22' AS meet, NULL::VARCHAR AS other FROM c""",
 }
