@@ -149,11 +149,15 @@ def confidence(ops: DataFrame) -> DataFrame:
 def disputed_with_groups(ops: DataFrame, others: DataFrame) -> DataFrame:
     """The operations (record, element, k, op, v, grp, pair) that another record (record, element, k, v) on the object contradicts.
 
-    With one operation of a group, or one half of a move, go the others.
+    With one operation of a group, or one half of a move, go the others. Not records but the distinct values of a key on an
+    object are compared, with the least and the greatest record that says each: however many records say the same, it is one.
     """
-    o, t = ops.alias("o"), others.alias("t")
-    against = (F.col("o.element") == F.col("t.element")) & (F.col("o.k") == F.col("t.k")) & (F.col("o.record") != F.col("t.record"))
-    direct = o.filter("op <> 'del'").join(t, against & ~same_value(F.col("t.k"), F.col("t.v"), F.col("o.v")), "left_semi")
+    said = others.groupBy("element", "k", "v").agg(F.min("record").alias("lo"), F.max("record").alias("hi"))
+    written = ops.filter("op <> 'del'").select("element", "k", "v").distinct()
+    o, t = written.alias("o"), said.alias("t")
+    against = (F.col("o.element") == F.col("t.element")) & (F.col("o.k") == F.col("t.k")) & ~F.col("o.v").eqNullSafe(F.col("t.v")) & ~same_value(F.col("t.k"), F.col("t.v"), F.col("o.v"))
+    unlike = o.join(t, against).groupBy("o.element", "o.k", "o.v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    direct = ops.filter("op <> 'del'").join(unlike, ["element", "k", "v"]).filter((F.col("lo") != F.col("record")) | (F.col("hi") != F.col("record")))
     groups = direct.filter("grp is not null").select("record", "grp").distinct().withColumn("by_group", F.lit(True))
     keys = direct.select("record", "k").distinct()
     out = ops.join(keys.withColumn("itself", F.lit(True)), ["record", "k"], "left").join(groups, ["record", "grp"], "left")

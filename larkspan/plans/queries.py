@@ -6,8 +6,6 @@ tags line items, runs and sign-in attempts events.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from ..functions.geo import distance, in_circle
 from ..functions.text import allowed_by, dice, host, id_keys, name_score, name_tokens, normalise_name
 from ..operators import around, diff, evidence, link, review, rollup, store
 from ..sources import pages, registry
+from ..steps import shared_folder
 from ..streaming import attempts
 from . import rules
 
@@ -117,16 +116,6 @@ def site_components(spark, sf_dir):
     return link.merge_sites(brand.unionByName(kind))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that driver and executors share; only local mode may make one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.partition("[")[0] != "local":
-        raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share.")
-    return tempfile.mkdtemp(prefix="larkspan-")
-
-
 def _tags(rows: DataFrame, key: str) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in ("name", "operator", "type", "size")])
     return rows.select(F.col(key).alias("key"), F.explode(pairs).alias("t")).select("key", "t.*")

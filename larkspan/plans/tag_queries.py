@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, tags, values
+from ..steps import checkpointed
 from ..operators import plan
 
 MAIN = ("amenity", "shop", "office")
@@ -218,7 +219,7 @@ def closure_plan(spark, sf_dir):
 def contradicted(spark, sf_dir):
     """Operations that another record on the same object contradicts, with their group or other half."""
     ops = plan.update_ops(_proposed(spark, sf_dir), _tagged(spark, sf_dir), MAIN).withColumn("element", F.col("key") % 40).withColumnRenamed("key", "record")
-    ops = ops.withColumn("grp", F.when(F.startswith("k", F.lit("addr:")), "addr"))
+    ops = checkpointed(ops.withColumn("grp", F.when(F.startswith("k", F.lit("addr:")), "addr")))
     others = ops.filter("op <> 'del'").select("record", "element", "k", "v")
     return plan.disputed_with_groups(ops.select("record", "element", "k", "op", "v", "grp", "pair"), others).select("record", "k", "op")
 

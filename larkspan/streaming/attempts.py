@@ -28,9 +28,11 @@ def attempt_islands(attempts: DataFrame) -> DataFrame:
 def attempt_sessions(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """user_id, first, last_end, n, locked of a stream of attempts (user_id, ts): one session until a quarter of an hour passes without any.
 
-    State is one row for each open session; the watermark closes those that no attempt can reach any more.
+    State is one row for each open session; the watermark closes those that no attempt can reach any more. Windows that touch
+    are one session, so they are a microsecond shorter than the pause: after exactly a quarter of an hour the count starts anew.
     """
-    sessions = stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", f"{PAUSE_MIN} minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    gap = f"{PAUSE_MIN * 60 - 1} seconds 999 milliseconds 999 microseconds"
+    sessions = stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return sessions.select("user_id", F.col("w.start").alias("first"), F.col("w.end").alias("last_end"), "n", (F.col("n") >= LOCK).alias("locked"))
 
 

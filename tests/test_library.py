@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import geo, tags, text, values
 from larkspan.operators import evidence, link, store
-from larkspan.plans import desk_queries, register_queries, tag_queries
+from larkspan.plans import desk_queries, register_queries, station_queries, tag_queries
 from larkspan.plans import queries as library
 from larkspan.plans.rules import EXAMPLE
 from larkspan.sources import crawl, pages, registry
@@ -23,7 +23,7 @@ def plain(rows, columns):
     return sorted(str([round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order]) for r in rows)
 
 
-MODULES = (library, tag_queries, desk_queries, register_queries)
+MODULES = (library, tag_queries, desk_queries, register_queries, station_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.queries().items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 
@@ -159,13 +159,13 @@ def test_what_a_crawl_may_read():
 
 
 def test_streams(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:14:59"), (1, "2024-01-01 00:30:00"), (2, "2024-01-01 00:00:00")], "user_id long, at string").selectExpr("user_id", "cast(at AS timestamp) AS ts")
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:14:59"), (1, "2024-01-01 00:30:00"), (2, "2024-01-01 00:00:00"), (3, "2024-01-01 00:00:00"), (3, "2024-01-01 00:15:00"), (3, "2024-01-01 00:29:59")], "user_id long, at string").selectExpr("user_id", "cast(at AS timestamp) AS ts")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     query = attempts.attempt_sessions(stream).writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert sorted((r["user_id"], r["n"]) for r in spark.table("sessions").collect()) == [(1, 1), (1, 2), (2, 1)]
-    assert sorted((r["user_id"], r["n"]) for r in attempts.attempt_islands(rows.withColumn("event_id", F.lit(1))).collect()) == [(1, 1), (1, 2), (2, 1)]
+    assert sorted((r["user_id"], r["n"]) for r in spark.table("sessions").collect()) == [(1, 1), (1, 2), (2, 1), (3, 1), (3, 2)]
+    assert sorted((r["user_id"], r["n"]) for r in attempts.attempt_islands(rows.withColumn("event_id", F.lit(1))).collect()) == [(1, 1), (1, 2), (2, 1), (3, 1), (3, 2)]
 
     land = lambda data: spark.createDataFrame(data, "key long, hash string, seen long").coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
     decided = spark.createDataFrame([(2,)], "key long")
