@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.geo import distance
 from ..functions.tags import rules_out
-from ..functions.text import dice, name_tokens, normalise_name
-from .link import NAME_MATCH, pairs_within
+from ..functions.text import company_key, company_similarity, dice, name_tokens, normalise_name
+from .link import NAME_MATCH, keys_within, pairs_within
 
 #: Metres: parts of one site, a kin that a source does not list, kin and namesakes, kin with the same operator, siblings.
 PART_M, UNLISTED_M, KIN_M, SAME_OPERATOR_M, SIBLING_M = 25.0, 50.0, 150.0, 300.0, 300.0
@@ -22,10 +23,6 @@ def _same(column: str) -> Column:
     return F.coalesce((a == b) & (a != ""), F.lit(False))
 
 
-def _likeness() -> Column:
-    return dice(name_tokens(F.col("p.name")), name_tokens(F.col("q.name")))
-
-
 def kin(records: DataFrame, elements: DataFrame, metres: float = KIN_M) -> DataFrame:
     """p, q, d: elements of a record's kind within reach that do not carry other ids than its own."""
     near = pairs_within(records, elements, metres)
@@ -44,25 +41,76 @@ def namesakes(records: DataFrame, elements: DataFrame) -> DataFrame:
     return near.groupBy(F.col("p.key").alias("key")).agg(F.min(F.struct("d", F.col("q.key").alias("element"))).alias("m")).select("key", "m.element", "m.d")
 
 
-def site_parts(elements: DataFrame) -> DataFrame:
-    """key, other: elements within 25 m of each other, of one kind, whose names or operators agree: one site mapped as several."""
-    near = pairs_within(elements, elements, PART_M).filter((F.col("p.key") < F.col("q.key")) & (F.col("p.kind") == F.col("q.kind")) & (_same("operator") | (_likeness() >= NAME_MATCH)))
-    ends = F.array(F.struct(F.col("p.key").alias("key"), F.col("q.key").alias("other")), F.struct(F.col("q.key").alias("key"), F.col("p.key").alias("other")))
-    return near.select(F.explode(ends).alias("e")).select("e.*")
+def _elsewhere(df: DataFrame, matched: DataFrame, key: str, element: str) -> DataFrame:
+    """The rows of df whose element no record but their own has matched."""
+    by = matched.groupBy(F.col("element").alias("_el")).agg(F.min("key").alias("_lo"), F.max("key").alias("_hi"))
+    other = (df[element] == by["_el"]) & ((by["_lo"] != df[key]) | (by["_hi"] != df[key]))
+    return df.join(by, other, "left_anti")
+
+
+def site_parts(matched: DataFrame, records: DataFrame, elements: DataFrame) -> DataFrame:
+    """key, other, d, by_id: the other objects that the site of a matched record (matched: key, element) is mapped as, d metres from its own object.
+
+    Within 25 m those of its kind that disagree in nothing: a name, if there is one, is like the record's or the object's, an operator agrees with either, ids are not
+    another's, and what the record says is open to all is not closed. At any distance those that carry an id of the record alone (soft_ids), unless they are no
+    longer the place (gone). What another record has matched is not part of this one. Records have soft_ids and access besides, elements also gone.
+    """
+    x = records.select("key", "name", "operator", "kind", "ids", "soft_ids", "access")
+    el = matched.join(elements.select(F.col("key").alias("element"), "lat", "lon", F.col("name").alias("el_name"), F.col("operator").alias("el_operator")), "element")
+    said = lambda name, who: {f"{name}_words": name_tokens(F.col(name)), f"{who}_key": company_key(F.col(who)), f"{who}_words": name_tokens(F.col(who))}
+    base = el.withColumns(said("el_name", "el_operator")).join(x.withColumns(said("name", "operator")), "key")
+    near = keys_within(base.select("key", "lat", "lon"), elements, PART_M)
+    e = elements.withColumns(said("name", "operator")).select(F.struct("key", "kind", "ids", "soft_ids", "access", "name_words", "operator_key", "operator_words", (F.coalesce(F.trim("name"), F.lit("")) == "").alias("nameless")).alias("e"))
+    both = near.join(base, F.col("p_key") == F.col("key")).join(e, F.col("q_key") == F.col("e.key")).filter((F.col("q_key") != F.col("element")) & (F.col("e.kind") == F.col("kind")))
+    like = lambda a: dice(F.col("e.name_words"), F.col(a)) >= NAME_MATCH
+    who = lambda a: company_similarity(F.col(f"{a}_key"), F.col("e.operator_key"), F.col(f"{a}_words"), F.col("e.operator_words"))
+    named = F.col("e.nameless") | like("name_words") | like("el_name_words")
+    run = (F.coalesce(who("operator"), F.lit(1.0)) >= NAME_MATCH) | (F.coalesce(who("el_operator"), F.lit(0.0)) >= NAME_MATCH)
+    closed = F.coalesce((F.col("access") == "yes") & F.col("e.access").isin("private", "no", "customers"), F.lit(False))
+    both = both.filter(named & run & ~closed & ~rules_out(F.col("ids"), F.col("e.ids")) & ~rules_out(F.col("soft_ids"), F.col("e.soft_ids")))
+    beside = both.select("key", F.col("q_key").alias("other"), "d", F.lit(False).alias("by_id"))
+    ours = records.select("key", "ids", F.explode("soft_ids").alias("id"))
+    shared = ours.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("id")
+    held = elements.filter("not gone").select(F.col("key").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("ids").alias("ids2"), F.explode("soft_ids").alias("id"))
+    hits = ours.join(shared, "id", "left_anti").join(held, "id").join(base.select("key", "element", "lat", "lon"), "key").filter((F.col("other") != F.col("element")) & ~rules_out(F.col("ids"), F.col("ids2")))
+    hits = hits.select("key", "other", distance(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("d"), F.lit(True).alias("by_id")).distinct()
+    found = beside.unionByName(hits.join(beside.select("key", "other"), ["key", "other"], "left_anti"))
+    return _elsewhere(found, matched, "key", "other")
 
 
 def unlisted(records: DataFrame, elements: DataFrame) -> DataFrame:
-    """key, element: elements of a record's kind within 50 m with ids, none of which any record of the source has."""
-    near = pairs_within(records, elements, UNLISTED_M).filter((F.col("p.kind") == F.col("q.kind")) & (F.size("q.ids") > 0)).select(F.col("p.key").alias("key"), F.col("q.key").alias("element"))
+    """key, element: elements of a record's kind within 50 m with ids, none of which any record of the source has. A record without an id says nothing of others."""
+    with_id = records.filter(F.size("ids") > 0)
+    near = keys_within(with_id, elements.filter(F.size("ids") > 0), UNLISTED_M)
+    near = near.join(with_id.select(F.col("key").alias("p_key"), "kind"), "p_key").join(elements.select(F.col("key").alias("q_key"), F.col("kind").alias("kind2")), "q_key").filter("kind = kind2")
     listed = records.select(F.explode("ids").alias("id")).distinct()
     known = elements.select(F.col("key").alias("element"), F.explode("ids").alias("id")).join(listed, "id").select("element").distinct()
-    return near.join(known, "element", "left_anti")
-
-
-def siblings(records: DataFrame, elements: DataFrame) -> DataFrame:
-    """key, element, d: the nearest element within 300 m that carries other ids than the record but has its operator: a sister place."""
-    near = pairs_within(records, elements, SIBLING_M).filter(rules_out(F.col("p.ids"), F.col("q.ids")) & _same("operator"))
-    return near.groupBy(F.col("p.key").alias("key")).agg(F.min(F.struct("d", F.col("q.key").alias("element"))).alias("m")).select("key", "m.element", "m.d")
+    return near.select(F.col("p_key").alias("key"), F.col("q_key").alias("element")).join(known, "element", "left_anti")
+
+
+#: Why an object with another's id may be the place or its sister, the strongest first.
+SIBLING_REASONS = ("address", "contact", "company")
+
+
+def siblings(records: DataFrame, elements: DataFrame, matched: DataFrame) -> DataFrame:
+    """key, element, d, reason: the nearest element within 300 m that carries other ids than the record, but has its address, one of its phones or mailboxes, or
+    its company's number: the place under an old id, or its sister.
+
+    What records say that matched the element (matched: key, element) counts as its own. Records and elements have address (null: unknown), contacts (array) and
+    company besides. Ties go to the lesser element; of its reasons that of the element itself comes first, then those of records by key.
+    """
+    near = keys_within(records.filter(F.size("ids") > 0), elements.filter(F.size("ids") > 0), SIBLING_M)
+    facts = lambda end: F.struct("address", "contacts", "company").alias(end)
+    x = records.select(F.col("key").alias("p_key"), F.col("ids").alias("p_ids"), facts("x"))
+    near = near.join(x, "p_key").join(elements.select(F.col("key").alias("q_key"), F.col("ids").alias("q_ids")), "q_key").filter(rules_out(F.col("p_ids"), F.col("q_ids"))).select("p_key", "q_key", "d", "x")
+    own = elements.select(F.col("key").alias("q_key"), F.lit(None).cast(records.schema["key"].dataType).alias("by"), facts("v"))
+    said = matched.join(records, "key").select(F.col("element").alias("q_key"), F.col("key").alias("by"), facts("v"))
+    both = near.join(own.unionByName(said), "q_key").filter(F.col("by").isNull() | (F.col("by") != F.col("p_key")))
+    reason = F.when(F.col("x.address") == F.col("v.address"), 0).when(F.arrays_overlap("x.contacts", "v.contacts"), 1).when(F.col("x.company") == F.col("v.company"), 2)
+    why = both.withColumn("why", reason).filter("why is not null")
+    best = why.groupBy(F.col("p_key").alias("key")).agg(F.min(F.struct("d", "q_key", F.col("by").isNotNull().alias("late"), "by", "why")).alias("m"))
+    names = F.array(*[F.lit(r) for r in SIBLING_REASONS])
+    return best.select("key", F.col("m.q_key").alias("element"), "m.d", F.element_at(names, F.col("m.why") + 1).alias("reason"))
 
 
 def matched_by(matches: DataFrame, shown: int = 3) -> DataFrame:

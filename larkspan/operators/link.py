@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import DEGREE_M, distance, in_cell, in_cells_around
-from ..functions.text import company_key, company_similarity, dice, id_keys, name_tokens
+from ..functions.text import company_key, company_similarity, dice, id_keys, name_tokens, normalise_name
 
 #: Metres: a match, a match by a strong name, one without any name, neighbours worth naming, twins, twins that look alike.
 MATCH_M, STRONG_M, BARE_M, NEARBY_M, TWIN_M, ALIKE_M = 50.0, 150.0, 15.0, 300.0, 10.0, 60.0
@@ -47,8 +47,11 @@ def _who() -> Column:
 def ref_matches(records: DataFrame, elements: DataFrame) -> DataFrame:
     """key, element, d: each record's nearest element with an id of its own (refs; lists by semicolons), at any distance.
 
-    An id that several records carry picks nothing. Ties go to the lesser element.
+    An id that several records carry picks nothing. Ties go to the lesser element. Elements that are no longer the place (gone, if they have
+    that column) are passed over: a stale id on them settles nothing.
     """
+    if "gone" in elements.columns:
+        elements = elements.filter("not gone")
     ours = records.select("key", "lat", "lon", F.explode(id_keys(F.col("refs"))).alias("id"))
     shared = ours.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("id")
     theirs = elements.select(F.col("key").alias("element"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(id_keys(F.col("refs"))).alias("id"))
@@ -61,7 +64,10 @@ def spatial_matches(records: DataFrame, elements: DataFrame) -> DataFrame:
 
     Columns key, lat, lon, name, operator. A strong name reaches 150 m, others 50 m; what has no name at all matches
     within 15 m. The score is the similarity (0.4 without one) less a thousandth a metre and 0.3 for operators that disagree; of equal scores the lesser element wins.
+    Elements that are no longer the place (gone, if they have that column) are passed over. `find.find_matches` is the whole rule, with ids and what both state.
     """
+    if "gone" in elements.columns:
+        elements = elements.filter("not gone")
     near = pairs_within(named(records), named(elements), STRONG_M)
     a, b = F.col("p.words"), F.col("q.words")
     near = near.withColumn("named", F.when((F.size(a) > 0) & (F.size(b) > 0), dice(a, b))).withColumn("who", _who())
@@ -108,6 +114,38 @@ def twins(records: DataFrame) -> DataFrame:
     return near.select(F.explode(ends).alias("e"), "reason", "d").select("e.key", "e.other", "reason", "d")
 
 
+def twin_reasons(records: DataFrame) -> DataFrame:
+    """key, reason, n, other: for each record how many others may be the same place, and the least of them; a row for each reason.
+
+    near: within 10 m, or within 60 m with like names or operators, unless both carry ids that rule each other out (hard: an array that is not empty on both sides).
+    same: name, address and operator, however far apart. organisation: the same number of one. address: the same tags of it. Besides the columns of
+    `twins` records have hard, line (an address line), organisation and address, null where unknown. Only what is near makes pairs; the others are groups, told by
+    their number and two least keys, so that an organisation with a million places is one row.
+    """
+    rows = named(records).join(records.select("key", "hard"), "key")
+    near = keys_within(records, records, ALIKE_M).filter("p_key < q_key")
+    for end in "pq":
+        near = near.join(rows.select(F.struct(*rows.columns).alias(end)), F.col(f"{end}_key") == F.col(f"{end}.key"))
+    alike = (dice(F.col("p.words"), F.col("q.words")) >= NAME_MATCH) | F.coalesce(_who() >= NAME_MATCH, F.lit(False))
+    both_hard = (F.size("p.hard") > 0) & (F.size("q.hard") > 0)
+    near = near.filter((F.col("d") <= TWIN_M) | (alike & ~both_hard))
+    ends = F.explode(F.array(*[F.struct(F.col(f"{a}_key").alias("key"), F.col(f"{b}_key").alias("other")) for a, b in ("pq", "qp")]))
+    found = near.select(ends.alias("e")).groupBy("e.key").agg(F.count(F.lit(1)).alias("n"), F.min("e.other").alias("other")).select("key", F.lit("near").alias("reason"), "n", "other")
+
+    def same(reason: str, *what: Column) -> DataFrame:
+        ids = records.select("key", *[w.alias(f"w{i}") for i, w in enumerate(what)])
+        for i in range(len(what)):
+            ids = ids.filter(F.col(f"w{i}").isNotNull() & (F.col(f"w{i}") != ""))
+        by = [f"w{i}" for i in range(len(what))]
+        least = ids.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo")).filter("n > 1")
+        next_ = ids.join(least, by).filter(F.col("key") != F.col("lo")).groupBy(*by).agg(F.min("key").alias("next"))
+        both = ids.join(least, by).join(next_, by)
+        return both.select("key", F.lit(reason).alias("reason"), (F.col("n") - 1).alias("n"), F.when(F.col("key") == F.col("lo"), F.col("next")).otherwise(F.col("lo")).alias("other"))
+
+    found = found.unionByName(same("same", normalise_name(F.col("line")), normalise_name(F.col("name")), company_key(F.col("operator"))))
+    return found.unionByName(same("organisation", F.col("organisation"))).unionByName(same("address", F.col("address")))
+
+
 def merge_sites(links: DataFrame) -> DataFrame:
     """key and site (the least key that links lead to) from links (key, id): records with an id in common are one site.
 

@@ -291,19 +291,39 @@ def far_namesakes(spark, sf_dir):
     return around.namesakes(rows, others).select("key", "element", F.round("d", 1).alias("metres"))
 
 
+def _close(spark, sf_dir, odd):
+    """Records or elements of `_sided` eight times closer, with ids of two kinds, access, addresses and contacts by rule."""
+    k = F.col("key")
+    rows = _sided(spark, sf_dir, odd).withColumns({"lat": 43.5 + (F.col("lat") - 43.5) / 8, "lon": 1.3 + (F.col("lon") - 1.3) / 8})
+    soft = F.when(k % 5 < 2, F.array(F.concat(F.lit("S"), F.floor(k / 6).cast("string")))).otherwise(F.array().cast("array<string>"))
+    more = {"soft_ids": soft, "access": F.when(k % 7 < 2, "private").when(k % 7 < 5, "yes"), "gone": k % 14 == 0, "address": F.when(k % 3 != 0, F.concat(F.lit("A"), (k % 60).cast("string"))), "contacts": F.array(F.concat(F.lit("P"), (k % 90).cast("string"))), "company": F.when(k % 2 == 1, k % 70).otherwise(k % 35)}
+    return rows.withColumns(more if odd else more | {"name": F.when(k % 3 != 0, F.col("name"))})
+
+
+def _matched(spark, sf_dir):
+    return _sided(spark, sf_dir, False).filter("key % 4 = 0").select((F.col("key") - 1).alias("key"), F.col("key").alias("element"))
+
+
 def one_site_parts(spark, sf_dir):
-    """Elements next to each other that are one site mapped as several."""
-    return around.site_parts(_sided(spark, sf_dir, False))
+    """The other objects that a matched record's site is mapped as."""
+    return around.site_parts(_matched(spark, sf_dir), _close(spark, sf_dir, True), _close(spark, sf_dir, False)).select("key", "other", F.round("d", 1).alias("metres"), "by_id")
 
 
 def unlisted_kin(spark, sf_dir):
     """Elements of a record's kind close by whose ids the source does not have."""
-    return around.unlisted(_sided(spark, sf_dir, True).filter("key % 8 < 5"), _sided(spark, sf_dir, False))
+    return around.unlisted(_close(spark, sf_dir, True).withColumn("ids", F.when(F.col("key") % 8 < 5, F.col("ids")).otherwise(F.array().cast("array<string>"))), _close(spark, sf_dir, False))
 
 
 def sister_places(spark, sf_dir):
-    """The nearest element with other ids that the same company runs."""
-    return around.siblings(_sided(spark, sf_dir, True), _sided(spark, sf_dir, False)).select("key", "element", F.round("d", 1).alias("metres"))
+    """The nearest element with other ids at the record's address, with its contacts or of its company."""
+    return around.siblings(_close(spark, sf_dir, True), _close(spark, sf_dir, False), _matched(spark, sf_dir)).select("key", "element", F.round("d", 1).alias("metres"), "reason")
+
+
+def twin_reasons(spark, sf_dir):
+    """Why records may be one place with others, how many, and the least of these."""
+    k = F.col("key")
+    rows = placed(spark, sf_dir, True).withColumns({"hard": id_keys(F.col("refs")), "line": F.concat(F.lit("Rue "), (k % 40).cast("string")), "name": F.concat_ws(" ", F.lit("Éole"), (k % 3).cast("string")), "organisation": F.when(k % 3 == 0, (k % 50).cast("string")), "address": F.when(k % 4 == 1, F.concat_ws(";", k % 9, k % 11))})
+    return link.twin_reasons(rows)
 
 
 def matched_elsewhere(spark, sf_dir):
@@ -337,7 +357,7 @@ def queries():
         area_cut_haversine, registry_group_rows, allow_prefix_floor, ref_equi_match, spatial_nearest_match, yield_to_best_fit, knn_labels, twin_pairs, site_components, map_diff_ops,
         address_all_or_nothing, disputed_keys, record_blocks, queue_page, area_tallies, source_yields, staged_batches, runs_hold, lockout_sessions, snapshot_merge, sweep_vanished,
         conflict_refresh, newest_declaration, socket_rollup, name_similarity_dice, page_hosts, page_links, html_text, quote_evidence, stale_flags, change_xml, rules_eval,
-        likely_duplicates, far_namesakes, one_site_parts, unlisted_kin, sister_places, matched_elsewhere, nearest_of_rows, sampled_orders, name_scores,
+        likely_duplicates, far_namesakes, one_site_parts, unlisted_kin, sister_places, twin_reasons, matched_elsewhere, nearest_of_rows, sampled_orders, name_scores,
     )
     return {f.__name__: f for f in names}
 
@@ -345,6 +365,12 @@ def queries():
 _DECIDED = "dec AS (SELECT o_orderkey AS key, CASE WHEN o_orderpriority = '1-URGENT' THEN 'accepted' ELSE 'rejected' END AS kind, o_orderdate AS decided_at FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))"
 _TAGS = "tags AS (SELECT key, unnest(['name', 'operator', 'type', 'size']) AS k, unnest([name, operator, type, size::VARCHAR]) AS v FROM part2)"
 
+#: Records and elements as `_close` places them, and who matched whom.
+_CLOSE = """cp AS (SELECT key, 43.5::DOUBLE + (lat - 43.5) / 8 AS lat, 1.3::DOUBLE + (lon - 1.3) / 8 AS lon, toks, comp, ctoks, ref, size % 5 AS kind, CASE WHEN key % 5 < 2 THEN 'S' || (key // 6) END AS soft, CASE WHEN key % 7 < 2 THEN 'private' WHEN key % 7 < 5 THEN 'yes' END AS access, key % 14 = 0 AS gone,
+  CASE WHEN key % 3 <> 0 THEN 'A' || (key % 60) END AS address, 'P' || (key % 90) AS contact, CASE WHEN key % 2 = 1 THEN key % 70 ELSE key % 35 END AS company FROM part2),
+cr AS (SELECT * FROM cp WHERE key % 2 = 1), ce AS (SELECT * REPLACE (CASE WHEN key % 3 <> 0 THEN toks ELSE [] END AS toks) FROM cp WHERE key % 2 = 0)"""
+_MATCHED = "m AS (SELECT key - 1 AS key, key AS element FROM part2 WHERE key % 4 = 0)"
+
 SQL = {
     "area_cut_haversine": f"WITH {_PLACED}, c AS (SELECT 43.51::DOUBLE AS lat, 1.31::DOUBLE AS lon), d AS (SELECT r.key, {_metres('r', 'c')} AS d FROM r, c) SELECT key, round(d, 1) AS metres FROM d WHERE d <= 700",
     "registry_group_rows": "SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY l_orderkey",
@@ -410,10 +436,22 @@ SELECT page_id, text || CASE WHEN len(ld) > 0 THEN chr(10) || chr(10) || 'Struct
 SELECT key, element, round(d, 1) AS metres FROM n WHERE d <= 150 OR (d <= 300 AND same) QUALIFY row_number() OVER (PARTITION BY key ORDER BY d, element) = 1""",
     "far_namesakes": f"""WITH {_PLACED}, n AS (SELECT p.key, q.key AS element, {_metres('p', 'q')} AS d FROM r p JOIN e q ON abs(p.lat - q.lat) < 0.002 AND p.comp = q.comp AND p.size % 5 = q.size % 5)
 SELECT key, element, round(d, 1) AS metres FROM n WHERE d > 25 AND d <= 150 QUALIFY row_number() OVER (PARTITION BY key ORDER BY d, element) = 1""",
-    "one_site_parts": f"""WITH {_PLACED}, n AS (SELECT p.key, q.key AS other, {_metres('p', 'q')} AS d FROM e p JOIN e q ON abs(p.lat - q.lat) < 0.0005 AND p.key <> q.key AND p.size % 5 = q.size % 5 AND (p.comp = q.comp OR {_dice('p.toks', 'q.toks')} >= 0.5)) SELECT key, other FROM n WHERE d <= 25""",
-    "unlisted_kin": f"""WITH {_PLACED}, k AS (SELECT * FROM r WHERE key % 8 < 5), n AS (SELECT p.key, q.key AS element, {_metres('p', 'q')} AS d FROM k p JOIN e q ON abs(p.lat - q.lat) < 0.0006 AND p.size % 5 = q.size % 5 AND q.ref IS NOT NULL AND q.ref NOT IN (SELECT ref FROM k WHERE ref IS NOT NULL)) SELECT key, element FROM n WHERE d <= 50""",
-    "sister_places": f"""WITH {_PLACED}, n AS (SELECT p.key, q.key AS element, {_metres('p', 'q')} AS d FROM r p JOIN e q ON abs(p.lat - q.lat) < 0.003 AND p.comp = q.comp AND p.ref <> q.ref)
-SELECT key, element, round(d, 1) AS metres FROM n WHERE d <= 300 QUALIFY row_number() OVER (PARTITION BY key ORDER BY d, element) = 1""",
+    "one_site_parts": f"""WITH {_PLACED}, {_CLOSE}, {_MATCHED},
+b AS (SELECT x.key, m.element, el.lat, el.lon, x.toks, x.comp, x.ctoks, x.kind, x.ref, x.soft, x.access, el.toks AS el_toks, el.comp AS el_comp, el.ctoks AS el_ctoks FROM m JOIN cr x ON x.key = m.key JOIN ce el ON el.key = m.element),
+n AS (SELECT p.key, q.key AS other, {_metres('p', 'q')} AS d, false AS by_id FROM b p JOIN ce q ON abs(p.lat - q.lat) < 0.0005 AND q.key <> p.element AND q.kind = p.kind WHERE NOT coalesce(p.ref <> q.ref, false) AND NOT coalesce(p.soft <> q.soft, false)
+  AND (len(q.toks) = 0 OR {_dice('p.toks', 'q.toks')} >= 0.5 OR (len(p.el_toks) > 0 AND {_dice('p.el_toks', 'q.toks')} >= 0.5)) AND ({_WHO} >= 0.5 OR {_WHO.replace('p.comp', 'p.el_comp').replace('p.ctoks', 'p.el_ctoks')} >= 0.5) AND NOT coalesce(p.access = 'yes' AND q.access = 'private', false)),
+h AS (SELECT p.key, q.key AS other, {_metres('p', 'q')} AS d, true AS by_id FROM b p JOIN ce q ON p.soft = q.soft AND q.key <> p.element AND NOT q.gone AND NOT coalesce(p.ref <> q.ref, false) WHERE p.soft NOT IN (SELECT soft FROM cr WHERE soft IS NOT NULL GROUP BY soft HAVING count(*) > 1)),
+a AS (SELECT * FROM n WHERE d <= 25 UNION ALL SELECT * FROM h WHERE (key, other) NOT IN (SELECT (key, other) FROM n WHERE d <= 25))
+SELECT key, other, round(d, 1) AS metres, by_id FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.element = a.other AND m.key <> a.key)""",
+    "unlisted_kin": f"""WITH {_PLACED}, {_CLOSE}, k AS (SELECT * FROM cr WHERE key % 8 < 5), n AS (SELECT p.key, q.key AS element, {_metres('p', 'q')} AS d FROM k p JOIN ce q ON abs(p.lat - q.lat) < 0.0006 AND p.kind = q.kind AND p.ref IS NOT NULL AND q.ref IS NOT NULL AND q.ref NOT IN (SELECT ref FROM k WHERE ref IS NOT NULL)) SELECT key, element FROM n WHERE d <= 50""",
+    "sister_places": f"""WITH {_PLACED}, {_CLOSE}, {_MATCHED}, v AS (SELECT key AS element, -1 AS sayer, address, contact, company FROM ce UNION ALL SELECT m.element, m.key, x.address, x.contact, x.company FROM m JOIN cr x ON x.key = m.key),
+n AS (SELECT p.key, q.key AS element, {_metres('p', 'q')} AS d, v.sayer, CASE WHEN p.address = v.address THEN 'address' WHEN p.contact = v.contact THEN 'contact' WHEN p.company = v.company THEN 'company' END AS reason FROM cr p JOIN ce q ON abs(p.lat - q.lat) < 0.003 AND p.ref <> q.ref JOIN v ON v.element = q.key AND v.sayer <> p.key)
+SELECT key, element, round(d, 1) AS metres, reason FROM n WHERE d <= 300 AND reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY d, element, sayer) = 1""",
+    "twin_reasons": f"""WITH {_PLACED}, t AS (SELECT key, lat, lon, ref, comp, ctoks, key % 40 AS line, key % 3 AS num, CASE WHEN key % 3 = 0 THEN key % 50 END AS org, CASE WHEN key % 4 = 1 THEN (key % 9) || ';' || (key % 11) END AS address FROM r),
+n AS (SELECT p.key, q.key AS other, {_metres('p', 'q')} AS d, p.num = q.num OR {_WHO} >= 0.5 OR true AS alike, p.ref IS NOT NULL AND q.ref IS NOT NULL AS hard FROM t p JOIN t q ON p.key <> q.key AND abs(p.lat - q.lat) < 0.001),
+a AS (SELECT key, other, 'near' AS reason FROM n WHERE d <= 10 OR (d <= 60 AND alike AND NOT hard) UNION ALL SELECT p.key, q.key, 'same' FROM t p JOIN t q ON p.key <> q.key AND p.line = q.line AND p.num = q.num AND p.comp = q.comp
+  UNION ALL SELECT p.key, q.key, 'organisation' FROM t p JOIN t q ON p.key <> q.key AND p.org = q.org UNION ALL SELECT p.key, q.key, 'address' FROM t p JOIN t q ON p.key <> q.key AND p.address = q.address)
+SELECT key, reason, count(*) AS n, min(other) AS other FROM a GROUP BY key, reason""",
     "matched_elsewhere": """WITH m AS (SELECT DISTINCT l_partkey AS element, l_orderkey * 10 + l_linenumber AS key FROM lineitem), x AS (SELECT element, count(*) AS n, list(key ORDER BY key) AS k FROM m GROUP BY 1 HAVING count(*) > 1) SELECT element, n, array_to_string(k[1:3], ',') AS keys FROM x""",
     "nearest_of_rows": """WITH x AS (SELECT l_orderkey AS key, CASE WHEN l_quantity::INT % 2 = 0 THEN l_quantity::DOUBLE ELSE 'inf'::DOUBLE END AS gap FROM lineitem), m AS (SELECT *, min(gap) OVER (PARTITION BY key) AS least FROM x)
 SELECT key, count(*) AS n, min(CASE WHEN isfinite(gap) THEN gap END) AS least FROM m WHERE gap <= least + 10 GROUP BY key""",
