@@ -165,22 +165,27 @@ def disputed_with_groups(ops: DataFrame, others: DataFrame) -> DataFrame:
     return out.filter(F.coalesce((F.col("itself") & (F.col("op") != "del")), F.col("by_group"), F.col("by_pair"), F.lit(False))).select(*ops.columns)
 
 
-def suppressed(ops: DataFrame, facts: DataFrame) -> DataFrame:
+def suppressed(ops: DataFrame, facts: DataFrame, organisations: Sequence[str] = (), shell_key: str | None = None) -> DataFrame:
     """Operations (key, k, op, v, grp) with reason: why one is left out of a record's plan; null where it stays. The first reason counts.
 
-    facts, a row for each key: far (the object lies far from the address), placeless (it is mapped as no place), gone (it is
-    no longer the place), shared (other records match it, or it carries others' ids), grounds (it is the ground around the
-    place), main (the record's main key), mapped_on and within (days between the object's mapping and a date that is
-    believed), disputed (keys that another record on it contradicts).
+    facts, a row for each key: counts ("all" where the object is a part of the site that the source counts, "own" where several records share it, so that
+    only outputs stay; may be missing), far (the object lies far from the address), placeless (it is mapped as no place), gone (it is
+    no longer the place), shared (other records match it, or it carries others' ids), grounds (it is a block within the mapped ground), main (the record's
+    main key), mapped_on and within (days between the object's mapping and a date that is believed), disputed (keys that another record on it contradicts).
+    What names the organisation (keys `organisations`) goes with what reaches it; on a block its own key (`shell_key`) stays as it is mapped.
     """
     both = ops.join(facts, "key", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     dated = F.col("k") == "start_date"
-    reached = (F.coalesce(F.col("grp"), F.lit("")) == "addr") | F.col("k").rlike("^(addr|contact):") | F.col("k").isin("phone", "website", "email", "fax", "mobile")
+    reached = (F.coalesce(F.col("grp"), F.lit("")) == "addr") | F.col("k").rlike("^(addr|contact):") | F.col("k").isin("phone", "website", "email", "fax", "mobile", *organisations)
     late = F.col("mapped_on").isNull() | (F.date_diff(F.col("v").try_cast("date"), F.col("mapped_on")) > F.col("within"))
+    counted = F.lit(False)
+    if "counts" in facts.columns:
+        count = F.col("k").rlike("^(capacity|socket:.+)$")
+        counted = count & ((F.col("counts") == "all") | ((F.col("counts") == "own") & ((F.col("op") == "del") | ~F.endswith("k", F.lit(":output")))))
     reason = (
-        F.when(yes("far") & yes("placeless") & (reached | ~F.startswith("k", F.lit("ref:"))), "far").when(yes("far") & (reached | dated), "far")
-        .when(yes("grounds") & (F.col("k") == "name"), "grounds").when(yes("gone") & ((F.col("k") == F.col("main")) | dated), "no longer the place")
+        F.when(F.coalesce(counted, F.lit(False)), "counts").when(yes("far") & yes("placeless") & (reached | ~F.startswith("k", F.lit("ref:"))), "far").when(yes("far") & (reached | dated), "far")
+        .when(yes("grounds") & ((F.col("k") == "name") | (F.col("k") == shell_key if shell_key else F.lit(False))), "grounds").when(yes("gone") & ((F.col("k") == F.col("main")) | dated), "no longer the place")
         .when(yes("shared") & dated, "shared").when(dated & F.col("within").isNotNull() & F.coalesce(late, F.lit(True)), "mapped before")
         .when(F.coalesce(F.array_contains("disputed", F.col("k")), F.lit(False)), "disputed")
     )

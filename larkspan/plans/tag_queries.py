@@ -229,13 +229,14 @@ def left_out(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("key"))
     day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("key") % 300).cast("int"))
     op = lambda k, v, grp=None: F.struct(F.lit(k).alias("k"), F.lit("add").alias("op"), v.alias("v"), F.lit(grp).cast("string").alias("grp"))
-    ops = p.select("key", F.explode(F.array(op("name", F.lit("a")), op("shop", F.lit("b")), op("phone", F.lit("1")), op("addr:city", F.lit("c"), "addr"), op("start_date", day.cast("string")), op("ref:x", F.lit("d")))).alias("o")).select("key", "o.*")
+    ops = p.select("key", F.explode(F.array(op("name", F.lit("a")), op("shop", F.lit("b")), op("phone", F.lit("1")), op("addr:city", F.lit("c"), "addr"), op("start_date", day.cast("string")), op("ref:x", F.lit("d")), op("ref:org", F.lit("e")), op("building", F.lit("f")), op("capacity", F.lit("2")), op("socket:type2:output", F.lit("22 kW")))).alias("o")).select("key", "o.*")
     n = F.col("key")
     facts = p.select(
         "key", (n % 4 == 0).alias("far"), (n % 8 == 0).alias("placeless"), (n % 5 == 0).alias("gone"), (n % 6 == 0).alias("shared"), (n % 7 == 0).alias("grounds"), F.lit("shop").alias("main"),
         F.when(n % 3 != 0, F.lit("2020-01-01").cast("date")).alias("mapped_on"), F.when(n % 2 == 1, 100).alias("within"), F.when(n % 9 == 0, F.array(F.lit("ref:x"), F.lit("phone"))).alias("disputed"),
+        F.when(n % 10 == 3, "all").when(n % 10 < 3, "own").alias("counts"),
     )
-    return plan.suppressed(ops, facts).select("key", "k", "reason").filter("reason is not null")
+    return plan.suppressed(ops, facts, ["ref:org"], "building").select("key", "k", "reason").filter("reason is not null")
 
 
 def overwritten(spark, sf_dir):
@@ -310,8 +311,8 @@ array_to_string(list_filter([CASE WHEN shop = 'deli' THEN 'shop=deli is deprecat
     "update_plan": f"WITH {_PLAN} SELECT key, k, op, v, was, pair FROM ops",
     "plan_effects": f"""WITH {_PLAN}, e AS (SELECT key, count(*) FILTER (WHERE op = 'add') AS added, count(*) FILTER (WHERE op = 'del') AS gone FROM ops GROUP BY key)
 SELECT o.key, o.n::INT AS before, (o.n + e.added - e.gone)::INT AS after, true AS changes, 0::BIGINT AS left FROM o JOIN e ON o.key = e.key""",
-    "left_out": """WITH p AS (SELECT p_partkey AS key, p_partkey % 300 AS days FROM part), o AS (SELECT key, days, unnest(['name', 'shop', 'phone', 'addr:city', 'start_date', 'ref:x']) AS k FROM p),
-r AS (SELECT key, k, CASE WHEN key % 8 = 0 AND k <> 'ref:x' THEN 'far' WHEN key % 4 = 0 AND k IN ('phone', 'addr:city', 'start_date') THEN 'far' WHEN key % 7 = 0 AND k = 'name' THEN 'grounds' WHEN key % 5 = 0 AND k IN ('shop', 'start_date') THEN 'no longer the place'
+    "left_out": """WITH p AS (SELECT p_partkey AS key, p_partkey % 300 AS days FROM part), o AS (SELECT key, days, unnest(['name', 'shop', 'phone', 'addr:city', 'start_date', 'ref:x', 'ref:org', 'building', 'capacity', 'socket:type2:output']) AS k FROM p),
+r AS (SELECT key, k, CASE WHEN k = 'capacity' AND key % 10 < 4 OR k = 'socket:type2:output' AND key % 10 = 3 THEN 'counts' WHEN key % 8 = 0 AND k <> 'ref:x' THEN 'far' WHEN key % 4 = 0 AND k IN ('phone', 'addr:city', 'start_date', 'ref:org') THEN 'far' WHEN key % 7 = 0 AND k IN ('name', 'building') THEN 'grounds' WHEN key % 5 = 0 AND k IN ('shop', 'start_date') THEN 'no longer the place'
 WHEN key % 6 = 0 AND k = 'start_date' THEN 'shared' WHEN k = 'start_date' AND key % 2 = 1 AND (key % 3 = 0 OR days > 100) THEN 'mapped before' WHEN key % 9 = 0 AND k IN ('ref:x', 'phone') THEN 'disputed' END AS reason FROM o) SELECT key, k, reason FROM r WHERE reason IS NOT NULL""",
     "overwritten": f"""WITH {_PLAN} SELECT ops.key, k, 'OSM has ' || k || '=' || was || ' where the source says ' || v || CASE WHEN o.survey_date IS NOT NULL THEN ', and a mapper checked this object on 05-2024' ELSE '; a mapper may have set it on purpose' END AS warning
 FROM ops LEFT JOIN o ON o.key = ops.key WHERE op = 'mod' AND k IN ('shop', 'contact:email')""",
