@@ -51,10 +51,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
 
 
 def _schedule(spark: SparkSession, targets: DataFrame, words: float, block: int) -> DataFrame:
-    """_nr (source) and _turn, the number in the source of each of its slots.
+    """_nr (source), _turn, the number in the source of each of its slots, and slot, its place in the whole mix.
 
     Slots are golden-ratio points mapped through the cumulative targets. The last block of a pass is short, and a small
-    source may get no point: the turns that a source then lacks to fill its target come after the last slot.
+    source may get no point: the turns that a source then lacks to fill its target come after the last slot, in the order of turns.
     """
     slots = math.ceil(words * (1 + SPARE) / block)
     cumulative = Window.orderBy("_nr")
@@ -66,17 +66,17 @@ def _schedule(spark: SparkSession, targets: DataFrame, words: float, block: int)
     point = F.col("id") * F.lit(GOLDEN)
     points = spark.range(slots).withColumn("_p", point - F.floor(point)).withColumn("_cell", F.floor(F.col("_p") * CELLS).cast("long"))
     placed = points.join(cells, "_cell").filter("_p >= _lo and _p < _hi").select("_nr", F.col("id").alias("slot"))
-    turns = numbered(placed, ["_nr"], ["slot"], F.floor(F.col("slot") / CHUNK), "_turn").select("_nr", "_turn")
+    turns = numbered(placed, ["_nr"], ["slot"], F.floor(F.col("slot") / CHUNK), "_turn").select("_nr", "_turn", "slot")
     passes = F.floor(F.floor("target") / F.col("source_size"))
     rest = F.floor("target") - passes * F.col("source_size")
     due = targets.filter("target >= 1").select("_nr", (passes * F.ceil(F.col("source_size") / block) + F.ceil(rest / block)).alias("_due"))
     due = due.join(placed.groupBy("_nr").agg(F.count(F.lit(1)).alias("_dealt")), "_nr", "left").withColumn("_dealt", F.coalesce("_dealt", F.lit(0)))
-    late = due.filter("_dealt < _due").select("_nr", F.explode(F.sequence("_dealt", F.col("_due") - 1)).alias("_turn"))
+    late = due.filter("_dealt < _due").select("_nr", F.explode(F.sequence("_dealt", F.col("_due") - 1)).alias("_turn")).withColumn("slot", F.lit(slots) + F.col("_turn"))
     return turns.unionByName(late)
 
 
 def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
-    """How many words of each document a mix of the sources takes: doc_id, source, size, source_size, target, taken, text_hash.
+    """How many words of each document a mix of the sources takes, and where: doc_id, source, size, source_size, target, taken, first_slot, text_hash.
 
     Each source's documents, shuffled by MD5 of their id, form a stream of words cut into blocks of `block`. The
     schedule's slots are dealt to sources by golden-ratio points and numbered in each; the n-th slot of a source takes
@@ -96,7 +96,7 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
     words = targets.agg(F.sum("target")).first()[0] or 0.0
     joined = base.join(targets, base["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     if not words:
-        return joined.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.col("_text").alias("text_hash"))
+        return joined.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.col("_text").alias("text_hash"))
     stream = numbered(joined.filter("size > 0"), ["_nr"], ["_o", "doc_id", "size", "_text"], F.substring("_o", 1, 3), "_at", "size")
     blocks = F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("size") - 1) / block))
     pieces = stream.withColumn("_block", F.explode(blocks))
@@ -105,16 +105,16 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
     turns = turns.withColumn("_block", F.col("_turn") % per_pass).withColumn("_pass", F.floor(F.col("_turn") / per_pass))
     ahead = F.col("_pass") * F.col("source_size") + F.col("_block") * block
     length = F.least(F.lit(block), F.col("source_size") - F.col("_block") * block)
-    turns = turns.withColumn("_take", F.least(length, F.floor(F.col("target")) - ahead)).filter("_take > 0").select("_nr", "_block", "_take")
+    turns = turns.withColumn("_take", F.least(length, F.floor(F.col("target")) - ahead)).filter("_take > 0").select("_nr", "_block", "_take", "slot")
     start = F.col("_block") * block
     common = F.least(F.col("_at") + F.col("size"), start + F.coalesce(F.col("_take"), F.lit(0))) - F.greatest(F.col("_at"), start)
     taken = (
         pieces.join(turns, ["_nr", "_block"], "left")
         .groupBy("_nr", "_at", "doc_id", "source", "size", "source_size", "target", "_text")
-        .agg(F.sum(F.greatest(common, F.lit(0))).cast("long").alias("taken"))
+        .agg(F.sum(F.greatest(common, F.lit(0))).cast("long").alias("taken"), F.min(F.when(common > 0, F.col("slot"))).cast("long").alias("first_slot"))
     )
-    empty = joined.filter("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "_text")
-    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "_text").unionByName(empty).withColumnRenamed("_text", "text_hash")
+    empty = joined.filter("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), "_text")
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "_text").unionByName(empty).withColumnRenamed("_text", "text_hash")
 
 
 def mixed_texts(df: DataFrame) -> DataFrame:
@@ -139,8 +139,8 @@ def mixed_texts(df: DataFrame) -> DataFrame:
 
 
 def op8_golden_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' shares in a mix of the sources."""
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """All documents' shares and first places in a mix of the sources."""
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 OP8_SQL = r"""
@@ -167,8 +167,24 @@ u AS (SELECT *, floor(target)::BIGINT AS filled FROM t),
 a AS (
   SELECT d.*, u.source_size, u.target, u.filled,
          coalesce(sum(size) OVER (PARTITION BY u.nr ORDER BY d.o, d.doc_id, d.size, d.tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
+r AS (
+  SELECT nr, source_size, filled, coalesce(sum(target) OVER (ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) / (SELECT sum(target) FROM t) AS lo,
+         sum(target) OVER (ORDER BY nr ROWS UNBOUNDED PRECEDING) / (SELECT sum(target) FROM t) AS hi,
+         filled // source_size * ((source_size + 127) // 128) + (filled % source_size + 127) // 128 AS due
+  FROM u WHERE source_size > 0),
+n AS (SELECT ceil((SELECT sum(target) FROM t) * 1.02::DOUBLE / 128)::BIGINT AS slots),
+p AS (SELECT id, id * 0.6180339887498949::DOUBLE - floor(id * 0.6180339887498949::DOUBLE) AS p FROM (SELECT unnest(range(slots)) AS id FROM n)),
+g AS (SELECT nr, id AS slot, row_number() OVER (PARTITION BY nr ORDER BY id) - 1 AS turn FROM p JOIN r ON p.p >= lo AND p.p < hi),
+e AS (
+  SELECT nr, slot, turn FROM g
+  UNION ALL SELECT nr, slots + turn, turn FROM (SELECT r.nr, unnest(range(coalesce(dealt, 0), due)) AS turn FROM r LEFT JOIN (SELECT nr, count(*) AS dealt FROM g GROUP BY nr) x ON x.nr = r.nr), n),
+k AS (
+  SELECT e.nr, slot, turn % ((source_size + 127) // 128) * 128 AS start,
+         least(128, source_size - turn % ((source_size + 127) // 128) * 128, filled - turn // ((source_size + 127) // 128) * source_size - turn % ((source_size + 127) // 128) * 128) AS take
+  FROM e JOIN r ON e.nr = r.nr),
+f AS (SELECT a.tie, min(slot) AS first_slot FROM a JOIN u ON a.source IS NOT DISTINCT FROM u.source JOIN k ON k.nr = u.nr AND k.take > 0 AND k.start < a.pos + a.size AND k.start + k.take > a.pos GROUP BY a.tie)
 SELECT doc_id, size, source_size, target,
-       (least(size, greatest(0, filled - pos)) + least(size, greatest(0, filled - source_size - pos)))::BIGINT AS taken
-FROM a
+       (least(size, greatest(0, filled - pos)) + least(size, greatest(0, filled - source_size - pos)))::BIGINT AS taken, first_slot::BIGINT AS first_slot
+FROM a LEFT JOIN f ON a.tie = f.tie
 """

@@ -238,3 +238,38 @@ def test_shares_of_counts_beyond_64_bits(spark):
     df = spark.createDataFrame([(10**13, 10**14, 7), (0, 0, 0), (5, 9, 2)], "n long, of long, v long")
     got = [r[0] for r in df.select(source_audit._share(F.col("n"), F.col("of"), F.col("v"))).collect()]
     assert got == [1 + 10**9 * (10**13 + 2) // (10**14 + 14), None, 1 + 10**9 * 7 // 13]
+
+
+# The mix's schedule
+
+
+def test_another_step_orders_the_mix_otherwise(spark, monkeypatch):
+    from larkspan.llm import mixing
+
+    docs = documents(spark, "/root/testdata/sf0.01")
+    rows = {}
+    for step in (mixing.GOLDEN, 0.41421356237309515):
+        monkeypatch.setattr(mixing, "GOLDEN", step)
+        rows[step] = {(r["doc_id"], r["text_hash"]): r for r in mixing.mix(docs).collect()}
+    golden, other = rows.values()
+    assert golden.keys() == other.keys() and all((r["first_slot"] is None) == (r["taken"] == 0) for r in golden.values())
+    moved = sum(golden[k]["first_slot"] != other[k]["first_slot"] for k in golden)
+    assert moved > len(golden) / 2
+    for found in rows.values():
+        words = defaultdict(int)
+        for r in found.values():
+            words[r["source"]] += r["taken"]
+        assert all(abs(words[r["source"]] - r["target"]) <= mixing.BLOCK for r in found.values())
+
+
+def test_every_stretch_of_the_mix_has_the_weights(spark):
+    from larkspan.llm import mixing
+
+    targets = spark.createDataFrame([("a", 400_000, 600_000.0, 0), ("b", 300_000, 240_000.0, 1), ("c", 90_000, 120_000.0, 2)], "source string, source_size long, target double, _nr int")
+    rows = mixing._schedule(spark, targets, 960_000.0, 128).collect()
+    slots = 7650
+    assert len({r["slot"] for r in rows if r["slot"] < slots}) == slots
+    for nr, share in ((0, 600 / 960), (1, 240 / 960), (2, 120 / 960)):
+        mine = sorted(r["slot"] for r in rows if r["_nr"] == nr)
+        assert [r["_turn"] for r in sorted((r for r in rows if r["_nr"] == nr), key=lambda r: r["slot"])] == list(range(len(mine)))
+        assert all(abs(sum(a <= s < a + 500 for s in mine) - 500 * share) <= 4 for a in range(0, slots - 500, 250))
