@@ -147,15 +147,23 @@ def test_pages_as_text(spark):
     assert got[0] == 'A\u00e9\u20ac <b>\nx\ny\n\nStructured data: {"a":1}' and got[1] == "A\u00e9\u20ac"
 
 
-def test_what_a_crawl_may_read():
+def test_what_a_crawl_may_read(spark):
     assert crawl.parse_budget("400 pages / run · 1 request / 2.5 s per host") == (400, 2500) and crawl.parse_budget("") == (100, 4000)
     assert crawl.parse_seeds("https://a.org/x, website=*") == (["https://a.org/x"], [tags.Selector("website")])
     with pytest.raises(ValueError, match="seed rule"):
         crawl.parse_seeds("nothing")
     file = "User-agent: a\nUser-agent: Reader/3\nDisallow: /p # no\nAllow: /p/q$\n\nUser-agent: *\nDisallow: /\nbad line\nUser-agent: reader\nDisallow: /*.pdf"
-    mine, other = crawl.parse_robots(file, "Reader/1.0"), crawl.parse_robots(file, "Else")
-    assert [mine.allows(p) for p in ("/", "/p", "/p/q", "/p/qq", "/x.pdf")] == [True, False, True, False, False]
-    assert not other.allows("/x") and crawl.parse_robots("", "x").allows("/x")
+    files = {"a": file, "b": "", "c": None, "d": "Disallow: /\r\nUser-agent: *\r\nAllow: /x\r\nDisallow: /x\r\nDisallow: /y?z=(1)\r\nDisallow:", "e": "User-agent: reader\nCrawl-delay: 3\nUser-agent: *\nDisallow: /"}
+    robots = spark.createDataFrame(list(files.items()), "host string, robots string")
+    paths = ["/", "/p", "/p/q", "/p/qq", "/x.pdf", "/x", "/y?z=(1)", "/y?z=1", None]
+    pages_ = spark.createDataFrame([(h, p) for h in (*files, "f") for p in paths], "host string, path string")
+
+    def barred(agent):
+        read = {(r["host"], r["path"]) for r in crawl.allowed_pages(pages_, robots, agent).collect()}
+        return {h: [p for p in paths if (h, p) not in read] for h in (*files, "f")}
+
+    assert barred("Reader/1.0") == {"a": ["/p", "/p/qq", "/x.pdf"], "b": [], "c": [], "d": ["/y?z=(1)"], "e": [], "f": []}
+    assert barred("Else") == {"a": paths, "b": [], "c": [], "d": ["/y?z=(1)"], "e": paths, "f": []}
 
 
 def test_streams(spark, tmp_path):
