@@ -275,6 +275,11 @@ def rules_eval(spark, sf_dir):
     return rules.EXAMPLE.evaluate(table(spark, sf_dir, "lineitem"))
 
 
+def record_rules(spark, sf_dir):
+    """Orders as records of several rows through a mapping that reads them all."""
+    return rules.ORDERS.evaluate(table(spark, sf_dir, "lineitem"))
+
+
 def _sided(spark, sf_dir, odd):
     return placed(spark, sf_dir, odd).select("key", "lat", "lon", "name", "operator", (F.col("size") % 5).alias("kind"), id_keys(F.col("refs")).alias("ids"))
 
@@ -356,7 +361,7 @@ def queries():
     names = (
         area_cut_haversine, registry_group_rows, allow_prefix_floor, ref_equi_match, spatial_nearest_match, yield_to_best_fit, knn_labels, twin_pairs, site_components, map_diff_ops,
         address_all_or_nothing, disputed_keys, record_blocks, queue_page, area_tallies, source_yields, staged_batches, runs_hold, lockout_sessions, snapshot_merge, sweep_vanished,
-        conflict_refresh, newest_declaration, socket_rollup, name_similarity_dice, page_hosts, page_links, html_text, quote_evidence, stale_flags, change_xml, rules_eval,
+        conflict_refresh, newest_declaration, socket_rollup, name_similarity_dice, page_hosts, page_links, html_text, quote_evidence, stale_flags, change_xml, rules_eval, record_rules,
         likely_duplicates, far_namesakes, one_site_parts, unlisted_kin, sister_places, twin_reasons, matched_elsewhere, nearest_of_rows, sampled_orders, name_scores,
     )
     return {f.__name__: f for f in names}
@@ -432,6 +437,7 @@ SELECT page_id, text || CASE WHEN len(ld) > 0 THEN chr(10) || chr(10) || 'Struct
     "stale_flags": "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') AS days, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') >= 60 AS stale FROM orders",
     "change_xml": f"""WITH {_PLACED}, {_TAGS} SELECT key AS element, '<modify><node id="' || key || '">' || string_agg('<tag k="' || k || '" v="' || replace(replace(replace(v, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '"/>', '' ORDER BY k, v) || '</node></modify>' AS xml FROM tags WHERE key % 2 = 0 GROUP BY key""",
     "rules_eval": rules.EXAMPLE_SQL,
+    "record_rules": rules.ORDERS_SQL,
     "likely_duplicates": f"""WITH {_PLACED}, n AS (SELECT p.key, q.key AS element, {_metres('p', 'q')} AS d, p.comp = q.comp AS same FROM r p JOIN e q ON abs(p.lat - q.lat) < 0.003 AND p.size % 5 = q.size % 5 AND NOT coalesce(p.ref <> q.ref, false))
 SELECT key, element, round(d, 1) AS metres FROM n WHERE d <= 150 OR (d <= 300 AND same) QUALIFY row_number() OVER (PARTITION BY key ORDER BY d, element) = 1""",
     "far_namesakes": f"""WITH {_PLACED}, n AS (SELECT p.key, q.key AS element, {_metres('p', 'q')} AS d FROM r p JOIN e q ON abs(p.lat - q.lat) < 0.002 AND p.comp = q.comp AND p.size % 5 = q.size % 5)

@@ -10,7 +10,7 @@ from larkspan.functions import geo, tags, text, values
 from larkspan.operators import evidence, link, store
 from larkspan.plans import desk_queries, register_queries, station_queries, tag_queries
 from larkspan.plans import queries as library
-from larkspan.plans.rules import EXAMPLE
+from larkspan.plans.rules import EXAMPLE, ORDERS, Program, Rule
 from larkspan.sources import crawl, pages, registry
 from larkspan.streaming import attempts
 
@@ -58,6 +58,17 @@ def test_reading_a_register(spark, tmp_path):
 
 def test_a_mapping_is_checked(spark):
     assert EXAMPLE.check(spark.createDataFrame([(1,)], "l_orderkey long"))
+    lines = spark.read.parquet(f"{DIR}/lineitem.parquet")
+    assert EXAMPLE.check(lines) == []
+    assert ORDERS.check(lines) == ["value unused is not read"]
+    rules = lambda *r: [Rule(k, v) for k, v in r]
+    wrong = Program(inputs={"a": ["l_orderkey"], "b": ["l_partkey"], "c": ["nowhere"]}, key="a", values={"v": "b || missing"}, skip="a", rules=rules(("x", "nofunction(a)"), ("y", "array(a)"), ("z", "1 +")))
+    said = wrong.check(lines)
+    assert said[0] == "no column for input c" and [s.split(":")[0].split(" is ")[0] for s in said[1:]] == ["value v", "skip", "tag x", "tag y", "tag z"] and said[2] == "skip is string" and said[4] == "tag y is array<string>"
+    unread = Program(inputs={"a": ["l_orderkey"], "b": ["l_partkey"], "c": ["l_suppkey"], "d": ["l_tax"]}, key="a", values={"used": "concat(b, 'x')", "idle": "concat(c, 'c')", "through": "upper(used)"}, rules=rules(("x", "through")))
+    assert unread.check(lines) == ["input c is not read", "input d is not read", "value idle is not read"]
+    assert "value that no rule reads" not in ORDERS.evaluate(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert ORDERS.evaluate(lines.limit(0)).count() == 0
 
 
 QUOTES = ["six words stand right here now", "LUNCH from Noon", "bread", "rea", "ö", "ead ro", "fresh bread roll", "ro", "c++ (a.b) \\E [x]", "open every day\n from seven in the morning", "  ", "never stands anywhere in it", "day from seven in the morning until late at night"]
