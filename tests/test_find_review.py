@@ -139,3 +139,42 @@ def test_words_and_lines_of_addresses(spark):
     assert found_[1] == ("address", 1.0, "Rue Rebatel") == found_[7] == found_[9] and found_[2] == ("street", 3.0, "Rue Rebatel")
     assert found_[3] == (None, None, "Avenue Félix Faure") and found_[4][:2] == ("address", 4.0) and not {5, 6, 8} & found_.keys()
     assert addresses.lookup(asked.filter("false"), base).count() == 0 and addresses.lookup(asked, base.filter("false")).count() == 0
+
+
+def test_a_version_is_named_only_when_it_is_right(spark, tmp_path):
+    import pytest
+
+    from larkspan.operators import commits
+
+    folder = str(tmp_path / "store")
+    candidate, tag = "key long, area long, hash string, seen int, element long, base int", "key long, position int, op string, k string, v string"
+    rows = spark.createDataFrame([(1, 1, "a", 1, 10, 1), (2, 1, "b", 1, None, None), (3, 2, "c", 1, 12, 1)], candidate)
+    tags = spark.createDataFrame([(1, 0, "add", "x", "1"), (1, 1, "add", "y", "2"), (3, 0, "add", "x", "3")], tag)
+    decided = spark.createDataFrame([(3,)], "key long")
+    assert commits.present(spark, folder) is None
+    assert commits.commit(rows, tags, decided, folder) == 0
+    new = spark.createDataFrame([(1, 1, "a2", 2, 10, 2), (3, 2, "other", 2, 12, 2), (2, 2, "b", 2, None, None), (2, 3, "b", 2, None, None), (9, 3, None, 2, None, None)], candidate)
+    new_tags = spark.createDataFrame([(1, 1, 0, "mod", "x", "9"), (3, 2, 0, "mod", "x", "9"), (2, 2, 0, "add", "z", "0"), (2, 3, 0, "add", "z", "1")], "key long, area long, position int, op string, k string, v string")
+    after = commits.save_run(*commits.read(spark, folder), new, new_tags, decided, spark.createDataFrame([(2, 2)], "key long, area long"))
+    assert sorted((r["key"], r["area"], r["state"]) for r in after[0].collect()) == [(1, 1, "changed"), (2, 2, "moved"), (3, 2, "kept"), (9, 3, "added")]
+    assert sorted(tuple(r) for r in after[1].collect()) == [(1, 0, "mod", "x", "9"), (2, 0, "add", "z", "0"), (3, 0, "add", "x", "3")]
+    assert commits.commit(*after, decided, folder) == 1 and commits.present(spark, folder) == 1
+    for bad_rows, bad_tags, what in ((after[0].filter("key <> 1"), after[1], "tags without"), (after[0].unionByName(after[0]), after[1], "a key twice"), (after[0], after[1].unionByName(after[1].filter("key = 1")), "a position twice"), (after[0], after[1].filter("key <> 3"), "a decided candidate"), (after[0].withColumn("hash", F.lit("z")), after[1], "a decided candidate")):
+        with pytest.raises(ValueError, match=what):
+            commits.commit(bad_rows, bad_tags, decided, folder)
+        assert commits.present(spark, folder) == 1 and commits.read(spark, folder)[0].count() == 4
+    assert commits.commit(*commits.read(spark, folder), decided, folder) == 2
+    held = commits.save_run(*commits.read(spark, folder), new.filter("key = 2").withColumn("area", F.lit(7).cast("long")), new_tags, decided, spark.createDataFrame([(2, 2)], "key long, area long"))
+    assert {r["key"]: r["state"] for r in held[0].collect()} == {1: "old", 2: "held", 3: "old", 9: "old"}
+    none = commits.save_run(*(df.limit(0) for df in commits.read(spark, folder)), new.limit(0), new_tags.limit(0), decided, new.select("key", "area").limit(0))
+    assert none[0].count() == 0 and none[1].count() == 0
+
+
+def test_uploads_stop_at_what_has_changed(spark):
+    from larkspan.operators import commits
+
+    staged = spark.createDataFrame([(1, 10, 2, "a", "1"), (2, 10, 2, "b", None), (3, 11, 1, "a", "1"), (4, 12, 1, "a", "1"), (5, 13, 3, "a", "same"), (6, 14, 3, "a", "x"), (7, 14, 3, "a", "y"), (8, 15, 1, "a", None)], "key long, element long, base int, k string, v string")
+    elements = spark.createDataFrame([(10, 2, {"b": "old", "c": "c"}), (11, 2, {}), (13, 3, {"a": "same"}), (14, 3, {}), (15, 1, {"a": "x"})], "element long, version int, tags map<string,string>")
+    plan, blocked = commits.upload_plan(staged, elements, 1)
+    assert [(r["element"], r["after"], r["keys"], r["batch"]) for r in plan.orderBy("batch").collect()] == [(10, {"a": "1", "c": "c"}, [1, 2], 0), (15, {}, [8], 1)]
+    assert sorted((r["key"], r["reason"]) for r in blocked.collect()) == [(3, "changed since"), (4, "gone"), (6, "disputed"), (7, "disputed")]
