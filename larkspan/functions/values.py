@@ -217,12 +217,16 @@ def power_class(value: Column) -> Column:
 
 
 def is_public_address(ip: Column) -> Column:
-    """May a crawl be led to this IPv4 address? Not to private, loopback, link-local, shared or multicast ones; null of what is none."""
-    parts = F.transform(F.split(ip, r"\."), lambda p: p.try_cast("int"))
+    """May a crawl be led to this address? Not to private, loopback, link-local, shared or multicast ones, of IPv6 too, nor to such an IPv4 address within one; null of what is none."""
+    low = F.lower(F.trim(ip))
+    four = F.regexp_extract(low, r"^(?:::ffff:)?([0-9]{1,3}(?:\.[0-9]{1,3}){3})$", 1)
+    parts = F.transform(F.split(four, r"\."), lambda p: p.try_cast("int"))
     a, b = F.get(parts, 0), F.get(parts, 1)
     valid = (F.size(parts) == 4) & F.forall(parts, lambda p: F.coalesce(p.between(0, 255), F.lit(False)))
     inner = a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
-    return F.when(valid, ~inner)
+    six = low.rlike("^[0-9a-f:]*:[0-9a-f:]*$") & (F.size(F.split(low, ":")) <= 8 + F.startswith(low, F.lit("::")).cast("int") + F.endswith(low, F.lit("::")).cast("int"))
+    own = low.rlike("^(0*:)*:?0*[01]?$") | low.rlike("^f[cd][0-9a-f]{2}:") | low.rlike("^fe[89ab][0-9a-f]:") | low.rlike("^ff[0-9a-f]{2}:")
+    return F.when(valid, ~inner).when(six, ~own)
 
 
 def hashtags(text: Column) -> Column:

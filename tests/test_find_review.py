@@ -178,3 +178,32 @@ def test_uploads_stop_at_what_has_changed(spark):
     plan, blocked = commits.upload_plan(staged, elements, 1)
     assert [(r["element"], r["after"], r["keys"], r["batch"]) for r in plan.orderBy("batch").collect()] == [(10, {"a": "1", "c": "c"}, [1, 2], 0), (15, {}, [8], 1)]
     assert sorted((r["key"], r["reason"]) for r in blocked.collect()) == [(3, "changed since"), (4, "gone"), (6, "disputed"), (7, "disputed")]
+
+
+def test_answers_of_an_element_query(spark):
+    import pytest
+
+    from larkspan.sources import elements
+
+    bodies = ['{"elements":[{"type":"node","id":1,"lat":0,"lon":2},{"type":"way","id":2,"bounds":{"minlat":1,"minlon":1,"maxlat":3,"maxlon":5},"tags":{"shop":"a","name":"x"},"version":4},{"type":"way","id":3},{"type":"area","id":4,"lat":1,"lon":1}]}', '{"elements":[]}', "{}", None]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    got = elements.parse_elements(df)
+    assert sorted((r["id"], r["version"], r["lat"], r["lon"], r["tags"]) for r in got.collect()) == [(1, 1, 0.0, 2.0, {}), (2, 4, 2.0, 3.0, {"shop": "a", "name": "x"})]
+    assert [tuple(r) for r in elements.count_places(got, ["shop"], F.lit("here")).collect()] == [("here", 2, 1)]
+    for bad in ('{"remark":"runtime error: timed out","elements":[]}', "<html>"):
+        with pytest.raises(Exception, match="element query failed"):
+            elements.parse_elements(spark.createDataFrame([(bad,)], "body string")).collect()
+    many = spark.range(1000).select(F.col("id"), F.create_map(F.lit("shop"), F.lit("same")).alias("tags"))
+    assert [(r["n"], r["ids"]) for r in elements.value_audit(many, ["shop"]).collect()] == [(1000, [0, 1, 2])]
+
+
+def test_what_an_operator_is_reached_by(spark):
+    from larkspan.functions import registers, values
+
+    said = [("tel:05.61.23.45.67", "+33 5 61 23 45 67"), ("374090105", "+33 3 74 09 01 05"), ("33975891501", "+33 9 75 89 15 01"), ("06 12 34 56 78", None), ("00 00 00 00 00", None), ("+33 1 23 45 67 89", None), ("01 00 00 00 00", None), ("01 00 00 00 01", "+33 1 00 00 00 01"), ("x", None), (None, None)]
+    assert list(one(spark, *[registers.operator_phone(F.lit(a).cast("string")) for a, _ in said])) == [b for _, b in said]
+    tags = F.create_map(*[F.lit(x) for x in ("contact:housenumber", "12", "addr:street", "Rue É", "phone", "+33 5 61 23 45 67", "contact:email", "A@b.org", "siret", "123 456")])
+    got = one(spark, registers.address_key(tags), registers.contact_keys(tags), registers.company_number(tags), registers.address_key(F.create_map(F.lit("addr:street"), F.lit("x"))))
+    assert list(got) == ["12 rue e", ["561234567", "a@b.org"], "123456", None]
+    hosts = [("8.8.8.8", True), ("10.0.0.1", False), ("::1", False), ("::", False), ("fd00::1", False), ("fe80::1", False), ("ff02::1", False), ("2001:4860:4860::8888", True), ("::ffff:10.0.0.1", False), ("::ffff:8.8.8.8", True), ("256.1.1.1", None), ("host", None), (None, None)]
+    assert list(one(spark, *[values.is_public_address(F.lit(a).cast("string")) for a, _ in hosts])) == [b for _, b in hosts]
