@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hours import bound
+
 #: White space, the kinds beyond ASCII too; words are what stands between.
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
 #: Characters of context on each side, words of a passage that it is sought by, and letters by which part of a word is.
@@ -17,16 +21,26 @@ def collapse(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(collapse(text)), " ")
+    return F.array_remove(F.split(F.lower(text), SPACE), "")
 
 
 def _literal(text: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
+def _run(words: Column, at: Column, n: int) -> Column:
+    """A hash of n words in a row, from those of the words."""
+    return F.xxhash64(*[F.get(words, at + j) for j in range(n)])
+
+
+def _hashed(use: Callable[[Column], Column]) -> Column:
+    """`use` of the words' hashes: each word is hashed once, however many rows of words it is in."""
+    return bound(F.transform("w", lambda x: F.xxhash64(x)), use)
+
+
 def _runs(n: int) -> Column:
-    """A hash of every n words in a row."""
-    return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(n))))
+    """The distinct hashes of n words in a row."""
+    return F.array_distinct(_hashed(lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: _run(h, i, n))))
 
 
 def _letters(n: int) -> Column:
@@ -37,7 +51,7 @@ def _letters(n: int) -> Column:
 
 def _in_words(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """doc_id and item_id where a word of the document holds the passage's longest word (doc_id, w; item_id, w)."""
-    part = F.array_sort("w", lambda a, b: F.length(b) - F.length(a))[0]
+    part = F.get(F.array_sort("w", lambda a, b: F.length(b) - F.length(a)), 0)
     quotes = quotes.select("item_id", part.alias("part")).withColumn("key", F.substring("part", 1, KEY_LETTERS))
     words = docs.select("doc_id", F.explode(F.array_distinct("w")).alias("word"))
     keyed = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*[_letters(n + 1) for n in range(KEY_LETTERS)]))).alias("key"))
@@ -65,8 +79,8 @@ def quote_hits(docs: DataFrame, quotes: DataFrame, context: int = CONTEXT) -> Da
         if not k:
             pairs = pairs.unionByName(_in_words(split, some))
             continue
-        blocks = split.filter(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(_runs(k))).alias("block"))
-        pairs = pairs.unionByName(blocks.join(some.select("item_id", F.xxhash64(F.slice("w", F.lit(2), F.lit(k))).alias("block")), "block").select("doc_id", "item_id"))
+        blocks = split.filter(F.size("w") >= k).select("doc_id", F.explode(_runs(k)).alias("block"))
+        pairs = pairs.unionByName(blocks.join(some.select("item_id", _hashed(lambda h: _run(h, F.lit(1), k)).alias("block")), "block").select("doc_id", "item_id"))
     both = pairs.distinct().join(docs.select("doc_id", "text"), "doc_id").join(quotes.select("item_id", "quote"), "item_id")
     text, quote = collapse(F.col("text")), collapse(F.col("quote"))
     spaced = F.array_join(F.transform(F.split(quote, " "), _literal), SPACE)
