@@ -19,11 +19,11 @@ from .common import documents, slices
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bytes of text whose new words are put into one trie.
-STEP = 1 << 21
+STEP = 1 << 20
 #: Distinct words, and their bytes, that a worker keeps encoded; beyond, it starts anew.
-KEPT_WORDS, KEPT_BYTES = 250_000, 40_000_000
+KEPT_WORDS, KEPT_BYTES = 200_000, 32_000_000
 #: Distinct pairs of tokens whose fit a worker remembers.
-KEPT_PAIRS = 250_000
+KEPT_PAIRS = 120_000
 
 
 def byte_letters() -> dict[str, int]:
