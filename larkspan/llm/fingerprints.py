@@ -117,7 +117,8 @@ def fingerprint_edits(df: DataFrame, parts: int | None = None) -> DataFrame:
     An edited text has its last floor(n/2) code points replaced by the first as many, or all, of the next document's.
     The texts are dealt once by ranges of doc_id and read in order; only a range's first and last text are looked up
     across ranges, so no task and not the driver sees more than its range. Returns doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint and next_fingerprint.
+    fingerprint, edited_fingerprint and next_fingerprint. Null texts are empty; repeated ids and rows follow each other in the order of
+    their texts, a single row is its own next, an empty table gives none, and other columns may have any names. A task holds two texts at a time.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -162,7 +162,8 @@ def media_column(df: DataFrame) -> DataFrame:
     """Each text's UTF-8 bytes, padded with 0 to a positive multiple of 64, as a PNG in the binary column `media`.
 
     The payload's figures and the cosine hash come from the samples read back out of the PNG. A null text counts as
-    empty: 64 bytes of 0. Needs doc_id and text; other columns are not carried. Row by row, without a shuffle.
+    empty: 64 bytes of 0. Needs doc_id, which may be null, and text; other columns, of any names, are not carried. Row by row, without a
+    shuffle: repeated rows give equal rows, an empty table gives none, and a task holds one text and its samples, however long it is.
     """
     return df.select("doc_id", "text").mapInArrow(_store, SCHEMA)
 

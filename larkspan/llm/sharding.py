@@ -37,7 +37,8 @@ def shard_records(df: DataFrame, key: str, weights: Sequence[float], grown_weigh
 
     Adds size (UTF-8 bytes plus 1; null text: 1), text_crc32 (null text: 0), shard, grown_shard (where the key goes under
     `grown_weights`; null without) and slot. The text itself is not shuffled. Repeated rows are kept, each with a slot of its
-    own; an empty table gives an empty result. Other columns of `df` are not carried.
+    own; a null key is a key of its own; an empty table gives an empty result. Other columns of `df`, of any names, are not
+    carried, and a text of any length is one size and one checksum.
     """
     source = df.select(
         F.col(key).alias("doc_id"),

@@ -296,7 +296,8 @@ def remove_repeats(df: DataFrame) -> DataFrame:
 
     A word goes if one of the 35-word windows over it has a word sequence that also starts anywhere else, in the same text or another;
     all occurrences go. Windows are judged on the input. Null and empty texts have no words; repeated rows are copies of
-    each other like any others; an empty table gives none. Texts are compared by 64-bit hashes of seeds and segments.
+    each other like any others; an empty table gives none; null ids stay, and other columns, of any names, are not carried. Texts are
+    compared by 64-bit hashes of seeds and segments, so a very long text is many segments, dealt like others.
     """
     at = repeated_windows(df)
     rows = df.select("doc_id", "text", row_key())
