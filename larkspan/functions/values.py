@@ -243,7 +243,18 @@ def clip(text: Column, most: int = 255) -> Column:
 def metres_label(metres: Column) -> Column:
     """A distance to show: metres below a kilometre, else kilometres with one decimal."""
     near = F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" m"))
-    return F.when(metres < 1000, near).otherwise(F.concat(F.format_string("%.1f", metres / 1000), F.lit(" km")))
+    return F.when(metres < 1000, near).otherwise(F.concat(one_decimal(metres / 1000), F.lit(" km")))
+
+
+def one_decimal(value: Column) -> Column:
+    """A number that is not negative with one decimal, rounded by its exact value as a double.
+
+    format_string rounds the shortest decimals that stand for it, so 3.15, which is a little less than that, would become 3.2. Cut into two halves of its digits,
+    twenty times the number is compared with the odd number between two tenths without any rounding.
+    """
+    tenths, high = F.floor(value * 10), value.cast("float").cast("double")
+    tenths = tenths + F.when(high * 20 - (tenths * 2 + 1).cast("double") >= (high - value) * 20, 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def element_ref(kind: Column, number: Column) -> Column:

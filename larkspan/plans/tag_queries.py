@@ -280,7 +280,7 @@ ops AS (
 SQL = {
     "number_forms": rf"""WITH {_CUSTOMERS}, k AS (SELECT *, regexp_replace(regexp_replace(number, '\s+', '', 'g'), '^0+([0-9])', '\1') AS compact FROM w),
 x AS (SELECT *, CASE id % 4 WHEN 0 THEN id || ' bis' WHEN 1 THEN id || 'A' WHEN 2 THEN id || 'B' ELSE id || ' ter' END AS spaced, CASE id % 4 WHEN 0 THEN id / 1000.0 WHEN 1 THEN id % 90 + 0.5 WHEN 2 THEN id % 90 END AS kw FROM k)
-SELECT id, compact, lower(compact) AS folded, spaced, ((kw > 8)::INT + (kw > 22)::INT + (kw > 60)::INT)::INT AS power_class, CASE WHEN id * 0.7::DOUBLE < 1000 THEN floor(id * 0.7::DOUBLE + 0.5)::BIGINT || ' m' ELSE printf('%.1f', id * 0.7::DOUBLE / 1000) || ' km' END AS away, 'node/' || id AS ref,
+SELECT id, compact, lower(compact) AS folded, spaced, ((kw > 8)::INT + (kw > 22)::INT + (kw > 60)::INT)::INT AS power_class, CASE WHEN id * 0.7::DOUBLE < 1000 THEN floor(id * 0.7::DOUBLE + 0.5)::BIGINT || ' m' ELSE round(printf('%.25f', id * 0.7::DOUBLE / 1000)::DECIMAL(38, 25), 1)::DECIMAL(18, 1)::VARCHAR || ' km' END AS away, 'node/' || id AS ref,
 CASE WHEN id % 200 > 127 THEN repeat('ab', 127) || '…' ELSE repeat('ab', (id % 200)::INT) END AS clipped, '#a;#b' || id || ';#c' AS hashtags FROM x""",
     "phone_forms": rf"""WITH {_CUSTOMERS}, d AS (SELECT *, {_DIGITS} AS digits, CASE id % 6 WHEN 0 THEN '05' ELSE '06' END || n[1:2] AS head FROM w),
 o AS (SELECT *, CASE WHEN head IN ('0639', '0692', '0693') THEN '262' WHEN head IN ('0590', '0690', '0691') THEN '590' WHEN head IN ('0594', '0694') THEN '594' WHEN head IN ('0596', '0696', '0697') THEN '596' END AS code, ' ' || n[3:4] || ' ' || n[5:6] || ' ' || n[7:8] AS rest FROM d)
