@@ -294,7 +294,7 @@ SELECT "case", k, sum(y::INT)::BIGINT AS agree, count(*) AS n, sum(CASE WHEN y T
     "page_sites": r"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://([^/]+)(.*)$', ['scheme', 'host', 'path']) AS x FROM pages)
 SELECT page_id, true AS root, true AS page, rtrim(regexp_replace(x.path, '[?#].*$', ''), '/') = '' AS one_page, true AS other_ending, x.scheme || '://' || x.host AS website FROM u""",
     "positions": """WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 97 = 0 THEN 0 ELSE c_custkey * 37 % 20000 / 100.0::DOUBLE - 100 END AS lat, CASE WHEN c_custkey % 97 = 0 THEN 0 ELSE c_custkey * 91 % 4000 / 10.0::DOUBLE - 200 END AS lon FROM customer),
-f AS (SELECT id, printf('%.2f', lat) AS ta, printf('%.1f', lon) AS to_, abs(round(lat, 2)) <= 90 AND abs(round(lon, 1)) <= 180 AND id % 97 <> 0 AS ok FROM c),
+f AS (SELECT id, printf('%.2f', lat) AS ta, printf('%.1f', lon) AS to_, abs(round(lat, 2)) <= 90 AND abs(round(lon, 1)) <= 180 AND id % 97 <> 0 AND (round(lat, 2) <> 0 OR round(lon, 1) <> 0) AS ok FROM c),
 g AS (SELECT id, CASE WHEN ok THEN ta::DOUBLE END AS lat, CASE WHEN ok THEN to_::DOUBLE END AS lon, CASE WHEN id % 97 = 0 THEN 0 ELSE least(len(rtrim(split_part(ta, '.', 2), '0')), len(rtrim(split_part(to_, '.', 2), '0'))) END AS places FROM f),
 h AS (SELECT *, least(greatest(lat, 41), 51.5) AS ya, least(greatest(lon, -5.5), 10) AS xa FROM g)
 SELECT id, lat, lon, lat IS NOT NULL AS from_text, lat IS NOT NULL AS from_json, places::INT AS places, (lat BETWEEN 41 AND 51.5 AND lon BETWEEN -5.5 AND 10) OR (lat BETWEEN 14.2 AND 18.2 AND lon BETWEEN -63.2 AND -60.7) OR (lat BETWEEN 1.8 AND 6 AND lon BETWEEN -55 AND -51.5) OR (lat BETWEEN -21.5 AND -20.8 AND lon BETWEEN 55 AND 56)

@@ -42,3 +42,8 @@ def test_a_distance_is_rounded_by_its_exact_value(spark, tmp_path):
     assert [r[0] for r in rows.select(values.metres_label(F.col("d"))).collect()] == ["3.1 km", "3.1 km", "5.3 km", "1.0 km", "2.0 km", "9.9 km"]
     got, want = both(spark, tmp_path, "number_forms", {"customer": [(k, "", 0, 0.0, "") for k in (4500, 6500, 7500, 13500, 17500)]})
     assert got == want
+
+
+def test_a_position_of_two_zeros_is_none(spark, tmp_path):
+    got, want = both(spark, tmp_path, "positions", {"customer": [(k, "", 0, 0.0, "") for k in (97, 9999, 10000, 10001, 20000)]})
+    assert got == want
