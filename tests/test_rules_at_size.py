@@ -47,3 +47,9 @@ def test_a_distance_is_rounded_by_its_exact_value(spark, tmp_path):
 def test_a_position_of_two_zeros_is_none(spark, tmp_path):
     got, want = both(spark, tmp_path, "positions", {"customer": [(k, "", 0, 0.0, "") for k in (97, 9999, 10000, 10001, 20000)]})
     assert got == want
+
+
+def test_quotes_in_other_case_and_white_space(spark, tmp_path):
+    docs = [(1, "Before it A Quick  brown FOX jumps\nover all"), (2, "it a quick brown fox jumps over all"), (3, "a quick brown"), (4, None), (5, "x  a quick\nbrown fox jumps")]
+    got, want = both(spark, tmp_path, "quote_evidence", {"documents": docs, "benchmark": [(7, "a quick brown fox jumps"), (8, "a (quick) [brown"), (9, "  ")]})
+    assert got == want and len(got) == 3
