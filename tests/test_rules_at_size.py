@@ -53,3 +53,9 @@ def test_quotes_in_other_case_and_white_space(spark, tmp_path):
     docs = [(1, "Before it A Quick  brown FOX jumps\nover all"), (2, "it a quick brown fox jumps over all"), (3, "a quick brown"), (4, None), (5, "x  a quick\nbrown fox jumps")]
     got, want = both(spark, tmp_path, "quote_evidence", {"documents": docs, "benchmark": [(7, "a quick brown fox jumps"), (8, "a (quick) [brown"), (9, "  ")]})
     assert got == want and len(got) == 3
+
+
+def test_of_two_declarations_of_one_day_the_first_names_the_connectors(spark, tmp_path):
+    silent = line(0, 2, 8, 1, 4, day=(1999, 1, 1))
+    got, want = both(spark, tmp_path, "station_sockets", {"lineitem": [silent, line(0, 2, 8, 2, 3, day=(1995, 1, 1)), line(0, 2, 8, 3, 3, day=(1995, 1, 1))]})
+    assert got == want and "socket:type2=1" in got[0]
