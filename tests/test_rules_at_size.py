@@ -59,3 +59,8 @@ def test_of_two_declarations_of_one_day_the_first_names_the_connectors(spark, tm
     silent = line(0, 2, 8, 1, 4, day=(1999, 1, 1))
     got, want = both(spark, tmp_path, "station_sockets", {"lineitem": [silent, line(0, 2, 8, 2, 3, day=(1995, 1, 1)), line(0, 2, 8, 3, 3, day=(1995, 1, 1))]})
     assert got == want and "socket:type2=1" in got[0]
+
+
+def test_points_of_far_sites_have_numbers_of_their_own(spark, tmp_path):
+    got, want = both(spark, tmp_path, "declaration_history", {"lineitem": [line(o, p, s, 1 + p % 3, 3) for o in (400_000, 4_000_000, 4_000_003) for p, s in ((2, 6), (1, 7), (3, 12), (4, 9))]})
+    assert got == want
