@@ -64,3 +64,8 @@ def test_of_two_declarations_of_one_day_the_first_names_the_connectors(spark, tm
 def test_points_of_far_sites_have_numbers_of_their_own(spark, tmp_path):
     got, want = both(spark, tmp_path, "declaration_history", {"lineitem": [line(o, p, s, 1 + p % 3, 3) for o in (400_000, 4_000_000, 4_000_003) for p, s in ((2, 6), (1, 7), (3, 12), (4, 9))]})
     assert got == want
+
+
+def test_unlisted_kin_asks_every_record_with_an_id(spark):
+    got = {r["key"] for r in __spark_entry__.queries()["unlisted_kin"](spark, "/root/testdata/sf0.01").collect()}
+    assert {k % 8 for k in got} == {1, 3, 5, 7}
