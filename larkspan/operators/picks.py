@@ -26,21 +26,22 @@ def decide(picks: DataFrame, proposals: DataFrame, unchanged: DataFrame) -> tupl
     a key should be: whether that adds or changes is read off the object. Nothing is written twice; a move is written whole or not at all,
     and its old key is only removed; of a group all or nothing. Records with a row in picks that is null in kind have picked nothing.
 
-    Every check is a column of the picks or an equi-join by record and key; a refusal is the least by stage and order.
+    Every check is a column of the picks or an equi-join by record and key; a refusal is the least by stage and order. All sides grow with the records and are
+    often made by explode, whose size Spark takes to be that of its input, so the joins are merges: a broadcast would bring them whole to the driver.
     """
     by_place = proposals.select("key", F.col("position").cast("string").alias("arg"), F.col("id").alias("p_id"), F.col("k").alias("p_k"), F.col("op").alias("p_op"), F.col("v").alias("p_v"), F.col("was").alias("p_was"), "invalid", "evidenced")
     stage = F.when(F.col("kind") == "tag", 0).when(F.col("kind") == "set", 1).when(F.col("kind") == "del", 2)
     rows = picks.withColumn("stage", stage).filter("stage is not null")
     once = F.row_number().over(Window.partitionBy("key", "stage", F.when(F.col("stage") == 0, F.trim("arg")).otherwise(F.col("seq").cast("string"))).orderBy("seq"))
     rows = rows.withColumn("nth", once).filter("nth = 1").drop("nth").withColumn("arg", F.when(F.col("stage") == 0, F.trim("arg")).otherwise(F.col("arg")))
-    rows = rows.join(by_place, ["key", "arg"], "left")
+    rows = rows.join(by_place.hint("merge"), ["key", "arg"], "left")
     split = F.instr("arg", "=")
     rows = rows.withColumns({
         "k": F.when(F.col("stage") == 0, F.col("p_k")).when(F.col("stage") == 1, F.trim(F.substring("arg", F.lit(1), F.greatest(split - 1, F.lit(0))))).otherwise(F.col("arg")),
         "v": F.when(F.col("stage") == 0, F.col("p_v")).when(F.col("stage") == 1, F.trim(F.substring("arg", split + 1, F.length("arg")))), "split": split,
     })
     first = proposals.groupBy("key", "k").agg(F.min_by("id", "position").alias("first_id"))
-    rows = rows.join(_current(proposals, unchanged), ["key", "k"], "left").join(first, ["key", "k"], "left")
+    rows = rows.join(_current(proposals, unchanged).hint("merge"), ["key", "k"], "left").join(first.hint("merge"), ["key", "k"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     own = (
         F.when(F.col("stage") == 0, F.when(F.col("p_k").isNull(), F.lit("no proposal stands there")).when(yes("invalid"), F.concat("k", F.lit(" is not valid"))).when(~yes("evidenced"), F.concat("k", F.lit(" has no evidence"))))
@@ -56,11 +57,11 @@ def decide(picks: DataFrame, proposals: DataFrame, unchanged: DataFrame) -> tupl
 
     by_row = ops.filter("reason is not null").select("key", F.struct(F.col("stage").alias("a"), F.col("seq").cast("long").alias("b"), F.lit(0).alias("c")).alias("at"), "reason")
     everyone = picks.select("key").distinct()
-    nothing = everyone.join(ops.select("key").distinct(), "key", "left_anti").select("key", F.struct(F.lit(3).alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("c")).alias("at"), F.lit("nothing is picked").alias("reason"))
-    parts = _half_written(proposals.join(everyone, "key", "left_semi"), ops.filter("reason is null").select("key", "k", "op"))
+    nothing = everyone.join(ops.select("key").distinct().hint("merge"), "key", "left_anti").select("key", F.struct(F.lit(3).alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("c")).alias("at"), F.lit("nothing is picked").alias("reason"))
+    parts = _half_written(proposals.join(everyone.hint("merge"), "key", "left_semi"), ops.filter("reason is null").select("key", "k", "op"))
     refused = by_row.unionByName(nothing).unionByName(parts).groupBy("key").agg(F.min_by("reason", "at").alias("reason"))
     nth = F.row_number().over(Window.partitionBy("key").orderBy("stage", "seq"))
-    return ops.join(refused, "key", "left_anti").select("key", nth.alias("nth"), "tag_id", "op", "k", "v", "was"), refused
+    return ops.join(refused.hint("merge"), "key", "left_anti").select("key", nth.alias("nth"), "tag_id", "op", "k", "v", "was"), refused
 
 
 def _half_written(proposals: DataFrame, written: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def _half_written(proposals: DataFrame, written: DataFrame) -> DataFrame:
     wrote = written.select("key", F.col("k").alias("wk"), F.col("op").alias("w_op")).groupBy("key", "wk").agg(F.first("w_op").alias("w_op"))
 
     def held(df: DataFrame, column: str, out: str) -> DataFrame:
-        return df.join(wrote.select("key", F.col("wk").alias(column), F.col("w_op").alias(out)), ["key", column], "left")
+        return df.join(wrote.select("key", F.col("wk").alias(column), F.col("w_op").alias(out)).hint("merge"), ["key", column], "left")
 
     at = lambda stage, c: F.struct(F.lit(stage).alias("a"), F.col("position").cast("long").alias("b"), F.lit(c).alias("c")).alias("at")
     moves = held(held(proposals.filter("pair is not null"), "k", "k_op"), "pair", "pair_op")
