@@ -69,17 +69,17 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_chars", F.col("bucket").alias("fingerprint"))
 
 
-EDITS = "kind int, part int, doc_id long, n_chars long, edited_sha256 string, bucket string, sha binary, edited_bucket string, edited_sha binary, next_bucket string, next_sha binary, text string"
+EDITS = "kind int, part int, doc_id long, n_chars long, edited_sha256 binary, bucket string, sha binary, edited_bucket string, edited_sha binary, next_bucket string, next_sha binary, text string"
 
 
 def _edited(doc_id, text: str, following: str, own: tuple, after: tuple) -> tuple:
     half = len(text) // 2
     edited = text[: len(text) - half] + following[:half]
-    return (0, None, doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), *own, *(own if edited == text else _digest(edited)), *after, None)
+    return (0, None, doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest(), *own, *(own if edited == text else _digest(edited)), *after, None)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.binary(), pa.string(), pa.binary(), pa.string()]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary(), pa.string(), pa.binary(), pa.string(), pa.binary(), pa.string()]
     names = [c.split()[0] for c in EDITS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -136,7 +136,7 @@ def fingerprint_edits(df: DataFrame, parts: int | None = None) -> DataFrame:
     pairs = [("bucket", "sha"), ("edited_bucket", "edited_sha"), ("next_bucket", "next_sha")]
     buckets = rows.select(F.explode(F.array(*[F.struct(F.col(b).alias("_b"), F.col(s).alias("_s")) for b, s in pairs[:2]])).alias("x")).select("x.*")
     out = _told_apart(rows, pairs, buckets)
-    return out.select("doc_id", "n_chars", "edited_sha256", F.col("bucket").alias("fingerprint"), F.col("edited_bucket").alias("edited_fingerprint"), F.col("next_bucket").alias("next_fingerprint"))
+    return out.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.col("bucket").alias("fingerprint"), F.col("edited_bucket").alias("edited_fingerprint"), F.col("next_bucket").alias("next_fingerprint"))
 
 
 def likeness(a: str, b: str):
