@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hours
 from ..functions import registers as reg
 from ..operators import declare
+from ..steps import worked_once
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,12 +104,12 @@ def _week_texts(spark, sf_dir):
 
 def opening_weeks(spark, sf_dir):
     """Opening hours folded, compared minute by minute, counted, and held against a moment; what is no week is none."""
-    t = _week_texts(spark, sf_dir)
     c = F.col
-    ranged, night = hours.week_intervals(c("ranged")), hours.week_intervals(c("night"))
+    read = {"week": hours.week_intervals(c("ranged")), "nights": hours.week_intervals(c("night")), "folded": hours.fold_days(c("listed")), "merged": hours.register_hours(c("twice")), "kept": hours.fold_days(c("twice")), "same": hours.same_hours(c("listed"), c("ranged")), "alike": hours.same_hours(c("ranged"), c("night")), "other_read": hours.valid_hours(c("other"))}
+    t = worked_once(_week_texts(spark, sf_dir), ["listed", "ranged", "night", "twice", "other"], read)
     return t.select(
-        "id", hours.fold_days(c("listed")).alias("folded"), hours.register_hours(c("twice")).alias("merged"), hours.fold_days(c("twice")).alias("kept"), hours.same_hours(c("listed"), c("ranged")).alias("same"), hours.same_hours(c("ranged"), c("night")).alias("alike"),
-        hours.minutes_open(ranged).alias("minutes"), hours.minutes_open(night).alias("night_minutes"), hours.open_at(night, (6 * hours.DAY_MIN + c("id") % 240).cast("int")).alias("at_night"), hours.overlap(ranged, night).alias("meet"), hours.valid_hours(c("other")).alias("other"),
+        "id", "folded", "merged", "kept", "same", "alike", hours.minutes_open(c("week")).alias("minutes"), hours.minutes_open(c("nights")).alias("night_minutes"),
+        hours.open_at(c("nights"), (6 * hours.DAY_MIN + c("id") % 240).cast("int")).alias("at_night"), hours.overlap(c("week"), c("nights")).alias("meet"), c("other_read").alias("other"),
     )
 
 
