@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hours
 from ..functions import registers as reg
 from ..operators import declare
-from ..steps import worked_once
+from ..steps import tasks, worked_once
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,7 @@ def dataset_files(spark, sf_dir):
 
 def vetted(spark, sf_dir):
     """Tags that a model read from pages, after the tests: orders' comments stand for pages by rule."""
-    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"))
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page")).repartition(tasks(spark), "page")
     t = F.col("page").cast("string")
     text = F.concat(F.lit("Bakery  Number "), t, F.lit(", call 05 61 23 45 67\nor mail a@b.org; www.bread"), t, F.lit(".org Open"))
     tag = lambda i, k, v, conf, q: F.struct(F.lit(i).alias("position"), F.lit(k).alias("k"), v.alias("v"), F.lit(conf).alias("conf"), q.alias("quote"))

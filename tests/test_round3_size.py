@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from larkspan import steps
-from larkspan.plans import register_queries
+from larkspan.operators import declare
+from larkspan.plans import register_queries, station_queries
 
 DIR = "/root/testdata/sf0.001"
 
@@ -14,6 +15,12 @@ def test_what_is_alike_is_worked_out_once(spark):
     assert len(got) == 5 and got[1] == got[2] and got[3] == got[4] and len(set(got.values())) == 3 and got[3].startswith("none")
 
 
-def test_hours_are_read_once_a_text_and_by_many_tasks(spark):
-    plan = register_queries.opening_weeks(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
-    assert "RepartitionByExpression" in plan and plan.index("Aggregate") > plan.index("RepartitionByExpression")
+def test_hours_are_read_once_a_text_and_before_the_rest(spark):
+    said = spark.createDataFrame([(1, 0, "opening_hours", "Mo 08:00-09:00", 0.9, "Open", "Open"), (2, 0, "opening_hours", "Mo 08:00-09:00", 0.9, "Open", "Open")], "page int, position int, k string, v string, conf double, quote string, text string")
+    for df in (register_queries.opening_weeks(spark, DIR), declare.vetted_tags(said, [], 0.5)):
+        assert "[0-9]{2}:[0-9]{2}" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in declare.vetted_tags(said, [], 0.5).orderBy("page").collect()] == [(p, 0, "opening_hours", "Mo 08:00-09:00", 0.9) for p in (1, 2)]
+
+
+def test_numbers_are_read_once_a_text(spark):
+    assert "[1-9][0-9]{8}" not in station_queries.station_access(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
