@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, tags, values
-from ..steps import checkpointed
+from ..steps import checkpointed, spread
 from ..operators import plan
 
 MAIN = ("amenity", "shop", "office")
@@ -25,7 +25,7 @@ DAYS = (
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and raw spellings of numbers, phones, lines and powers, by the customer's key."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"))
+    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id")), "id")
     n = F.lpad((F.col("id") * 7919 % 100000000).cast("string"), 8, "0")
     pick = lambda *cases: F.element_at(F.array(*cases), (F.col("id") % len(cases) + 1).cast("int"))
     dotted = F.concat_ws(".", *[F.substring(n, i, 2) for i in (1, 3, 5, 7)])
@@ -89,8 +89,9 @@ def same_values(spark, sf_dir):
         )
     ])
     rows = c.select("id", F.posexplode(kinds).alias("case", "x")).select("id", "case", "x.*")
-    same = values.same_value(F.col("k"), F.col("a"), F.col("b"))
-    return rows.groupBy("case", "k").agg(F.count_if(same).alias("agree"), F.count(F.lit(1)).alias("n"), F.sum(F.when(same, F.col("id")).otherwise(0)).alias("ids"))
+    # A column of its own, so that values are compared once and not for each of the two sums.
+    rows = rows.withColumn("same", values.same_value(F.col("k"), F.col("a"), F.col("b")))
+    return rows.groupBy("case", "k").agg(F.count_if("same").alias("agree"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("same"), F.col("id")).otherwise(0)).alias("ids"))
 
 
 def page_sites(spark, sf_dir):
