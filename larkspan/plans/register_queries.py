@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hours
 from ..functions import registers as reg
 from ..operators import declare
-from ..steps import tasks, worked_once
+from ..steps import spread, tasks, worked_once
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,7 @@ def register_sites(spark, sf_dir):
 
 def private_mailboxes(spark, sf_dir):
     """Mailboxes that read as somebody's own."""
-    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    c = spread(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id")
     cases = ("jeanne.martin@ac-lyon.fr", "direction.nord@ac-lyon.fr", "secretariat@gmail.com", "fatemi60@gmail.com", "neyret@wanadoo.fr", "maubert@ecole.fr", "campus.toulouse@x.org", "lyceepro@x.org", "not a mailbox", "j.neyret@ecole.org", "martin@martin.fr")
     rows = c.select("id", F.posexplode(F.array(*[F.lit(m) for m in cases])).alias("case", "mail"))
     held = reg.withheld_mailbox(F.col("mail"), F.concat(F.lit("Ecole "), F.col("id").cast("string")), F.when(F.col("id") % 2 == 0, "Rue Neyret").otherwise("Rue Haute"))

@@ -1,6 +1,9 @@
 """What a small file's rows cost is worked out on all cores, and once."""
 
-from larkspan.plans import tag_queries
+from pyspark.sql import functions as F
+
+from larkspan.functions import registers
+from larkspan.plans import register_queries, tag_queries
 
 DIR = "/root/testdata/sf0.001"
 
@@ -15,3 +18,11 @@ def test_values_are_compared_on_all_cores_and_once(spark):
     assert summed.startswith("Aggregate") and "regexp_replace" not in summed
 
 
+def test_mailboxes_are_read_on_all_cores(spark):
+    assert "RepartitionByExpression" in _plan(register_queries.private_mailboxes(spark, DIR))
+
+
+def test_mailboxes_without_a_name_or_place_are_held_against_roles_and_the_domain(spark):
+    rows = spark.createDataFrame([("ac.xy@ac-lyon.fr", None, None), ("direction.nord@ac-lyon.fr", None, None), ("maubert@ecole.fr", "Ecole Maubert", None), ("maubert@ecole.fr", None, "Haute"), ("martin@martin.fr", None, None), (None, "a", "b"), ("jo.ab@x.fr", "jo", None)], "mail string, name string, place string")
+    got = [r[0] for r in rows.select(registers.withheld_mailbox(F.col("mail"), F.col("name"), F.col("place"))).collect()]
+    assert got == [True, False, False, True, False, False, False]
