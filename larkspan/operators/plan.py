@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.tags import HELD_ADDRESS, RETIRED, key_on
 from ..functions.values import phone_digits, same_value
+from ..steps import checkpointed
 
 #: Keys under which an object may carry the phone that a key proposes, and keys that leave a gap-filling value no gap (fixed values).
 PHONES = ("phone", "contact:phone", "mobile", "contact:mobile")
@@ -44,7 +45,8 @@ def address_ops(proposed: DataFrame, objects: DataFrame) -> DataFrame:
     other = F.regexp_replace("k", "^addr:", "contact:")
     held = F.coalesce(F.try_element_at("tags", F.col("k")), F.try_element_at("tags", other))
     differs = held.isNotNull() & ~same_value(F.col("k"), F.col("v"), held)
-    both = both.withColumn("held", held).withColumn("away", F.max(differs).over(Window.partitionBy("key"))).filter("not away")
+    # From a checkpoint, as additions and moves both read it.
+    both = checkpointed(both.withColumn("held", held).withColumn("away", F.max(differs).over(Window.partitionBy("key"))).filter("not away"))
     none = F.lit(None).cast("string")
     added = both.filter("held is null").select("key", "k", F.lit("add").alias("op"), "v", none.alias("was"), none.alias("pair"))
     moved = both.dropDuplicates(["key"]).select("key", "tags", F.explode(F.array(*[F.lit(k) for k in HELD_ADDRESS])).alias("k"))
@@ -83,7 +85,8 @@ def update_ops(proposed: DataFrame, objects: DataFrame, main_keys: Sequence[str]
     replaced = ~F.col("add_only") & ~F.col("at").isin(*never) if never else ~F.col("add_only")
     op = F.when(F.col("held").isNull(), "add").when(replaced & ~same_value(F.col("k"), F.col("v"), F.col("held")), "mod")
     none = F.lit(None).cast("string")
-    ops = both.withColumn("op", op).filter("op is not null").select("key", F.col("at").alias("k"), "op", "v", F.col("held").alias("was"), none.alias("pair"), "add_only")
+    # From a checkpoint, so that values are compared once: not for the filter and the rows, nor for each reader.
+    ops = checkpointed(both.select("key", F.col("at").alias("k"), op.alias("op"), "v", F.col("held").alias("was"), none.alias("pair"), "add_only")).filter("op is not null")
     typed = ops.filter(F.col("k").rlike("^socket:(?!unknown)[^:]+$") & ~F.col("add_only")).select("key").distinct()
     untyped = typed.join(objects, "key").select("key", F.explode(F.array(*[F.lit(k) for k in UNTYPED])).alias("k"), "tags").withColumn("v", tag(F.col("k"))).filter("v is not null")
     ops = ops.drop("add_only").unionByName(untyped.select("key", "k", F.lit("del").alias("op"), "v", none.alias("was"), none.alias("pair")))
