@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from larkspan.functions import registers
-from larkspan.operators import plan
-from larkspan.plans import register_queries, tag_queries
+from larkspan.operators import plan, stations
+from larkspan.plans import register_queries, station_queries, tag_queries
 
 DIR = "/root/testdata/sf0.001"
 
@@ -36,3 +36,10 @@ def test_a_plan_compares_values_once_for_all_its_readers(spark):
 
 def test_objects_and_their_new_tags_are_made_once(spark):
     assert "map_from_entries" not in _plan(tag_queries.plan_effects(spark, DIR))
+
+
+def test_declarations_are_read_once_for_their_stations(spark, monkeypatch):
+    made, inner = [], stations.checkpointed
+    monkeypatch.setattr(stations, "checkpointed", lambda df: made.append(_plan(df)) or inner(df))
+    station_queries.current_stations(spark, DIR)
+    assert made[0].count("Relation [") == 1
