@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from larkspan.functions import registers
-from larkspan.operators import plan, stations
+from larkspan.operators import addresses, plan, stations
 from larkspan.plans import register_queries, station_queries, tag_queries
 
 DIR = "/root/testdata/sf0.001"
@@ -43,3 +43,15 @@ def test_declarations_are_read_once_for_their_stations(spark, monkeypatch):
     monkeypatch.setattr(stations, "checkpointed", lambda df: made.append(_plan(df)) or inner(df))
     station_queries.current_stations(spark, DIR)
     assert made[0].count("Relation [") == 1
+
+
+def test_address_lines_are_scored_by_words_that_are_compared_once_a_place(spark):
+    base = spark.createDataFrame([(i, f"Rue Docteur {w}", "2", "69001", "Lyon", None, 45.0, 4.0) for i, w in enumerate(("Calmette", "Calmet", "Roux"))], "id long, street string, housenumber string, postcode string, city string, old_city string, lat double, lon double")
+    asked = spark.createDataFrame([(1, "2 Rue Dr Calmete 69001 Lyon"), (2, "2 Rue Docteur Rou 69001 Lyon"), (3, "2 Rue Docteur Roux 69002 Lyon"), (4, None)], "key long, line string")
+    found = addresses.lookup(asked, base)
+    assert {r["key"]: r["id"] for r in found.collect()} == {1: 0, 2: 0, 3: 2}
+    # Only streets of the best rows are compared word by word.
+    q = asked.filter("key = 1")
+    answer = addresses._asked(q, addresses.prepared_base(base).withColumns({"theirs": F.array_distinct(F.concat("words", "city_words")), "places": F.array_distinct(F.concat(F.array("postcode"), "place")), "ends": addresses._blocks(F.col("words"))}))
+    scored = answer._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("levenshtein" in line for line in scored.splitlines() if "theirs" in line)
