@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from larkspan.functions import registers
 from larkspan.operators import addresses, plan, stations
 from larkspan.plans import register_queries, station_queries, tag_queries
+from test_rules_at_size import both, line
 
 DIR = "/root/testdata/sf0.001"
 
@@ -55,3 +56,10 @@ def test_address_lines_are_scored_by_words_that_are_compared_once_a_place(spark)
     answer = addresses._asked(q, addresses.prepared_base(base).withColumns({"theirs": F.array_distinct(F.concat("words", "city_words")), "places": F.array_distinct(F.concat(F.array("postcode"), "place")), "ends": addresses._blocks(F.col("words"))}))
     scored = answer._jdf.queryExecution().optimizedPlan().toString()
     assert not any("levenshtein" in line for line in scored.splitlines() if "theirs" in line)
+
+
+def test_declarations_of_a_point_meet_once_and_make_no_pairs(spark, tmp_path):
+    rows = [line(o, p, s, 1 + n % 3, 3, day=(1990 + n % 9, 1, 1)) for n, (o, p, s) in enumerate([(8, 2 + 10 * i, 6) for i in range(60)] + [(9, 1, 7), (9, 3, 12), (9, 4, 9), (10, 7, 8)])]
+    got, want = both(spark, tmp_path, "declaration_history", {"lineitem": rows})
+    assert got == want and len(got) == 64
+    assert "Join" not in station_queries.declaration_history(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
